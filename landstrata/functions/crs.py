@@ -6,8 +6,6 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from landstrata.model import GEOM
-
 EARTH = 6378137.0  # radius used by EPSG:3857, metres
 GEOGRAPHIC = ("EPSG:4326", "EPSG:4269")
 MERCATOR = "EPSG:3857"
@@ -51,7 +49,7 @@ def reproject(geom: str, source: str, target: str) -> Column:
         fx(b["west"]).alias("west"), fy(b["south"]).alias("south"), fx(b["east"]).alias("east"), fy(b["north"]).alias("north")
     )
     made = F.struct(g["gtype"].alias("gtype"), g["is_box"].alias("is_box"), box.alias("bbox"), rings.alias("rings"))
-    return F.when(g.isNotNull(), made).cast(GEOM)
+    return F.when(g.isNotNull(), made)
 
 
 def web_tile(lon: Column, lat: Column, zoom: int) -> Column:

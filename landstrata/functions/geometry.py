@@ -11,7 +11,7 @@ import struct as _struct
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from landstrata.model import GEOM, RINGS
+from landstrata.model import RINGS
 
 _COORDS = {
     "Point": "array<double>",
@@ -111,7 +111,7 @@ def _finish(parts: Column) -> Column:
             ),
         ),
     )
-    return made[0].cast(GEOM)
+    return made[0]
 
 
 def _flat(rings: Column, axis: str) -> Column:
@@ -145,7 +145,11 @@ def _is_box_col(g: Column) -> Column:
 
 
 def point(x: Column, y: Column) -> Column:
-    """Point geometry; the bbox is the point itself, so no array is touched to join on it."""
+    """Point geometry.
+
+    The constructors from coordinates build a plain struct, which lets Catalyst take single fields out of it without
+    making the rest. Null coordinates give a shape that meets nothing; see :func:`is_valid`.
+    """
     p = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     made = F.struct(
         F.lit("Point").alias("gtype"),
@@ -153,7 +157,7 @@ def point(x: Column, y: Column) -> Column:
         bbox(x, y, x, y).alias("bbox"),
         F.array(F.struct(F.lit(False).alias("hole"), F.array(p).alias("pts"))).alias("rings"),
     )
-    return F.when(x.isNotNull() & y.isNotNull(), made).cast(GEOM)
+    return made
 
 
 def bbox(west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -200,8 +204,13 @@ def box_polygon(west: Column, south: Column, east: Column, north: Column) -> Col
         bbox(west, south, east, north).alias("bbox"),
         F.array(F.struct(F.lit(False).alias("hole"), ring.alias("pts"))).alias("rings"),
     )
-    present = west.isNotNull() & south.isNotNull() & east.isNotNull() & north.isNotNull()
-    return F.when(present, made).cast(GEOM)
+    return made
+
+
+def is_valid(geom: str) -> Column:
+    """The geometry is there and has coordinates."""
+    b = F.col(geom)["bbox"]
+    return F.col(geom).isNotNull() & b["west"].isNotNull() & b["south"].isNotNull() & b["east"].isNotNull() & b["north"].isNotNull()
 
 
 def line(*xy: tuple[Column, Column]) -> Column:
