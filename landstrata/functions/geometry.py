@@ -222,7 +222,7 @@ def line(*xy: tuple[Column, Column]) -> Column:
         bbox(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)).alias("bbox"),
         F.array(F.struct(F.lit(False).alias("hole"), pts.alias("pts"))).alias("rings"),
     )
-    return made.cast(GEOM)
+    return made
 
 
 def ring_bbox(points: str) -> Column:
@@ -271,8 +271,7 @@ def parse_geojson(text: str) -> Column:
     return from_geojson(f"{head}.type", f"{head}.coordinates")
 
 
-def to_geojson(geom: str) -> Column:
-    """GeoJSON geometry text."""
+def geojson_text(geom: str) -> str:
     pos = "transform(g.pts, p -> array(p.x, p.y))"
     r = f"{geom}.rings"
     # A multi polygon starts a new part at each ring that is not a hole.
@@ -292,7 +291,12 @@ def to_geojson(geom: str) -> Column:
         f"WHEN 'Polygon' THEN to_json({rings}) "
         f"WHEN 'MultiPolygon' THEN to_json({parts}) END"
     )
-    return F.expr(f"concat('{{\"type\":\"', {geom}.gtype, '\",\"coordinates\":', {text}, '}}')")
+    return f"concat('{{\"type\":\"', {geom}.gtype, '\",\"coordinates\":', {text}, '}}')"
+
+
+def to_geojson(geom: str) -> Column:
+    """GeoJSON geometry text."""
+    return F.expr(geojson_text(geom))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -332,25 +336,36 @@ def _moments(rings: str) -> str:
     )
 
 
-def area(geom: str) -> Column:
-    """Planar area, zero for points and lines."""
-    return F.expr(
+def area_text(geom: str) -> str:
+    return (
         f"CASE WHEN {geom} IS NULL THEN null WHEN {_areal(geom + '.gtype')} "
         f"THEN {_moments(geom + '.rings')}.a ELSE 0D END"
     )
 
 
-def length(geom: str) -> Column:
-    """Planar length of all segments."""
-    return F.expr(
+def area(geom: str) -> Column:
+    """Planar area, zero for points and lines."""
+    return F.expr(area_text(geom))
+
+
+def length_text(geom: str) -> str:
+    return (
         f"aggregate({_segments(geom + '.rings')}, 0D, (acc, e) -> "
         "acc + sqrt((e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay)))"
     )
 
 
+def length(geom: str) -> Column:
+    """Planar length of all segments."""
+    return F.expr(length_text(geom))
+
+
 def centroid(geom: str) -> Column:
     """``struct<x,y>``: area weighted for polygons, length weighted for lines, vertex mean for what has neither."""
-    g = geom
+    return F.expr(centroid_text(geom))
+
+
+def centroid_text(g: str) -> str:
     mean = (
         f"aggregate(flatten(transform({g}.rings, r -> r.pts)), named_struct('n', 0D, 'x', 0D, 'y', 0D), "
         "(acc, p) -> named_struct('n', acc.n + 1, 'x', acc.x + p.x, 'y', acc.y + p.y), "
@@ -369,7 +384,7 @@ def centroid(geom: str) -> Column:
     box = (
         f"named_struct('x', ({g}.bbox.west + {g}.bbox.east) / 2, 'y', ({g}.bbox.south + {g}.bbox.north) / 2)"
     )
-    return F.expr(
+    return (
         f"CASE WHEN {g} IS NULL THEN null WHEN {g}.is_box THEN {box} "
         f"WHEN {_areal(g + '.gtype')} THEN coalesce({across}, {along}, {mean}) "
         f"WHEN {g}.gtype IN ('LineString', 'MultiLineString') THEN coalesce({along}, {mean}) ELSE {mean} END"
@@ -400,15 +415,27 @@ def bbox_inside(box: str, west: float, south: float, east: float, north: float)
     return (b["west"] > west) & (b["east"] < east) & (b["south"] > south) & (b["north"] < north)
 
 
-def intersects_exact(a: str, b: str) -> Column:
-    """Shapes share a point, boundaries counted: some segments meet, or one shape holds a vertex of the other."""
+def _exact_text(a: str, b: str) -> str:
     inside_b = f"exists({a}.rings, g -> {_odd('sb', 'g.pts[0].x', 'g.pts[0].y')})"
     inside_a = f"exists({b}.rings, g -> {_odd('sa', 'g.pts[0].x', 'g.pts[0].y')})"
     touch = f"exists(sa, s -> exists(sb, t -> {_cross('s', 't')}))"
     body = (
         f"({_areal(b + '.gtype')} AND {inside_b}) OR ({_areal(a + '.gtype')} AND {inside_a}) OR {touch}"
     )
-    return F.expr(_let("sa", _segments(a + ".rings"), _let("sb", _segments(b + ".rings"), body)))
+    return _let("sa", _segments(a + ".rings"), _let("sb", _segments(b + ".rings"), body))
+
+
+def intersects_exact(a: str, b: str) -> Column:
+    """Shapes share a point, boundaries counted: some segments meet, or one shape holds a vertex of the other."""
+    return F.expr(_exact_text(a, b))
+
+
+def intersects_text(a: str, b: str) -> str:
+    overlap = (
+        f"{a}.bbox.west <= {b}.bbox.east AND {b}.bbox.west <= {a}.bbox.east AND "
+        f"{a}.bbox.south <= {b}.bbox.north AND {b}.bbox.south <= {a}.bbox.north"
+    )
+    return f"{overlap} AND (({a}.is_box AND {b}.is_box) OR {_exact_text(a, b)})"
 
 
 def intersects(a: str, b: str) -> Column:

@@ -15,8 +15,8 @@ BBOX = "struct<west:double,south:double,east:double,north:double>"
 GEOM = f"struct<gtype:string,is_box:boolean,bbox:{BBOX},rings:{RINGS}>"
 PROPS = "map<string,string>"
 FEATURE = f"feature_id string, geom {GEOM}, properties {PROPS}"
-LAYER = f"{FEATURE}, ts timestamp, file string"
-DELTA = f"layer string, asset string, ts timestamp, action string, file string, {FEATURE}"
+LAYER = f"{FEATURE}, ts timestamp, file string, pos bigint"
+DELTA = f"layer string, asset string, ts timestamp, action string, file string, pos bigint, {FEATURE}, falsy_keys array<string>"
 REGION = f"name string, caption string, text string, bbox {BBOX}, neighbors map<string,string>"
 PIXEL = "row bigint, col bigint, value double"
 
