@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landstrata.functions import geometry as g
+from landstrata.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def shapes(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table that geometry is made of."""
+    return read_table(spark, f"{sf}/{name}.parquet")
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison, minus zero as zero."""
     col = F.col(c) if isinstance(c, str) else c
@@ -44,13 +50,13 @@ def _scatter(key: Column, factor: int, base: int) -> Column:
 
 
 def pts(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = shapes(spark, sf, "events")
     x, y = _scatter(F.col("event_id"), 7919, -124), _scatter(F.col("event_id"), 6007, 39)
     return e.select("event_id", "event_type", "user_id", "value", "ts", x.alias("x"), y.alias("y"), g.point(x, y).alias("geom"))
 
 
 def box(spark, sf) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = shapes(spark, sf, "part")
     cx, cy = _scatter(F.col("p_partkey"), 4231, -124), _scatter(F.col("p_partkey"), 3011, 39)
     h = F.col("p_size") / F.lit(5000.0)
     return p.select(
@@ -86,7 +92,7 @@ def reg(spark, sf) -> DataFrame:
 
 def lin(spark, sf) -> DataFrame:
     """A segment per line item from its supplier's place to its part's place."""
-    t = table(spark, sf, "lineitem")
+    t = shapes(spark, sf, "lineitem")
     ax, ay = _scatter(F.col("l_suppkey"), 4231, -124), _scatter(F.col("l_suppkey"), 3011, 39)
     bx, by = _scatter(F.col("l_partkey"), 4231, -124), _scatter(F.col("l_partkey"), 3011, 39)
     return t.select(

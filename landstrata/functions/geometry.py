@@ -415,7 +415,45 @@ def bbox_inside(box: str, west: float, south: float, east: float, north: float)
     return (b["west"] > west) & (b["east"] < east) & (b["south"] > south) & (b["north"] < north)
 
 
+def _meets_box(segments: str, box: str) -> str:
+    """Some segment shares a point with a rectangle: the stretch between its slabs is not empty."""
+
+    def span(axis: str, lo: str, hi: str) -> tuple[str, str]:
+        at, d = f"e.a{axis}", f"(e.b{axis} - e.a{axis})"
+        inside = f"{at} BETWEEN {lo} AND {hi}"
+        enter = f"if({d} = 0, if({inside}, 0D, 2D), (if({d} > 0, {lo}, {hi}) - {at}) / {d})"
+        leave = f"if({d} = 0, if({inside}, 1D, -1D), (if({d} > 0, {hi}, {lo}) - {at}) / {d})"
+        return enter, leave
+
+    ex, lx = span("x", f"{box}.west", f"{box}.east")
+    ey, ly = span("y", f"{box}.south", f"{box}.north")
+    near = (
+        f"least(e.ax, e.bx) <= {box}.east AND greatest(e.ax, e.bx) >= {box}.west AND "
+        f"least(e.ay, e.by) <= {box}.north AND greatest(e.ay, e.by) >= {box}.south"
+    )
+    return f"exists({segments}, e -> {near} AND greatest(0D, {ex}, {ey}) <= least(1D, {lx}, {ly}))"
+
+
 def _exact_text(a: str, b: str) -> str:
+    """The cheapest exact test for a pair whose boxes overlap: a rectangle or a point needs no segment pairs."""
+
+    def with_box(shape: str, box: str) -> str:
+        inside = f"{_areal(shape + '.gtype')} AND {_odd('sg', box + '.bbox.west', box + '.bbox.south')}"
+        return _let("sg", _segments(shape + ".rings"), f"{_meets_box('sg', box + '.bbox')} OR ({inside})")
+
+    def with_point(shape: str, point: str) -> str:
+        x, y = f"{point}.bbox.west", f"{point}.bbox.south"
+        inside = f"{_areal(shape + '.gtype')} AND {_odd('sg', x, y)}"
+        return _let("sg", _segments(shape + ".rings"), f"({inside}) OR {_on_edge('sg', x, y)}")
+
+    return (
+        f"CASE WHEN {a}.gtype = 'Point' THEN {with_point(b, a)} WHEN {b}.gtype = 'Point' THEN {with_point(a, b)} "
+        f"WHEN {b}.is_box THEN {with_box(a, b)} WHEN {a}.is_box THEN {with_box(b, a)} "
+        f"ELSE {_general_text(a, b)} END"
+    )
+
+
+def _general_text(a: str, b: str) -> str:
     inside_b = f"exists({a}.rings, g -> {_odd('sb', 'g.pts[0].x', 'g.pts[0].y')})"
     inside_a = f"exists({b}.rings, g -> {_odd('sa', 'g.pts[0].x', 'g.pts[0].y')})"
     touch = f"exists(sa, s -> exists(sb, t -> {_cross('s', 't')}))"
