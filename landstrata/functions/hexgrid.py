@@ -11,8 +11,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from landstrata.functions.crs import EARTH, mercator_lat, mercator_lon
-from landstrata.functions.geometry import _let, _segments, from_rings
-from landstrata.model import RINGS
+from landstrata.functions.geometry import _let, _segments
 
 SIDE0 = 1281256.0  # side at resolution 0, metres
 MAX_RES = 15
@@ -69,15 +68,37 @@ def cell(lon: Column, lat: Column, res: int | Column) -> Column:
     return cell_of_metres(x, y, level)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps plans and generated code small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cell_of_metres(x: Column, y: Column, res: Column) -> Column:
-    s = side(res)
-    fq = (F.lit(math.sqrt(3.0) / 3) * x - y / 3) / s
-    fr = (y * 2 / 3) / s
-    rq, rr, rs = F.floor(fq + 0.5), F.floor(fr + 0.5), F.floor(-fq - fr + 0.5)
-    dq, dr, ds = F.abs(rq - fq), F.abs(rr - fr), F.abs(rs + fq + fr)
-    q = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    r = F.when(~((dq > dr) & (dq > ds)) & (dr > ds), -rq - rs).otherwise(rr)
-    return F.struct(q.cast("bigint").alias("q"), r.cast("bigint").alias("r"))
+    third = math.sqrt(3.0) / 3
+
+    def nearest(k: Column) -> Column:
+        dq, dr, ds = F.abs(k["q"] - k["fq"]), F.abs(k["r"] - k["fr"]), F.abs(k["s"] + k["fq"] + k["fr"])
+        fix_q = (dq > dr) & (dq > ds)
+        q = F.when(fix_q, -k["r"] - k["s"]).otherwise(k["q"])
+        r = F.when(~fix_q & (dr > ds), -k["q"] - k["s"]).otherwise(k["r"])
+        return F.struct(q.cast("bigint").alias("q"), r.cast("bigint").alias("r"))
+
+    def rounded(f: Column) -> Column:
+        return F.struct(
+            f["fq"].alias("fq"),
+            f["fr"].alias("fr"),
+            F.floor(f["fq"] + 0.5).alias("q"),
+            F.floor(f["fr"] + 0.5).alias("r"),
+            F.floor(-f["fq"] - f["fr"] + 0.5).alias("s"),
+        )
+
+    def fractions(p: Column) -> Column:
+        return F.struct(
+            ((F.lit(third) * p["x"] - p["y"] / 3) / p["s"]).alias("fq"), ((p["y"] * 2 / 3) / p["s"]).alias("fr")
+        )
+
+    place = F.struct(x.alias("x"), y.alias("y"), side(res).alias("s"))
+    return _bind(place, lambda p: _bind(fractions(p), lambda f: _bind(rounded(f), nearest)))
 
 
 def index_name(res: Column, q: Column, r: Column) -> Column:
@@ -97,14 +118,26 @@ def grid_distance(q1: Column, r1: Column, q2: Column, r2: Column) -> Column:
 
 def boundary(q: Column, r: Column, res: Column) -> Column:
     """Hexagon of a cell as a closed polygon in geographic coordinates."""
-    x, y, s = center_x(q, r, res), center_y(r, res), side(res)
-    pts = []
-    for i in (0, 1, 2, 3, 4, 5, 0):
-        angle = math.radians(30 + 60 * i)
-        px, py = x + s * F.lit(math.cos(angle)), y + s * F.lit(math.sin(angle))
-        pts.append(F.struct(mercator_lon(px).alias("x"), mercator_lat(py).alias("y")))
-    rings = F.array(F.struct(F.lit(False).alias("hole"), F.array(*pts).alias("pts"))).cast(RINGS)
-    return from_rings(F.lit("Polygon"), rings)
+
+    def hexagon(c: Column) -> Column:
+        pts = []
+        for i in (0, 1, 2, 3, 4, 5, 0):
+            angle = math.radians(30 + 60 * i)
+            px, py = c["x"] + c["s"] * F.lit(math.cos(angle)), c["y"] + c["s"] * F.lit(math.sin(angle))
+            pts.append(F.struct(mercator_lon(px).alias("x"), mercator_lat(py).alias("y")))
+        # The hexagon stands on a corner: its sides give west and east, its corners south and north.
+        half = c["s"] * F.lit(math.sqrt(3.0) / 2)
+        box = F.struct(
+            mercator_lon(c["x"] - half).alias("west"),
+            mercator_lat(c["y"] - c["s"]).alias("south"),
+            mercator_lon(c["x"] + half).alias("east"),
+            mercator_lat(c["y"] + c["s"]).alias("north"),
+        )
+        rings = F.array(F.struct(F.lit(False).alias("hole"), F.array(*pts).alias("pts")))
+        return F.struct(F.lit("Polygon").alias("gtype"), F.lit(False).alias("is_box"), box.alias("bbox"), rings.alias("rings"))
+
+    place = F.struct(center_x(q, r, res).alias("x"), center_y(r, res).alias("y"), side(res).alias("s"))
+    return _bind(place, hexagon)
 
 
 # ---------------------------------------------------------------------------------------------------------------

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from landstrata.functions import hexgrid
 from landstrata.functions.props import map_merge, props_or_empty
 from landstrata.model import LINEAR, POLYGONAL
+from landstrata.session import cut_lineage
 
 FANOUT = 8  # cells per axis of a block of the search pyramid
 SMALL = 100_000  # rows of a pyramid level that may be broadcast
@@ -15,14 +16,13 @@ SMALL = 100_000  # rows of a pyramid level that may be broadcast
 def cover(df: DataFrame, geom: str = "geom", start: int = 11, max_cells: int = 10, kind: str = "polygon") -> DataFrame:
     """Add ``res``, ``cell_count``, ``cells`` and ``representative`` to polygon or line features.
 
-    A polygon takes the finest resolution from ``start`` down with at most ``max_cells`` cells; a line takes ``start``
-    as it is. All work is per row, no shuffle.
+    A polygon takes the finest resolution from ``start`` down with at most ``max_cells`` cells (none at all leaves
+    ``res`` null and no cells); a line takes ``start`` as it is. All work is per row, no shuffle.
     """
     if kind == "polygon":
         shaped = df.filter(F.col(geom)["gtype"].isin(*POLYGONAL)).withColumn("__m", hexgrid.metric_shape(geom))
         out = shaped.withColumn("res", hexgrid.cover_resolution("__m", start, max_cells))
         out = out.withColumn("cells", hexgrid.cover_cells("__m", "res")).drop("__m")
-        out = out.filter(F.col("res").isNotNull())
     elif kind == "linestring":
         lines = df.filter(F.col(geom)["gtype"].isin(*LINEAR))
         out = lines.withColumns({"res": F.lit(start), "cells": hexgrid.line_cells(geom, start)})
@@ -33,9 +33,17 @@ def cover(df: DataFrame, geom: str = "geom", start: int = 11, max_cells: int = 1
     )
 
 
+def each_cell(covered: DataFrame, name: str = "c") -> DataFrame:
+    """One row per cell of a cover.
+
+    A plain ``explode`` would make Spark test the array in a filter below it and so build every cover again.
+    """
+    return covered.withColumn(name, F.explode_outer("cells")).filter(F.col(name).isNotNull())
+
+
 def cell_features(df: DataFrame, source_id: str, geom: str = "geom", props: str = "properties", **options) -> DataFrame:
     """One hexagon feature per covered cell, with the source's properties and the cell's own."""
-    covered = cover(df, geom, **options).withColumn("__c", F.explode("cells"))
+    covered = each_cell(cover(df, geom, **options), "__c")
     q, r, res = F.col("__c.q"), F.col("__c.r"), F.col("res")
     index = hexgrid.index_name(res, q, r)
     notes = F.create_map(
@@ -63,9 +71,11 @@ def cell_points(df: DataFrame, lon: str, lat: str, res: int) -> DataFrame:
     )
 
 
-def _levels(df: DataFrame) -> list[int]:
-    """Resolutions present; there are sixteen at most."""
-    return sorted(r["res"] for r in df.select("res").distinct().collect())
+def _levels(**frames: DataFrame) -> dict[str, list[int]]:
+    """Resolutions present in each frame, in one job; there are sixteen at most."""
+    tagged = [df.select(F.lit(name).alias("side"), "res") for name, df in frames.items()]
+    rows = tagged[0].unionByName(tagged[1]).distinct().collect()
+    return {name: sorted(r["res"] for r in rows if r["side"] == name) for name in frames}
 
 
 def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "distance") -> DataFrame:
@@ -75,9 +85,11 @@ def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "dis
     the target cells: a source cell keeps only blocks that may hold something nearer than the nearest it has seen, so
     it is never compared with all targets.
     """
-    src = source.select(F.col("res").cast("int").alias("res"), "q", "r").distinct()
-    tgt = target.select(F.col("res").cast("int").alias("res"), "q", "r").distinct()
-    s_levels, t_levels = _levels(src), _levels(tgt)
+    # Both cell sets are read many times below; they are small beside what they come from and are written once.
+    src = cut_lineage(source.select(F.col("res").cast("int").alias("res"), "q", "r").distinct())
+    tgt = cut_lineage(target.select(F.col("res").cast("int").alias("res"), "q", "r").distinct())
+    present = _levels(source=src, target=tgt)
+    s_levels, t_levels = present["source"], present["target"]
     if not t_levels or not s_levels:
         return src.withColumn(name, F.lit(None).cast("bigint"))
     # A source meets targets of its own or a coarser resolution on its own grid ("own"), finer ones on theirs.
@@ -123,46 +135,47 @@ def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "dis
     def block(c: str, level: int):
         return F.floor(F.col(c) / F.lit(float(FANOUT**level)))
 
-    pyramid = {}
-    for level in range(1, depth + 1):
-        pyramid[level] = (
-            base.withColumns({"bq": block("q", level), "br": block("r", level)})
-            .groupBy("g", "bq", "br")
+    def blocks_of(level: int) -> DataFrame:
+        """Blocks of a level: their parent block, the span of each axis, and one cell of theirs."""
+        size = FANOUT**level
+        return (
+            base.selectExpr("g", "q", "r", f"floor(q / {size}D) AS cq", f"floor(r / {size}D) AS cr")
+            .groupBy("g", "cq", "cr")
             .agg(
-                F.min("q").alias("qa"), F.max("q").alias("qb"), F.min("r").alias("ra"), F.max("r").alias("rb"),
-                F.min(F.col("q") + F.col("r")).alias("sa"), F.max(F.col("q") + F.col("r")).alias("sb"),
-                F.min(F.struct("q", "r")).alias("rep"),
+                F.expr("min(q) AS qa"), F.expr("max(q) AS qb"), F.expr("min(r) AS ra"), F.expr("max(r) AS rb"),
+                F.expr("min(q + r) AS sa"), F.expr("max(q + r) AS sb"), F.expr("min(named_struct('q', q, 'r', r)) AS rep"),
             )
+            .selectExpr("*", f"floor(cq / {FANOUT}D) AS bq", f"floor(cr / {FANOUT}D) AS br")
         )
-    q, r = F.col("pq"), F.col("pr")
-    away = lambda v, a, b: F.greatest(F.col(a) - v, v - F.col(b), F.lit(0))
-    lower = F.greatest(away(q, "qa", "qb"), away(r, "ra", "rb"), away(q + r, "sa", "sb"))
-    upper = hexgrid.grid_distance(q, r, F.col("rep.q"), F.col("rep.r"))
+
+    def steps(q: str, r: str) -> str:
+        return f"greatest(abs(pq - {q}), abs(pr - {r}), abs(pq + pr - {q} - {r}))"
+
+    lower = "greatest(qa - pq, pq - qb, ra - pr, pr - rb, sa - pq - pr, pq + pr - sb, 0)"
     me = ["res", "q", "r"]
-    frontier = seen.select(*me, "g", F.col("p.q").alias("pq"), F.col("p.r").alias("pr"))
+    frontier = seen.selectExpr(*me, "g", "p.q AS pq", "p.r AS pr")
     for level in range(depth, 0, -1):
-        blocks = pyramid[level].withColumnsRenamed({"bq": "cq", "br": "cr"})
+        blocks = blocks_of(level)
+        keys = ["g", "bq", "br"]
         if level == depth:
-            keys = ["g"]  # a handful of top blocks in each group
-        else:
-            keys = ["g", "bq", "br"]
-            blocks = blocks.withColumns(
-                {"bq": F.floor(F.col("cq") / F.lit(float(FANOUT))), "br": F.floor(F.col("cr") / F.lit(float(FANOUT)))}
-            )
+            keys, blocks = ["g"], blocks.drop("bq", "br")  # a handful of top blocks in each group
         if bound(level) <= SMALL:
             blocks = F.broadcast(blocks)
-        met = frontier.join(blocks, keys).withColumns({"lb": lower, "ub": upper})
-        best = F.min("ub").over(Window.partitionBy(*me))
         frontier = (
-            met.withColumn("best", best)
-            .filter(F.col("lb") <= F.col("best"))
-            .select(*me, "g", "pq", "pr", F.col("cq").alias("bq"), F.col("cr").alias("br"))
+            frontier.join(blocks, keys)
+            .selectExpr(*me, "g", "pq", "pr", "cq", "cr", f"{lower} AS lb", f"{steps('rep.q', 'rep.r')} AS ub")
+            .selectExpr("*", "min(ub) OVER (PARTITION BY res, q, r) AS best")
+            .filter("lb <= best")
+            .selectExpr(*me, "g", "pq", "pr", "cq AS bq", "cr AS br")
         )
-    leaves = base.select("g", F.col("q").alias("tq"), F.col("r").alias("tr"), block("q", 1).alias("bq"), block("r", 1).alias("br"))
+    leaves = base.selectExpr("g", "q AS tq", "r AS tr", f"floor(q / {FANOUT}D) AS bq", f"floor(r / {FANOUT}D) AS br")
     if reach["n"] <= SMALL:
         leaves = F.broadcast(leaves)
-    steps = hexgrid.grid_distance(q, r, F.col("tq"), F.col("tr"))
-    return frontier.join(leaves, ["g", "bq", "br"]).groupBy(*me).agg(F.min(steps).cast("bigint").alias(name))
+    return (
+        frontier.join(leaves, ["g", "bq", "br"])
+        .groupBy(*me)
+        .agg(F.expr(f"cast(min({steps('tq', 'tr')}) AS bigint)").alias(name))
+    )
 
 
 def add_cell_distance(df: DataFrame, target: DataFrame, name: str) -> DataFrame:

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from landstrata.operators import cells, treatment
 from landstrata.operators.profile import merge_distances
+from landstrata.session import cut_lineage
 
 
 def cell_table(areas: DataFrame, area_id: str, roads: DataFrame, creeks: DataFrame, start: int = 8, max_cells: int = 10, line_res: int = 8, geom: str = "geom") -> DataFrame:
     """Cells of the areas with their grid distance to road and creek cells (both covers of line layers)."""
-    area_cells = (
-        cells.cover(areas.select(area_id, geom), geom, start, max_cells)
-        .select(area_id, "res", F.explode("cells").alias("c"))
+    area_cells = cut_lineage(
+        cells.each_cell(cells.cover(areas.select(area_id, geom), geom, start, max_cells))
         .select(area_id, "res", F.col("c.q").alias("q"), F.col("c.r").alias("r"))
     )
     line_cells = lambda df: (
-        cells.cover(df, geom, line_res, kind="linestring")
-        .select("res", F.explode("cells").alias("c"))
+        cells.each_cell(cells.cover(df, geom, line_res, kind="linestring"))
         .select("res", F.col("c.q").alias("q"), F.col("c.r").alias("r"))
         .distinct()
     )
