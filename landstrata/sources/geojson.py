@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from landstrata.functions.geometry import from_geojson
+from landstrata.functions.geometry import from_geojson, to_geojson
 from landstrata.functions.props import props_or_empty
 from landstrata.model import feature_key
 
@@ -31,16 +31,19 @@ def feature_rows(rows: DataFrame, names: list[str]) -> DataFrame:
     """
     text = F.col("f.properties")
     props = props_or_empty(F.from_json(text, "map<string,string>"))
-    geometry_text = F.to_json(F.col("f.geometry"))
-    return rows.select(
+    parsed = rows.select(
         *names,
         F.col("pos").cast("bigint").alias("pos"),
-        feature_key(F.try_element_at(props, F.lit("name")), geometry_text).alias("feature_id"),
+        F.to_json(F.col("f.geometry")).alias("__raw"),
         from_geojson("f.geometry.type", "f.geometry.coordinates").alias("geom"),
         props.alias("properties"),
         falsy_keys(text).alias("falsy_keys"),
         F.col("f.neighbors").alias("neighbors"),
     )
+    # The same geometry gives the same id from any source, however its file wrote the numbers.
+    shape = F.coalesce(to_geojson("geom"), F.col("__raw"), F.lit(""))
+    key = feature_key(F.try_element_at(F.col("properties"), F.lit("name")), shape)
+    return parsed.select(*names, "pos", key.alias("feature_id"), "geom", "properties", "falsy_keys", "neighbors")
 
 
 def falsy_keys(properties_text: str | Column) -> Column:

@@ -131,6 +131,11 @@ def export_sheet(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.select(*[value(k).alias(k) for k in sorted(keys)], to_geojson("geom").alias("geometry"))
 
 
+def write_sheet(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Sheet export as CSV with a header, quoted as spreadsheets do; the sheet reader takes it back."""
+    export_sheet(df, keys).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+
+
 def feature_text(df: DataFrame) -> DataFrame:
     """One GeoJSON feature per row in ``value``."""
     from landstrata.functions.geometry import to_geojson
