@@ -119,13 +119,16 @@ def attr(spark, sf) -> DataFrame:
 
 def delta(spark, sf) -> DataFrame:
     """Orders as deltas on points: most create a feature, some annotate or delete what lies in a small box."""
-    o = table(spark, sf, "orders")
+    o = shapes(spark, sf, "orders")
     k = F.col("o_orderkey")
     x, y = _scatter(k, 7919, -124), _scatter(k, 6007, 39)
     act = F.when(k % 11 == 0, "delete").when(k % 5 == 0, "annotate").otherwise("create")
     h = F.when(act == "create", F.lit(0.0)).otherwise(F.lit(0.004))
     pt, bx = g.point(x, y), g.box_polygon(x - h, y - h, x + h, y + h)
-    geom = F.when(act == "create", pt).otherwise(bx)
+    geom = F.struct(
+        F.when(act == "create", "Point").otherwise("Polygon").alias("gtype"), F.lit(True).alias("is_box"),
+        bx["bbox"].alias("bbox"), F.when(act == "create", pt["rings"]).otherwise(bx["rings"]).alias("rings"),
+    )
     note = F.when(k % 2 == 0, F.concat(F.lit("n"), k.cast("string"))).otherwise(F.lit(""))
     props = F.when(act == "annotate", F.create_map(F.lit("note"), note, F.lit("by"), F.col("o_orderstatus"))).otherwise(
         F.create_map(F.lit("name"), k.cast("string"))

@@ -97,9 +97,8 @@ def clip(geom: str, box: str) -> Column:
         f"{g}.bbox.south >= {b}.south AND {g}.bbox.north <= {b}.north"
     )
     rings = F.expr(
-        f"CASE WHEN {inside} THEN {g}.rings WHEN {g}.gtype IN ('Point', 'MultiPoint') THEN {kept_points} "
+        f"CASE WHEN {g}.gtype IN ('Point', 'MultiPoint') THEN {kept_points} "
         f"WHEN {g}.gtype IN ('LineString', 'MultiLineString') THEN {lines} ELSE {polygons} END"
     ).cast(RINGS)
     kind = F.expr(f"if({g}.gtype = 'LineString', 'MultiLineString', {g}.gtype)")
-    out = from_rings(F.when(F.expr(inside), F.col(g)["gtype"]).otherwise(kind), rings)
-    return out
+    return F.when(F.expr(inside), F.col(geom)).otherwise(from_rings(kind, rings))

@@ -207,6 +207,15 @@ def box_polygon(west: Column, south: Column, east: Column, north: Column) -> Col
     return made
 
 
+def once(value: Column) -> Column:
+    """A costly column that is evaluated one time only.
+
+    Spark copies the expression of a column into every filter on that column; it does not do so for the output of a
+    generator. Use at most one per ``select``.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def is_valid(geom: str) -> Column:
     """The geometry is there and has coordinates."""
     b = F.col(geom)["bbox"]

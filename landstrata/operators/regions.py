@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landstrata.functions.clip import clip
-from landstrata.functions.geometry import box_polygon
+from landstrata.functions.geometry import box_polygon, once
 from landstrata.functions.props import value_of
 from landstrata.functions.text import canonical_name
 from landstrata.operators.skew import number_rows
@@ -115,7 +115,7 @@ def region_extract(features: DataFrame, regions: DataFrame, feature_id: str = "f
     pairs = spatial_pairs(
         features, slim, left_id=feature_id, right_id=region_name, right_prefix="region_", predicate="bbox", **options
     )
-    cut = pairs.withColumn("__box", F.col("region_geom.bbox")).withColumn("geom", clip("geom", "__box"))
+    cut = pairs.withColumn("__box", F.col("region_geom.bbox")).withColumn("geom", once(clip("geom", "__box")))
     return cut.filter(F.col("geom").isNotNull()).drop("__box", "region_geom").withColumnRenamed(
         "region_" + region_name, "region"
     )

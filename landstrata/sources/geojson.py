@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from landstrata.functions.geometry import from_geojson, to_geojson
+from landstrata.functions.geometry import from_geojson, once, to_geojson
 from landstrata.functions.props import props_or_empty
 from landstrata.model import feature_key
 
@@ -35,7 +35,7 @@ def feature_rows(rows: DataFrame, names: list[str]) -> DataFrame:
         *names,
         F.col("pos").cast("bigint").alias("pos"),
         F.to_json(F.col("f.geometry")).alias("__raw"),
-        from_geojson("f.geometry.type", "f.geometry.coordinates").alias("geom"),
+        once(from_geojson("f.geometry.type", "f.geometry.coordinates")).alias("geom"),
         props.alias("properties"),
         falsy_keys(text).alias("falsy_keys"),
         F.col("f.neighbors").alias("neighbors"),
