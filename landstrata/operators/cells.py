@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from landstrata.functions import hexgrid
 from landstrata.functions.props import map_merge, props_or_empty
 from landstrata.model import LINEAR, POLYGONAL
+from landstrata.operators.skew import attach_group_values, row_hash
 from landstrata.session import cut_lineage
 
 FANOUT = 8  # cells per axis of a block of the search pyramid
@@ -181,8 +182,6 @@ def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "dis
 def add_cell_distance(df: DataFrame, target: DataFrame, name: str) -> DataFrame:
     """Rows with ``res, q, r`` and the grid distance of their cell to the target cells."""
     near = nearest_cell_distance(df, target, name)
-    # Many rows may share a cell; there is one distance row per cell and they are spread by salts.
-    from landstrata.operators.skew import attach_group_values
-
-    spread = F.struct(*[F.col(f"`{c}`") for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")])
-    return attach_group_values(df, near.withColumn("res", F.col("res").cast(df.schema["res"].dataType)), ["res", "q", "r"], spread, how="left")
+    # Many rows may share a cell; there is one distance row per cell, copied to the salts that spread those rows.
+    near = near.withColumn("res", F.col("res").cast(df.schema["res"].dataType))
+    return attach_group_values(df, near, ["res", "q", "r"], row_hash(df), how="left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landstrata.functions.props import map_merge, props_or_empty, truthy_only
-from landstrata.operators.skew import first_per_group
+from landstrata.operators.skew import SALTS, first_per_group, join_null_safe
 from landstrata.operators.spatial_join import spatial_pairs
 
 # Delta actions.
@@ -114,10 +114,8 @@ def gather(sources: dict[str, DataFrame]) -> DataFrame:
 
 def latest_batch(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Rows of the latest batch of each key: a newer raster delta replaces the older one."""
-    from landstrata.operators.skew import join_null_safe
-
     newest = df.groupBy(*keys).agg(F.max(ts).alias("__newest"))
-    return join_null_safe(df, newest, keys).filter(F.col(ts) == F.col("__newest")).drop("__newest")
+    return join_null_safe(df, newest, keys, salts=SALTS).filter(F.col(ts) == F.col("__newest")).drop("__newest")
 
 
 def in_time_order(deltas: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from landstrata.functions.props import value_of
 from landstrata.functions.text import leaf
-from landstrata.operators.skew import first_per_group, join_null_safe, range_buckets
+from landstrata.operators.skew import SALTS, first_per_group, join_null_safe, range_buckets
 
 
 def count_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
@@ -45,7 +45,7 @@ def normalize_by_max(df: DataFrame, columns: list[str], keys: list[str] | None =
     keys = keys or []
     tops = df.groupBy(*keys).agg(*[F.max(c).alias(f"__max_{c}") for c in columns])
     if keys:
-        joined = join_null_safe(df, tops, keys)
+        joined = join_null_safe(df, tops, keys, salts=SALTS)
     else:
         # One aggregate row, read as a scalar subquery: no join and no window over the whole table.
         row = tops.select(F.struct(*tops.columns).alias("t")).scalar()

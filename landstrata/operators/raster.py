@@ -185,7 +185,7 @@ def resample(
     summed per target pixel; a target pixel over missing source pixels uses those that are there.
     """
     step = (target["east"] - target["west"]) / width
-    height = max(1, round((target["north"] - target["south"]) / step))
+    height = max(1, math.floor((target["north"] - target["south"]) / step + 0.5))
     spark = pixels.sparkSession
     grid = spark.range(height * width).select(
         F.floor(F.col("id") / width).alias("row"), (F.col("id") % width).alias("col")

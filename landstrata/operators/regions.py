@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landstrata.functions.clip import clip
-from landstrata.functions.geometry import box_polygon, once
-from landstrata.functions.props import value_of
+from landstrata.functions.geometry import box_polygon, from_rings, once
+from landstrata.functions.props import map_merge, props_or_empty, value_of
 from landstrata.functions.text import canonical_name
-from landstrata.operators.skew import number_rows
+from landstrata.operators.skew import attach_group_values, number_rows
 from landstrata.operators.spatial_join import spatial_pairs
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,8 +64,6 @@ def link_neighbors(df: DataFrame, position: str, name: str = "name", keys: list[
     numbered = number_rows(df, position, keys, name="__n")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     if keys:
-        from landstrata.operators.skew import attach_group_values
-
         numbered = attach_group_values(numbered, sizes, keys, F.col(position))
     else:
         numbered = numbered.withColumn("__size", sizes.select("__size").scalar())
@@ -148,8 +146,6 @@ def slice_rows(df: DataFrame, position: str, start_at: int = 0, limit: int = 0,
 # ---------------------------------------------------------------------------------------------------------------
 def squarify(df: DataFrame, geom: str = "geom", props: str = "properties") -> DataFrame:
     """Polygons become the square of their longer side around the same centre, with the old sizes as properties."""
-    from landstrata.functions.props import map_merge, props_or_empty
-
     b = F.col(geom)["bbox"]
     width, height = b["east"] - b["west"], b["north"] - b["south"]
     size = F.greatest(width, height)
@@ -219,8 +215,6 @@ def validate_boxes(df: DataFrame, max_degrees: float = 20.0) -> DataFrame:
 
 def polygon_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One row per part of a multi geometry, numbered by ``part_id`` from 0."""
-    from landstrata.functions.geometry import from_rings
-
     starts = F.expr(f"filter(sequence(0, size({geom}.rings) - 1), i -> NOT {geom}.rings[i].hole)")
     part = df.withColumn("__starts", starts).withColumn("__at", F.explode(F.expr(
         "transform(__starts, (s, i) -> named_struct('id', i, 'lo', s, 'hi', coalesce(get(__starts, i + 1), "

@@ -93,8 +93,17 @@ def number_rows(
     return joined.withColumn(name, F.col("__i") + F.col("__offset")).drop("__i", "__offset", "__bucket")
 
 
-def join_null_safe(df: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join per-group values to rows where a null key is a group of its own."""
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's values (maps left out, which Spark does not hash); the same in every attempt of a task."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+
+
+def join_null_safe(df: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", salts: int = 1) -> DataFrame:
+    """Join per-group values to rows where a null key is a group of its own; ``salts`` spreads hot groups."""
+    if salts > 1:
+        df = df.withColumn("__salt", F.pmod(row_hash(df), F.lit(salts)).cast("int"))
+        values = values.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return join_null_safe(df, values, [*keys, "__salt"], how).drop("__salt")
     renamed = values.withColumnsRenamed({k: f"__on_{k}" for k in keys})
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__on_{k}`")) for k in keys]
     return df.join(renamed, same, how).drop(*[f"__on_{k}" for k in keys])

@@ -42,7 +42,9 @@ def materialize(spark: SparkSession, config: dict, name: str, inputs: dict[str,
     """Run an asset of a configuration by its name."""
     spec = config["assets"][name]
     settings = {**spec.get("config", {}), **{k: v for k, v in spec.items() if k != "config"}}
-    settings.setdefault("bbox", config.get("dataswale", config).get("bbox"))
+    # The area of interest stands at the top of a configuration or in one of its sections.
+    sections = [config, *(v for v in config.values() if isinstance(v, dict))]
+    settings.setdefault("bbox", next((v["bbox"] for v in sections if "bbox" in v), None))
     kind = settings.get("fetch_type") or settings.get("type")
     function = ASSETS.get(ALIASES.get(kind, kind))
     if function is None:
@@ -50,7 +52,7 @@ def materialize(spark: SparkSession, config: dict, name: str, inputs: dict[str,
     out = function(spark, settings, inputs or {})
     if "properties" in out.columns:
         if settings.get("alterations"):
-            out = alter(out, settings["alterations"], strict=False)
+            out = alter(out, settings["alterations"], strict=False)  # configurations carry parts with no meaning
         if settings.get("filter"):
             # A filter on the asset itself counts as well.
             out = filter_properties(out, settings["filter"])

@@ -119,8 +119,8 @@ def test_world_scan_pushes_the_box_down(spark, folder):
 def test_files_sheets_and_lists(spark, folder):
     put(f"{folder}/v", "v.geojson", feature("Point", [0, 0], name="in"), feature("Point", [50, 50], name="out"))
     area = {"west": -1.0, "east": 1.0, "south": -1.0, "north": 1.0}
-    config = {"dataswale": {"bbox": area}, "assets": {
-        "file": {"config": {"fetch_type": "local_ogr", "geometry": "dataswale", "path": f"{folder}/v/v.geojson", "filter": [["require", "name", ["in"]]]}},
+    config = {"place": {"bbox": area}, "assets": {
+        "file": {"config": {"fetch_type": "local_ogr", "geometry": "place", "path": f"{folder}/v/v.geojson", "filter": [["require", "name", ["in"]]]}},
         "everything": {"config": {"fetch_type": "local_ogr", "path": f"{folder}/v/v.geojson"}},
         "bad": {"config": {"fetch_type": "teleport"}},
     }}
