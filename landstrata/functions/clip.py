@@ -27,7 +27,11 @@ def _line_runs(points: str, b: str) -> str:
         f"'ax', {points}[i].x, 'ay', {points}[i].y, 'bx', {points}[least(i + 1, size({points}) - 1)].x, "
         f"'by', {points}[least(i + 1, size({points}) - 1)].y))"
     )
-    spans = f"transform({segments}, s -> named_struct('s', s, 't0', greatest(0D, {ex}, {ey}), 't1', least(1D, {lx}, {ly})))"
+    near = (
+        f"least(s.ax, s.bx) <= {b}.east AND greatest(s.ax, s.bx) >= {b}.west AND "
+        f"least(s.ay, s.by) <= {b}.north AND greatest(s.ay, s.by) >= {b}.south"
+    )
+    spans = f"transform(filter({segments}, s -> {near}), s -> named_struct('s', s, 't0', greatest(0D, {ex}, {ey}), 't1', least(1D, {lx}, {ly})))"
 
     def at(t: str) -> str:
         return (
