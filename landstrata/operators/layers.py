@@ -10,6 +10,7 @@ from landstrata.operators.spatial_join import spatial_pairs
 
 # Delta actions.
 ACTIONS = ("create", "annotate", "delete")
+GONE = "\0gone"  # stands for a delete among the keys an annotation writes
 
 
 def delta_name_parts(file_name: Column) -> Column:
@@ -50,27 +51,23 @@ def apply_deltas(layer: DataFrame | None, deltas: DataFrame, feature_id: str = "
         F.col(feature_id).alias("id"), "geom", truthy_only(props_or_empty(F.col("properties")), falsy).alias("over"), "ts", "file", "pos", "action"
     )
     later = F.struct(F.col("anno_ts"), F.col("anno_file")) > F.struct(F.col("ts"), F.col("file"))
-    pairs = spatial_pairs(
-        rows, changes, left_id="__row", right_id="id", on=later, **join_options
-    )
-    by_id = rows.join(
-        changes.filter(F.col("action") == "delete").select([F.col(c).alias("anno_" + c) for c in ("id", "ts", "file")]),
-        F.col(feature_id) == F.col("anno_id"),
-    ).filter(later)
-    gone = (
-        pairs.filter(F.col("anno_action") == "delete").select("__row").unionByName(by_id.select("__row")).distinct()
-    )
+    # Pairs carry keys, shapes and times only; the rows themselves are joined once, at the end, on their unique key.
+    slim = rows.select("__row", "geom", "ts", "file")
+    at = F.struct("anno_ts", "anno_file", "anno_pos").alias("at")
+    pairs = spatial_pairs(slim, changes, left_id="__row", right_id="id", on=later, **join_options)
+    written = F.when(F.col("anno_action") == "delete", F.create_map(F.lit(GONE), F.lit(""))).otherwise(F.col("anno_over"))
+    marks = pairs.select("__row", F.explode(written).alias("key", "value"), at)
+    named = changes.filter(F.col("action") == "delete").select([F.col(c).alias("anno_" + c) for c in ("id", "ts", "file", "pos")])
+    by_id = rows.select(feature_id, "__row", "ts", "file").join(named, F.col(feature_id) == F.col("anno_id")).filter(later)
+    marks = marks.unionByName(by_id.select("__row", F.lit(GONE).alias("key"), F.lit("").alias("value"), at))
     # Per feature and key one value leaves each task, so a feature with very many annotations stays small.
-    values = (
-        pairs.filter(F.col("anno_action") == "annotate")
-        .select("__row", F.explode("anno_over").alias("key", "value"), F.struct("anno_ts", "anno_file", "anno_pos").alias("at"))
-        .groupBy("__row", "key")
-        .agg(F.max_by("value", "at").alias("value"))
-    )
-    over = values.groupBy("__row").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("__over")
+    latest = marks.groupBy("__row", "key").agg(F.max_by("value", "at").alias("value"))
+    entry = F.when(F.col("key") != GONE, F.struct("key", "value"))
+    effect = latest.groupBy("__row").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("__over"),
+        F.max(F.col("key") == GONE).alias("__gone"),
     )
-    left = rows.join(gone, "__row", "left_anti").join(over, "__row", "left")
+    left = rows.join(effect, "__row", "left").filter(~F.coalesce(F.col("__gone"), F.lit(False)))
     merged = F.when(F.col("__over").isNotNull(), map_merge(props_or_empty(F.col("properties")), F.col("__over"))).otherwise(
         F.col("properties")
     )

@@ -36,6 +36,9 @@ def inbox(folder):
     put(path, "c__20250103_000000__create.geojson", feature("Point", [0.5, 0.5], name="late"), feature("LineString", [[4, 4], [6, 6]], name="road"))
     put(path, "d__20250104_000000__annotate.geojson", box(-1, -1, 6, 6, color="blue", kind="x"), box(-1, -1, 1, 1, kind="y"))
     put(path, "e__20250105_000000__delete.geojson", feature("Point", [5, 5]))
+    # The stream takes files by the time they arrived.
+    for i, name in enumerate(sorted(os.listdir(path))):
+        os.utime(f"{path}/{name}", (1735689600 + i * 60, 1735689600 + i * 60))
     return path
 
 
