@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, packing
+from landstrata.llm import binary, packing, simhash
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,10 @@ def op10_token_binary(spark, sf):
     """All documents encoded, written as binary segments and read back."""
     path = binary.write_tokens(table(spark, sf, "documents"), tokenizer(), end_id=2)
     return binary.read_tokens(spark, path)
+
+
+@query
+def op8_simhash_near_duplicates(spark, sf):
+    """All documents with their fingerprint and the smallest document they are linked to."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"), words=3, distance=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
