@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, packing, simhash
+from landstrata.llm import binary, decontaminate, packing, simhash, substring_dedup
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,22 @@ def op10_token_binary(spark, sf):
     return binary.read_tokens(spark, path)
 
 
+@query
+def op2_substring_dedup(spark, sf):
+    """All documents without the words of 50-word passages that an earlier document has too."""
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"), window=50)
+
+
+@query
+def op5_benchmark_decontamination(spark, sf):
+    """All documents with the words and items of the benchmark that occur in them."""
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), length=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op8_simhash_near_duplicates(spark, sf):
     """All documents with their fingerprint and the smallest document they are linked to."""
