@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, decontaminate, packing, simhash, substring_dedup
+from landstrata.llm import binary, decontaminate, langid, packing, sharding, simhash, substring_dedup, topk
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,18 @@ def op1_best_fit_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), tokenizer(), end_id=0, capacity=2048)
 
 
+@query
+def op9_resharding(spark, sf):
+    """All documents moved from 12 shards by source to 16 of equal bytes."""
+    docs = table(spark, sf, "documents")
+    old = sharding.write_layout(docs, F.pmod(F.xxhash64("source"), F.lit(12)))
+    text = F.coalesce("row.text", F.lit(""))
+    return sharding.reshard(spark, old, shards=16).select(
+        "row.doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op10_token_binary(spark, sf):
     """All documents encoded, written as binary segments and read back."""
@@ -53,8 +65,31 @@ def op5_benchmark_decontamination(spark, sf):
     )
 
 
+@query
+def op6_exact_top_k(spark, sf):
+    """The ten best other vectors for every hundredth vector."""
+    vectors = topk.integer_vectors(table(spark, sf, "embeddings"))
+    return topk.top_k(vectors, F.col("id") % 100 == 0, k=10)
+
+
+@query
+def op7_language_id(spark, sf):
+    """The language of every document, by a network trained on documents that are not held out."""
+    docs = table(spark, sf, "documents").withColumn("held_out", langid.held_out())
+    return langid.predict(docs, langid.fit(docs), ["doc_id", "held_out"])
+
+
 @query
 def op8_simhash_near_duplicates(spark, sf):
     """All documents with their fingerprint and the smallest document they are linked to."""
     found = simhash.near_duplicates(table(spark, sf, "documents"), words=3, distance=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Every hundredth vector against all others, by integer inner product.
+ORACLES["op6_exact_top_k"] = """
+with v as (select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as e from embeddings where embedding is not null),
+p as (select a.vec_id as query_id, b.vec_id as vec_id, cast(list_sum([a.e[i] * b.e[i] for i in range(1, len(a.e) + 1)]) as bigint) as score
+    from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e))
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from p qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10"""
