@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, decontaminate, langid, packing, sharding, simhash, substring_dedup, topk
+from landstrata.llm import binary, decontaminate, langid, line_dedup, packing, sharding, simhash, substring_dedup, topk
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,11 @@ p as (select a.vec_id as query_id, b.vec_id as vec_id, cast(list_sum([a.e[i] * b
     from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e))
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from p qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10"""
+
+
+@query
+def op3_line_dedup(spark, sf):
+    """The lines of every document, and those that repeat an earlier line or are within two edits of one."""
+    return line_dedup.repeated_lines(table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("gone", lambda i: i.cast("string"))).alias("removed_lines")
+    )
