@@ -146,14 +146,19 @@ def _long(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def plan(distinct: DataFrame, distance: int, parts: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the partitions in use, from counts over all fingerprints."""
+def plan(distinct: DataFrame, distance: int, parts: int, crowded: int) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the partitions in use, from counts over all fingerprints.
+
+    The cost of a bucket is its pairs, or for a crowded one the rows that ``crowded_links`` makes of it.
+    """
+    spread = len(balls(list(range(BITS)), distance - distance // 2)) if distance <= 3 else 2
     n, both = bit_statistics(distinct)
     groups = group_bits(n, both, parts)
     p = np.diag(both) / max(n, 1)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_long(sum(1 << b for b in g)))).alias("key")) for i, g in enumerate(groups)]))
     counts = distinct.select(keys.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    met = {r["part"]: r["pairs"] for r in counts.groupBy("k.part").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()}
+    work = F.when(F.col("n") > crowded, F.col("n") * spread).otherwise(F.col("n") * (F.col("n") - 1) / 2)
+    met = {r["part"]: r["work"] for r in counts.groupBy("k.part").agg(F.sum(work).alias("work")).collect()}
     costs = []
     for i, g in enumerate(groups):
         most = min(distance, 3)
@@ -204,7 +209,7 @@ def crowded_links(members: DataFrame, distance: int) -> DataFrame:
 def links(distinct: DataFrame, distance: int = 2, parts: int = 3, crowded: int = CROWDED) -> DataFrame:
     """``(a, b)`` fingerprints within ``distance`` bits: every such pair of a bucket that is not crowded, and enough links
     to join up the crowded ones. ``distinct`` has one row for each fingerprint ``fp`` and is read several times."""
-    used = plan(distinct, distance, parts)
+    used = plan(distinct, distance, parts, crowded)
     filed = _filed(distinct, used)
     full = filed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("part", "key")
     full = cut_lineage(full)
