@@ -232,3 +232,11 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, block_cha
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("h").eqNullSafe(F.col("__h")), "left")
     empty = F.array().cast("array<string>")
     return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", empty).alias("items"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
+    """The rows of ``docs`` in which no item occurs; see ``contamination``."""
+    found = contamination(docs, items, length).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    rows = docs.withColumn("__text", _row_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h"))
+    return rows.join(found, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -137,3 +137,23 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     sizes = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     out = sizes.join(gone.withColumnsRenamed({"doc_id": "__id", "h": "__h"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left")
     return out.select("doc_id", "h", "n_lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs`` with the text that is left of them; see ``repeated_lines``.
+
+    ``n_chars``, where there is one, becomes the length of what is left. A document of which every line goes is not kept; one
+    that loses none, an empty or a null text among them, stays as it is.
+    """
+    found = repeated_lines(docs, edits, shortest).where(F.size("gone") > 0).distinct()
+    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
+    rows = docs.withColumn("__text", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left")
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    left = rows.where(F.col("__gone").isNull() | (F.size(stay) > 0))
+    joined = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    left = left.withColumn("__left", F.when(F.col("__gone").isNotNull(), joined))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.coalesce("__left", "text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.coalesce(F.char_length("__left").cast(docs.schema["n_chars"].dataType), "n_chars")
+    return left.select(*[c.alias(k) for k, c in out.items()])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, decontaminate, langid, line_dedup, packing, sharding, simhash, substring_dedup, topk
+from landstrata.llm import binary, decontaminate, langid, licenses, line_dedup, packing, sharding, simhash, substring_dedup, topk
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,13 @@ def op3_line_dedup(spark, sf):
     return line_dedup.repeated_lines(table(spark, sf, "documents")).select(
         "doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("gone", lambda i: i.cast("string"))).alias("removed_lines")
     )
+
+
+@query
+def op4_license_scan(spark, sf):
+    """The licence notices found in every document."""
+    found = licenses.scan(table(spark, sf, "documents"))
+    return found.select("doc_id", F.concat_ws(",", "licences").alias("licences"), "n_places", "best", F.round("score", 9).alias("score"))
+
+
+ORACLES["op4_license_scan"] = licenses.oracle_sql()

@@ -238,3 +238,56 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: i
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     named = grouped.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(body, shingles): the distinct hashes of a text's shingles; fewer words are one shingle."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            sets = []
+            for t in batch.column("text").to_pylist():
+                w = t.encode().lower().split() if t else []
+                parts = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) > words else [b" ".join(w)] if w else []
+                h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+                sets.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("body"), pa.array(sets, pa.list_(pa.int64()))], ["body", "shingles"])
+
+    return docs.select("body", "text").mapInArrow(run, "body string, shingles array<long>")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, distance: int = 8, parts: int = 3, crowded: int = CROWDED) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the document of the smallest doc_id stays.
+
+    Candidates are texts whose fingerprints of ``words``-word shingles are within ``distance`` bits; a link needs
+    a Jaccard similarity of their sets of ``shingle``-word shingles of at least ``similarity``. Short shingles in the
+    fingerprint keep a few changed words from turning many bits. Texts of one fingerprint are compared with that of the
+    smallest document; see ``crowded_links`` for crowded buckets. A group is what links reach. Rows that repeat doc_id and text are
+    one document; a null text counts as an empty one; a null doc_id is larger than all others.
+    """
+    body = F.md5(F.coalesce("text", F.lit("")))
+    named = F.coalesce("doc_id", F.lit(2**63 - 1))
+    prints = fingerprints(docs.select(named.alias("key"), body.alias("body"), "text"), words, ["key", "body"])
+    bodies = cut_lineage(prints.groupBy("body").agg(F.min("key").alias("low"), F.min("fp").alias("fp")))
+    heads = bodies.groupBy("fp").agg(F.min(F.struct("low", "body")).alias("head")).select("fp", "head.body")
+    near = links(cut_lineage(bodies.select("fp").distinct()), distance, parts, crowded)
+    a, b = (heads.select(F.col("fp").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
+    across = near.join(a, "a").join(b, "b").select("body_a", "body_b")
+    within = bodies.join(heads.select("fp", F.col("body").alias("body_b")), "fp").where("body <> body_b").select(F.col("body").alias("body_a"), "body_b")
+    pairs = cut_lineage(across.union(within))
+
+    met = pairs.select(F.col("body_a").alias("body")).union(pairs.select(F.col("body_b").alias("body"))).distinct()
+    spots = bodies.join(met, "body").select(F.col("low").alias("key"), F.col("body").alias("found"))
+    texts = docs.select(named.alias("key"), body.alias("body"), "text").join(spots, "key").where("body = found").dropDuplicates(["body"])
+    sets = cut_lineage(_shingle_sets(texts, shingle))
+    x, y = (sets.select(F.col("body").alias(f"body_{c}"), F.col("shingles").alias(c)) for c in "xy")
+    both = pairs.join(x, pairs["body_a"] == x["body_x"]).join(y, pairs["body_b"] == y["body_y"])
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("body_a").alias("a"), F.col("body_b").alias("b"))
+    groups = bodies.join(components(alike).withColumnRenamed("node", "body"), "body", "left").withColumn("component", F.coalesce("component", "body"))
+    stay = groups.groupBy("component").agg(F.min(F.struct("low", "body")).alias("kept")).select(F.col("kept.low").alias("__key"), F.col("kept.body").alias("__kept"))
+    rows = docs.withColumns({"__k": named, "__body": body})
+    out = rows.join(stay, (F.col("__k") == F.col("__key")) & (F.col("__body") == F.col("__kept")))
+    return out.dropDuplicates(["__k", "__body"]).select(*[F.col(f"`{c}`") for c in docs.columns])
