@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table that geometry is made of."""
-    return read_table(spark, f"{sf}/{name}.parquet")
+    """A table that geometry is made of, dealt over the cores: the tables here are one file each."""
+    return read_table(spark, f"{sf}/{name}.parquet", spark.sparkContext.defaultParallelism)
 
 
 def r(c: Column | str, digits: int = 6) -> Column:

@@ -83,9 +83,10 @@ def _annotated(df):
 
 @check(
     "annotate_last_wins",
-    """with best as (select event_id, max(p_partkey) as p_partkey from pib group by 1)
-    select event_id as feature_id, event_type as kind, case when b.p_partkey % 3 = 1 then p_type else 'old' end as note, p_brand as brand
-    from pts left join best using (event_id) left join part b using (p_partkey)""",
+    """with best as (select event_id, arg_max(p_brand, p_partkey) as brand, arg_max(p_type, p_partkey) filter (where p_partkey % 3 = 1) as note
+        from pib group by 1)
+    select event_id as feature_id, event_type as kind, coalesce(b.note, 'old') as note, b.brand as brand
+    from pts left join best b using (event_id)""",
 )
 def annotate_last_wins(spark, sf):
     return _annotated(an.annotate(_features(spark, sf), _annotations(spark, sf)))

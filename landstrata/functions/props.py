@@ -31,6 +31,18 @@ def drop_keys(props: Column, keys: Iterable[str]) -> Column:
     return F.map_filter(props, lambda k, v: ~k.isin(names))
 
 
+def column_names(keys: Iterable[str], taken: set[str]) -> dict[str, str]:
+    """A column name for each property key that no other has, whatever its case: the key, or with ``property_`` and a number."""
+    used, out = {t.lower() for t in taken}, {}
+    for k in keys:
+        name, n = k, 1
+        while name.lower() in used:
+            name, n = f"property_{k}" if n == 1 else f"property_{k}_{n}", n + 1
+        used.add(name.lower())
+        out[k] = name
+    return out
+
+
 def keep_keys(props: Column, keys: Iterable[str]) -> Column:
     names = list(keys)
     return F.map_filter(props, lambda k, v: k.isin(names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landstrata.functions.props import map_merge, props_or_empty, value_of
-from landstrata.operators.skew import number_rows
+from landstrata.operators.skew import join_null_safe, number_rows
 
 
 def has_label(label: Column) -> Column:
@@ -36,7 +36,7 @@ def blank_repeats(
         .agg(F.min_by(id_col, by).alias(id_col))
         .select(*keys, id_col, F.lit(True).alias("__keep"))
     )
-    joined = df.join(keepers, [*keys, id_col], "left")
+    joined = join_null_safe(df, keepers, [*keys, id_col], "left")
     kept = F.col("__keep").isNotNull() | ~has_label(F.col(label))
     return joined.withColumn(label, F.when(kept, F.col(label))).select(df.columns)
 

@@ -57,7 +57,10 @@ def apply_deltas(layer: DataFrame | None, deltas: DataFrame, feature_id: str = "
     pairs = spatial_pairs(slim, changes, left_id="__row", right_id="id", on=later, **join_options)
     written = F.when(F.col("anno_action") == "delete", F.create_map(F.lit(GONE), F.lit(""))).otherwise(F.col("anno_over"))
     marks = pairs.select("__row", F.explode(written).alias("key", "value"), at)
-    named = changes.filter(F.col("action") == "delete").select([F.col(c).alias("anno_" + c) for c in ("id", "ts", "file", "pos")])
+    # One delete of an id is enough, the latest: ids may repeat on both sides.
+    when = F.struct("ts", "file", "pos")
+    named = changes.filter(F.col("action") == "delete").groupBy(F.col("id").alias("anno_id")).agg(F.max(when).alias("__at"))
+    named = named.select("anno_id", *[F.col(f"__at.{c}").alias("anno_" + c) for c in ("ts", "file", "pos")])
     by_id = rows.select(feature_id, "__row", "ts", "file").join(named, F.col(feature_id) == F.col("anno_id")).filter(later)
     marks = marks.unionByName(by_id.select("__row", F.lit(GONE).alias("key"), F.lit("").alias("value"), at))
     # Per feature and key one value leaves each task, so a feature with very many annotations stays small.

@@ -10,24 +10,35 @@ from landstrata.functions.clip import clip
 from landstrata.functions.geometry import box_polygon, from_rings, once
 from landstrata.functions.props import map_merge, props_or_empty, value_of
 from landstrata.functions.text import canonical_name
-from landstrata.operators.skew import attach_group_values, number_rows
+from landstrata.operators.skew import SALTS, join_null_safe, number_rows
 from landstrata.operators.spatial_join import spatial_pairs
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def row_letters(row, rows: int):
+    """Letters of a row counted from 0: A to Z, AA to AZ and so on, for a grid of ``rows`` rows."""
+    out, rest = F.lit(""), F.lit(row) if isinstance(row, int) else row
+    more = rows
+    while more > 0:
+        one = F.substring(F.lit(LETTERS), (F.pmod(rest, F.lit(26)) + 1).cast("int"), F.lit(1))
+        out = F.when(rest >= 0, F.concat(one, out)).otherwise(out)
+        rest = F.floor(rest / 26).cast("int") - 1
+        more = more // 26
+    return out
+
+
 def map_grid(spark: SparkSession, bbox: dict, columns: int) -> DataFrame:
     """Square cells over a bbox from its north-west corner, named ``{col}_{Letter}``, with neighbour names.
 
-    There are 26 rows at most; the last row may reach over the south edge.
+    Rows past Z are AA, AB and so on; the last row may reach over the south edge.
     """
     size = abs(bbox["east"] - bbox["west"]) / columns
-    rows = min(math.ceil(abs(bbox["north"] - bbox["south"]) / size), len(LETTERS))
+    rows = math.ceil(abs(bbox["north"] - bbox["south"]) / size)
     cells = spark.range(rows * columns).select(
         F.floor(F.col("id") / columns).cast("int").alias("row"), (F.col("id") % columns).cast("int").alias("col")
     )
-    letter = lambda r: F.substring(F.lit(LETTERS), (r + 1).cast("int"), F.lit(1))
-    name = lambda c, r: F.concat((c + 1).cast("string"), F.lit("_"), letter(r))
+    name = lambda c, r: F.concat((c + 1).cast("string"), F.lit("_"), row_letters(r, rows))
     r, c = F.col("row"), F.col("col")
     west, east = F.lit(bbox["west"]) + c * size, F.lit(bbox["west"]) + (c + 1) * size
     north, south = F.lit(bbox["north"]) - r * size, F.lit(bbox["north"]) - (r + 1) * size
@@ -46,13 +57,11 @@ def map_grid(spark: SparkSession, bbox: dict, columns: int) -> DataFrame:
 def grid_cell(lon, lat, bbox: dict, columns: int):
     """Name of the map-grid cell that holds a point, null outside the grid; no join is needed on a regular grid."""
     size = abs(bbox["east"] - bbox["west"]) / columns
-    rows = min(math.ceil(abs(bbox["north"] - bbox["south"]) / size), len(LETTERS))
+    rows = math.ceil(abs(bbox["north"] - bbox["south"]) / size)
     col = F.floor((lon - F.lit(bbox["west"])) / F.lit(size)).cast("int")
     row = F.floor((F.lit(bbox["north"]) - lat) / F.lit(size)).cast("int")
     inside = (col >= 0) & (col < columns) & (row >= 0) & (row < rows)
-    return F.when(
-        inside, F.concat((col + 1).cast("string"), F.lit("_"), F.substring(F.lit(LETTERS), row + 1, F.lit(1)))
-    )
+    return F.when(inside, F.concat((col + 1).cast("string"), F.lit("_"), row_letters(row, rows)))
 
 
 def link_neighbors(df: DataFrame, position: str, name: str = "name", keys: list[str] | None = None) -> DataFrame:
@@ -64,14 +73,15 @@ def link_neighbors(df: DataFrame, position: str, name: str = "name", keys: list[
     numbered = number_rows(df, position, keys, name="__n")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     if keys:
-        numbered = attach_group_values(numbered, sizes, keys, F.col(position))
+        numbered = join_null_safe(numbered, sizes, keys, salts=SALTS)
     else:
         numbered = numbered.withColumn("__size", sizes.select("__size").scalar())
     n, size = F.col("__n"), F.col("__size")
     # A row is the next one of its predecessor and the previous one of its successor.
     for_prev = numbered.select(*keys, (n % size + 1).alias("__n"), F.col(name).alias("prev"))
     for_next = numbered.select(*keys, ((n - 2 + size) % size + 1).alias("__n"), F.col(name).alias("next"))
-    return numbered.join(for_prev, [*keys, "__n"]).join(for_next, [*keys, "__n"]).drop("__n", "__size")
+    on = [*keys, "__n"]
+    return join_null_safe(join_null_safe(numbered, for_prev, on), for_next, on).drop("__n", "__size")
 
 
 def load_regions(

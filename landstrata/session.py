@@ -58,15 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, path: str, small: int = 256 << 20) -> DataFrame:
-    """A Parquet table for geometry work, which is bound by CPU and not by bytes.
-
-    A small table in fewer files than there are cores would run in a few tasks, so it is spread over the cores.
-    Anything larger is left to the scan's own splits.
-    """
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table; with ``partitions`` dealt over so many, for work that is bound by CPU and a table of few files."""
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= small and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(partitions) if partitions else df

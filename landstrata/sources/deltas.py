@@ -4,6 +4,7 @@ append-only delta log they end up in."""
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,7 @@ COLUMNS = ["layer", "asset", "ts", "action", "file", "pos", "feature_id", "geom"
 
 
 def _parse(raw: DataFrame, layer: str | None) -> DataFrame:
+    raw = raw.withColumn("__arrived", F.col("_metadata.file_modification_time"))
     named = raw.withColumns({"file": F.col("_metadata.file_name"), "__path": F.col("_metadata.file_path")})
     parts = delta_name_parts(F.col("file"))
     # An upload carries its layer and action in the payload; a delta file in its folder and name.
@@ -22,7 +24,8 @@ def _parse(raw: DataFrame, layer: str | None) -> DataFrame:
         {
             "layer": F.lit(layer) if layer else F.coalesce(F.col("layer"), folder),
             "asset": parts["asset"],
-            "ts": parts["ts"],
+            # An upload may have no time in its name: then it is the time it arrived.
+            "ts": F.coalesce(parts["ts"], F.col("__arrived")),
             "action": F.coalesce(parts["action"], F.col("action")),
         }
     )
@@ -30,15 +33,15 @@ def _parse(raw: DataFrame, layer: str | None) -> DataFrame:
 
 
 def read_inbox(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Features of all pending delta files; an unknown action fails the read."""
-    return check_actions(_parse(spark.read.schema(COLLECTION).option("multiLine", True).json(path), layer))
+    """Features of all pending delta files; an unknown action or a file that is not whole JSON fails the read."""
+    return check_actions(_parse(spark.read.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST").json(path), layer))
 
 
 def stream_inbox(
     spark: SparkSession, path: str, archive: str | None = None, layer: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The inbox as a stream; with ``archive`` consumed files are moved there."""
-    reader = spark.readStream.schema(COLLECTION).option("multiLine", True)
+    """The inbox as a stream; with ``archive`` consumed files are moved there. A file that is not whole JSON stops it."""
+    reader = spark.readStream.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if files_per_trigger:
@@ -56,12 +59,15 @@ def append_to_log(
 ) -> str:
     """Append a batch of features to the delta log; returns the batch name.
 
-    The log is partitioned by layer, so a refresh reads just its layer. Positions are row ids when no column gives
-    them: unique, not dense.
+    The log is partitioned by layer, so a refresh reads just its layer. Batch names are unique, also within a second.
+    Positions are row ids where no column gives them: unique, not dense. Given ones must be unique; nulls get ids
+    below zero.
     """
     at = at or datetime.now(timezone.utc)
-    name = delta_file_name(asset, action, at)
-    pos = F.col(position).cast("bigint") if position else F.monotonically_increasing_id()
+    name = f"{delta_file_name(asset, action, at)}__{uuid4().hex[:12]}"
+    pos = F.monotonically_increasing_id()
+    if position:
+        pos = F.coalesce(F.col(position).cast("bigint"), -1 - pos)
     batch = features.select(
         F.lit(layer).alias("layer"),
         F.lit(asset).alias("asset"),

@@ -60,8 +60,8 @@ def falsy_keys(properties_text: str | Column) -> Column:
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON collection files."""
-    return features_of(spark.read.schema(COLLECTION).option("multiLine", True).json(path))
+    """Features of GeoJSON collection files; one that is not whole JSON fails the read."""
+    return features_of(spark.read.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

@@ -7,11 +7,14 @@ overwritten while it is read.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from landstrata.functions.props import column_names
 from landstrata.model import LAYER
 
-COMMIT = "layer string, seq bigint, mode string, path string, batch bigint, max_ts timestamp, rows bigint"
+COMMIT = "layer string, seq bigint, mode string, path string, batch bigint, max_ts timestamp, rows bigint, query string"
 
 
 class LayerStore:
@@ -25,18 +28,20 @@ class LayerStore:
             return []
         return self.spark.read.schema(COMMIT).json(path).orderBy("seq").collect()
 
-    def _commit(self, layer: str, seq: int, mode: str, path: str, batch: int | None, max_ts, rows: int) -> None:
-        row = [(layer, seq, mode, path, batch, max_ts, rows)]
+    def _commit(self, layer: str, seq: int, mode: str, path: str, batch: int | None, max_ts, rows: int, query: str | None) -> None:
+        row = [(layer, seq, mode, path, batch, max_ts, rows, query)]
         # One row per write of a layer, far from the data itself.
         self.spark.createDataFrame(row, COMMIT).coalesce(1).write.mode("append").json(f"{self.root}/commits/{layer}")
 
-    def has_batch(self, layer: str, batch: int) -> bool:
-        return any(c["batch"] == batch for c in self._commits(layer))
+    def has_batch(self, layer: str, batch: int, query: str | None = None) -> bool:
+        return any((c["batch"], c["query"]) == (batch, query) for c in self._commits(layer))
 
     def write(
-        self, layer: str, df: DataFrame, mode: str = "replace", batch: int | None = None, applied: DataFrame | None = None
+        self, layer: str, df: DataFrame, mode: str = "replace", batch: int | None = None, applied: DataFrame | None = None, query: str | None = None
     ) -> bool:
-        """Write a segment and commit it. A ``batch`` that was committed before is skipped (returns False).
+        """Write a segment and commit it. A ``batch`` that the same ``query`` committed before is skipped (returns False).
+
+        Batch numbers start anew in every stream, so a stream gives its own id as ``query``.
 
         ``applied`` are the deltas behind the segment; their latest time counts too, since annotations and deletes
         leave no row of their own.
@@ -44,16 +49,17 @@ class LayerStore:
         if mode not in ("replace", "append"):
             raise ValueError(f"unknown mode {mode!r}")
         done = self._commits(layer)
-        if batch is not None and any(c["batch"] == batch for c in done):
+        if batch is not None and any((c["batch"], c["query"]) == (batch, query) for c in done):
             return False
         seq = max((c["seq"] for c in done), default=-1) + 1
-        path = f"{self.root}/layers/{layer}/seq={seq:08d}"
-        df.write.mode("overwrite").parquet(path)
+        # Its own name, so that two writers at once do not write over one another.
+        path = f"{self.root}/layers/{layer}/{seq:08d}-{uuid4().hex[:12]}"
+        df.write.mode("errorifexists").parquet(path)
         written = self.spark.read.parquet(path)
         has_ts = "ts" in written.columns
         stats = written.agg(F.count(F.lit(1)).alias("n"), (F.max("ts") if has_ts else F.lit(None)).alias("t")).collect()[0]
         times = [stats["t"], applied.agg(F.max("ts")).collect()[0][0] if applied is not None else None]
-        self._commit(layer, seq, mode, path, batch, max((t for t in times if t is not None), default=None), stats["n"])
+        self._commit(layer, seq, mode, path, batch, max((t for t in times if t is not None), default=None), stats["n"], query)
         return True
 
     def read(self, layer: str) -> DataFrame:
@@ -85,6 +91,9 @@ class LayerStore:
         if version in self.versions():
             raise ValueError(f"version {version} already exists")
         names = layers or self.layers()
+        unknown = sorted(set(names) - set(self.layers()))
+        if unknown:
+            raise ValueError(f"no such layers: {', '.join(unknown)}")
         for name in names:
             self.read(name).write.mode("errorifexists").parquet(f"{self.root}/versions/version={version}/layer={name}")
         return names
@@ -128,7 +137,8 @@ def export_sheet(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         rows = df.select(F.explode(F.map_keys("properties")).alias("k")).distinct().collect()
         keys = [r["k"] for r in rows]
     value = lambda k: F.coalesce(F.try_element_at(F.col("properties"), F.lit(k)), F.lit(""))
-    return df.select(*[value(k).alias(k) for k in sorted(keys)], to_geojson("geom").alias("geometry"))
+    named = column_names(sorted(keys), {"geometry"})
+    return df.select(*[value(k).alias(n) for k, n in named.items()], to_geojson("geom").alias("geometry"))
 
 
 def write_sheet(df: DataFrame, path: str, keys: list[str] | None = None) -> None:

@@ -13,11 +13,11 @@ class LateDelta(Exception):
     """A delta is older than what a layer has applied; the layer has to be rebuilt with :func:`replay`."""
 
 
-def apply_batch(store: LayerStore, batch: DataFrame, batch_id: int | None = None) -> dict[str, str]:
+def apply_batch(store: LayerStore, batch: DataFrame, batch_id: int | None = None, query: str | None = None) -> dict[str, str]:
     """Apply one micro-batch to every layer it names; returns what was done to each.
 
-    A batch of creates only appends a segment, so its cost does not grow with the layer. A repeated batch id is
-    skipped, which makes a retried batch harmless.
+    A batch of creates only appends a segment, so its cost does not grow with the layer. A batch id that the same
+    ``query`` repeats is skipped, which makes a retried batch harmless.
     """
     batch = batch.persist()  # read by the summary and by each layer; lost blocks are read again from the files
     try:
@@ -32,15 +32,15 @@ def apply_batch(store: LayerStore, batch: DataFrame, batch_id: int | None = None
             layer = row["layer"]
             seen = store.max_ts(layer)
             if seen is not None and row["first_ts"] is not None and row["first_ts"] < seen:
-                if batch_id is None or not store.has_batch(layer, batch_id):
+                if batch_id is None or not store.has_batch(layer, batch_id, query):
                     raise LateDelta(f"{layer}: delta of {row['first_ts']} after {seen}")
             part = batch.filter(F.col("layer") == layer)
             if row["actions"] == ["create"]:
                 rows = part.select("feature_id", "geom", "properties", "ts", "file", "pos")
-                wrote = store.write(layer, rows, "append", batch_id)
+                wrote = store.write(layer, rows, "append", batch_id, query=query)
                 done[layer] = "append" if wrote else "skip"
             else:
-                wrote = store.write(layer, apply_deltas(store.read(layer), part), "replace", batch_id, part)
+                wrote = store.write(layer, apply_deltas(store.read(layer), part), "replace", batch_id, part, query)
                 done[layer] = "replace" if wrote else "skip"
         return done
     finally:
@@ -59,9 +59,12 @@ def start_refresh(
 ):
     """Start the refresh: all pending files once, or with ``processing_time`` at that interval after uploads."""
     stream = stream_inbox(spark, inbox, archive, layer, files_per_trigger)
-    writer = stream.writeStream.foreachBatch(lambda df, batch_id: apply_batch(store, df, batch_id) and None).option(
-        "checkpointLocation", checkpoint
-    )
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        # The id stays with the checkpoint folder: a new folder is a new query, whose batches count from 0 again.
+        apply_batch(store, df, batch_id, df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if processing_time:
         return writer.trigger(processingTime=processing_time).start()
     return writer.trigger(availableNow=True).start()

@@ -102,14 +102,18 @@ def test_degree_minutes_and_names(spark):
     assert name == "two_words_here"
 
 
-def test_map_grid_is_capped_at_26_rows_and_links_match(spark):
-    grid = regions.map_grid(spark, {"west": 0.0, "east": 2.0, "south": 0.0, "north": 100.0}, 2)
-    assert grid.count() == 52
+def test_map_grid_rows_past_z_and_links_match(spark):
+    box = {"west": 0.0, "east": 2.0, "south": 0.0, "north": 800.0}
+    grid = regions.map_grid(spark, box, 2)
+    assert grid.count() == 1600
+    points = spark.range(1600).select((F.col("id") % 2 + 0.5).alias("x"), (F.floor(F.col("id") / 2) + 0.5).alias("y"))
+    held = {r.n for r in points.select(regions.grid_cell(F.col("x"), F.col("y"), box, 2).alias("n")).collect()}
+    assert held == {r.name for r in grid.collect()} and {"1_AA", "2_AZ", "1_BA", "1_ZZ", "2_AAA"} <= held
     names = {r.name: r for r in grid.collect()}
-    assert names["1_A"].north_name is None and names["1_A"].east_name == "2_A" and names["2_Z"].south_name is None
+    assert names["1_A"].north_name is None and names["1_A"].east_name == "2_A" and names["2_Z"].south_name == "2_AA"
     assert all(names[r.south_name].north_name == r.name for r in names.values() if r.south_name)
     b = names["1_B"].geom.bbox
-    assert (b.west, b.north, b.south) == (0.0, 99.0, 98.0)
+    assert (b.west, b.north, b.south) == (0.0, 799.0, 798.0)
 
 
 def test_region_defaults_and_circle(spark):
@@ -139,7 +143,7 @@ def test_annotation_modes_and_falsy_values(spark):
     # A numeric zero and empty text never overwrite; the text "0" does.
     assert sorted(got, key=str) == sorted([("f", "1", "A"), ("f", "1", "B"), ("f", "0", None)], key=str)
     last = {r.feature_id: r.properties for r in an.annotate(feats, annos).collect()}
-    assert last == {"f": {"v": "0"}, "lone": {"v": "9"}}
+    assert last == {"f": {"v": "0", "n": "B"}, "lone": {"v": "9"}}
 
 
 def test_unknown_action_fails_when_read(spark):
@@ -174,3 +178,11 @@ def test_options_and_declared_columns(spark):
     out = al.fill_declared(one(spark, {"x": "kept"}), [{"name": "x", "default": "d"}, {"name": "y", "default": 3}])
     assert out.collect()[0].properties == {"x": "kept", "y": "3"}
     assert value_of(F.col("properties"), "x") is not None
+
+
+def test_null_groups_are_groups(spark):
+    rows = spark.createDataFrame([(k, i, f"n{k}{i}", "x") for k in (None, "a") for i in range(3)], "k string, pos long, name string, label string")
+    linked = {(r.k, r.pos): (r.prev, r.next) for r in regions.link_neighbors(rows, "pos", keys=["k"]).collect()}
+    assert len(linked) == 6 and linked[None, 0] == ("nNone2", "nNone1") and linked["a", 2] == ("na1", "na0")
+    kept = labels.blank_repeats(rows, "label", "name", ["k"]).where("label is not null").collect()
+    assert sorted(r.name for r in kept) == ["nNone0", "na0"]

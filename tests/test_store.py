@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from landstrata.functions import geometry as g
 from landstrata.plans import registry, sql
 from landstrata.sources import deltas, documents, geojson, store, vector
 from landstrata.streaming import apply
@@ -55,9 +56,64 @@ def test_stream_equals_replay_and_archives(spark, folder, inbox):
     assert set(props) == {"p0", "late"}  # points and road at 5,5 are deleted by intersection
     assert props["p0"] == {"name": "p0", "value": "0", "color": "blue", "kind": "y"}
     assert props["late"] == {"name": "late", "color": "blue", "kind": "y"}
-    # A repeated batch changes nothing.
-    batch = deltas.read_inbox(spark, archived[0], "roads").filter("action = 'create'").limit(1)
-    assert apply.apply_batch(layers, batch, 0) == {"roads": "skip"}
+    # A batch that its own query repeats changes nothing; that of another query is another batch.
+    batch = deltas.read_inbox(spark, archived[0], "roads").filter("action = 'create'").limit(1).withColumn("ts", F.lit("2031-01-01").cast("timestamp"))
+    query = next(c["query"] for c in layers._commits("roads") if c["batch"] == 0)
+    assert query and apply.apply_batch(layers, batch, 0, query) == {"roads": "skip"}
+    assert apply.apply_batch(layers, batch, 0, "another") == {"roads": "append"}
+
+
+def test_rows_of_the_log_have_names_of_their_own(spark, folder):
+    from datetime import datetime
+
+    from landstrata.operators.layers import apply_deltas
+
+    at, log = datetime(2025, 1, 1), f"{folder}/log"
+    rows = spark.createDataFrame([(f"f{i}", None) for i in range(3)], "feature_id string, pos long").withColumn("geom", g.point(F.lit(0.0) + F.substring("feature_id", 2, 1).cast("double"), F.lit(0.0)))
+    rows = rows.withColumn("properties", F.create_map(F.lit("name"), F.col("feature_id")))
+    for _ in range(2):
+        deltas.append_to_log(rows, log, "x", "create", at=at, position="pos")
+    gone = rows.filter("feature_id = 'f1'").withColumn("geom", g.point(F.lit(50.0), F.lit(50.0)))
+    deltas.append_to_log(gone, log, "x", "delete", at=datetime(2025, 1, 2))
+    deltas.append_to_log(gone, log, "x", "delete", at=datetime(2025, 1, 2))
+    left = apply_deltas(None, deltas.read_log(spark, log, "x")).collect()
+    assert sorted(r["feature_id"] for r in left) == ["f0", "f0", "f2", "f2"]
+
+
+def test_broken_file_and_upload_without_time(spark, folder):
+    put(f"{folder}/in/x", "upload.geojson", feature("Point", [0, 0]))
+    rows = deltas.read_inbox(spark, f"{folder}/in/x").withColumn("action", F.lit("create"))
+    assert [r["ts"] for r in deltas._parse(spark.read.schema(deltas.COLLECTION).option("multiLine", True).json(f"{folder}/in/x"), "x").collect()][0] is not None
+    os.makedirs(f"{folder}/in/y")
+    with open(f"{folder}/in/y/a__20250101_000000__create.geojson", "w") as f:
+        f.write('{"type": "FeatureCollection", "features": [{"type": "Fea')
+    with pytest.raises(Exception):
+        deltas.read_inbox(spark, f"{folder}/in/y").collect()
+
+
+def test_failed_publish_leaves_no_version(spark, folder):
+    layers = store.LayerStore(spark, f"{folder}/store")
+    layers.write("a", spark.createDataFrame([], "feature_id string"))
+    with pytest.raises(ValueError, match="zz"):
+        layers.publish("v1", ["a", "zz"])
+    assert layers.versions() == []
+
+
+@pytest.mark.parametrize("query", [
+    "SELECT TRANSFORM (id) USING 'cat' AS x FROM range(2)", "select reflect('java.lang.System', 'nanoTime')", "select * from text.`/etc/hostname`",
+    "with a as (select 1) delete from t", "select java_method /* x */ ('java.lang.System', 'nanoTime')", "with a as (select 1) insert into t select * from a", "drop table t", "select `reflect`('java.lang.System', 'nanoTime')",
+])
+def test_sql_that_is_no_query_is_refused(spark, query):
+    with pytest.raises(ValueError):
+        sql.run_query(spark, query)
+
+
+def test_sql_literals_and_key_names(spark):
+    assert sql.run_query(spark, "select 'insert into x' as a, \"delete from\" as b -- merge into t").first()["a"] == "insert into x"
+    rows = spark.createDataFrame([("f", {"Name": "1", "name": "2", "geometry": "3"})], "feature_id string, properties map<string,string>").withColumn("geom", g.point(F.lit(0.0), F.lit(0.0)))
+    sql.register_layer(rows, "keys_of_all_kinds")
+    assert sql.run_query(spark, "select Name, property_name from keys_of_all_kinds").first()[:] == ("1", "2")
+    assert store.export_sheet(rows).columns == ["Name", "property_geometry", "property_name", "geometry"]
 
 
 def test_late_delta_asks_for_replay(spark, folder, inbox):
