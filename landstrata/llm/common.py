@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, for broadcast if it is counted to be of at most ``rows`` short rows; else Spark joins it by shuffle.
+
+    ``df`` should be a written table or a few steps from one, as it is counted first.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[Column], spread: Column, name: str, rows: int = 100_000) -> DataFrame:
     """Gapless numbers from 0 within each group of ``keys``, without one task per group.
 

@@ -12,7 +12,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from landstrata.llm.common import cut_lineage, scratch
+from landstrata.llm.common import broadcast_if_small, cut_lineage, scratch
 
 
 def _size() -> Column:
@@ -121,9 +121,10 @@ def reshard(spark: SparkSession, layout: tuple[str, StructType], capacities=None
     inside = (F.col("shard") == F.col("from_shard")) & (F.col("start") >= F.col("a")) & (F.col("start") + F.col("size") <= F.col("b"))
     placed = cut_lineage(placed.join(F.broadcast(shares), inside, "left").select("shard", "file", "start", "rows", "to_shard"))
 
+    # One row a file: broadcast while they are few, so that texts need no shuffle.
     whole = placed.where("to_shard is not null and to_shard <> shard").select("file", "to_shard")
-    moved = rows.join(whole, "file").select("row", F.col("to_shard").alias("shard"))
-    split = rows.join(placed.where("to_shard is null").select("file", "start"), "file").withColumn("size", _size())
+    moved = rows.join(broadcast_if_small(whole), "file").select("row", F.col("to_shard").alias("shard"))
+    split = rows.join(broadcast_if_small(placed.where("to_shard is null").select("file", "start")), "file").withColumn("size", _size())
     order = Window.partitionBy("file").orderBy(F.desc("size"), "at").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
     split = split.withColumn("middle", middle)
@@ -135,6 +136,6 @@ def reshard(spark: SparkSession, layout: tuple[str, StructType], capacities=None
     kept = placed.where("to_shard = shard").select("shard", "file", "rows")
     made = cut_lineage(fresh.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows")))
     before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = kept.union(made).select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    layout = rows.join(kept.select("file"), "file", "left_semi").select("row", "shard", "file", "at").unionByName(fresh)
+    manifest = broadcast_if_small(kept.union(made).select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base")))
+    layout = rows.join(broadcast_if_small(kept.select("file")), "file", "left_semi").select("row", "shard", "file", "at").unionByName(fresh)
     return layout.join(manifest, "file").select("row", "shard", (F.col("base") + F.col("at")).alias("slot"))
