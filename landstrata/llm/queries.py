@@ -111,3 +111,30 @@ def op4_license_scan(spark, sf):
 
 
 ORACLES["op4_license_scan"] = licenses.oracle_sql()
+
+ORACLES["op2_substring_dedup"] = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+starts as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as p from d where len(ws) >= 50),
+windows as (select doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as h from starts),
+least as (select h, min(doc_id) as first from windows group by h),
+cut as (select distinct doc_id, unnest(range(p, p + 50)) as i from windows join least using (h) where doc_id > first),
+gone as (select doc_id, list(i) as g from cut group by doc_id)
+select d.doc_id, len(ws) as n_words, coalesce(len(g), 0) as n_removed,
+    sha256(array_to_string(case when g is null then ws else [ws[i] for i in range(1, len(ws) + 1) if not list_contains(g, i)] end, ' ')) as kept_sha256
+from d left join gone using (doc_id)"""
+
+ORACLES["op5_benchmark_decontamination"] = r"""
+with words as (select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from benchmark),
+w as (select kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from words),
+items as (select id, ws, least(10, len(ws)) as k from w where kind = 'i' and len(ws) > 0),
+cuts as (select id, k, ws, unnest(range(1, len(ws) - k + 2)) as p from items),
+wanted as (select distinct id as item, k, array_to_string(ws[p:p + k - 1], ' ') as phrase from cuts),
+sizes as (select distinct k from wanted),
+places as (select id, ws, k, unnest(range(1, len(ws) - k + 2)) as p from w, sizes where kind = 'd' and len(ws) >= k),
+hits as (select distinct p.id, p.p, p.k, item from (select id, k, p, array_to_string(ws[p:p + k - 1], ' ') as phrase from places) p join wanted using (k, phrase)),
+covered as (select id, count(*) as n from (select distinct id, unnest(range(p, p + k)) as i from hits) group by id),
+met as (select id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct id, cast(item as varchar) as item from hits) group by id)
+select w.id as doc_id, len(ws) as n_words, coalesce(c.n, 0) as n_hit, coalesce(m.n, 0) as n_items, sha256(coalesce(m.items, '')) as items_sha256,
+    coalesce(c.n, 0) > 0 as contaminated
+from w left join covered c using (id) left join met m using (id) where kind = 'd'"""
