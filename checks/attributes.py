@@ -398,7 +398,7 @@ def _(spark, sf):
 
 @check(
     "map_merge_over",
-    """select o_orderkey, b, coalesce(nullif(d, ''), 'was') as d, cast(3 as bigint) + cast(a_there as bigint) + cast(c_there as bigint) as n from attr""",
+    """select o_orderkey, b, coalesce(nullif(d, ''), 'was') as d, cast(3 as bigint) + cast(a is not null as bigint) + cast(c_there as bigint) as n from attr""",
 )
 def _(spark, sf):
     from landstrata.functions.props import truthy_only
@@ -406,11 +406,7 @@ def _(spark, sf):
     base = F.create_map(F.lit("d"), F.lit("was"), F.lit("z"), F.lit("1"))
     out = attr(spark, sf).withColumn("properties", map_merge(base, truthy_only(F.col("properties"))))
     # Nulls and empty text never overwrite, so a null "a" adds no key.
-    k = F.col("o_orderkey")
-    null_a = ((k % 4 != 0) & (k % 3 == 0)).cast("bigint")
-    return out.select(
-        "o_orderkey", prop("b").alias("b"), prop("d").alias("d"), (F.size("properties") + null_a).cast("bigint").alias("n")
-    )
+    return out.select("o_orderkey", prop("b").alias("b"), prop("d").alias("d"), F.size("properties").cast("bigint").alias("n"))
 
 
 @check(

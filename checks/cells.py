@@ -87,11 +87,11 @@ def line_cells_sql(source: str, res: int, ident: str) -> str:
 
 @check(
     "line_cover_counts",
-    f"""with c as ({line_cells_sql('(select distinct l_suppkey, l_partkey, ax, ay, bx, "by" from lin)', 6, 'l_suppkey, l_partkey')})
+    f"""with c as ({line_cells_sql('(select *, row_number() over () as rid from lin)', 6, 'rid')})
     select q, r, count(*) as lines from c group by 1, 2""",
 )
 def line_cover_counts(spark, sf):
-    lines = lin(spark, sf).select("l_suppkey", "l_partkey", "geom").dropDuplicates(["l_suppkey", "l_partkey"])
+    lines = lin(spark, sf).select("l_orderkey", "l_linenumber", "geom")
     covered = cells.each_cell(cells.cover(lines, start=6, kind="linestring")).select("c")
     return covered.groupBy(F.col("c.q").alias("q"), F.col("c.r").alias("r")).agg(F.count(F.lit(1)).alias("lines"))
 

@@ -104,5 +104,9 @@ def clip(geom: str, box: str) -> Column:
         f"CASE WHEN {g}.gtype IN ('Point', 'MultiPoint') THEN {kept_points} "
         f"WHEN {g}.gtype IN ('LineString', 'MultiLineString') THEN {lines} ELSE {polygons} END"
     ).cast(RINGS)
-    kind = F.expr(f"if({g}.gtype = 'LineString', 'MultiLineString', {g}.gtype)")
-    return F.when(F.expr(inside), F.col(geom)).otherwise(from_rings(kind, rings))
+    # A line in several pieces is a multi line; one piece stays a line.
+    several = lambda c: c.withField(
+        "gtype", F.when((c["gtype"] == "LineString") & (F.size(c["rings"]) != 1), F.lit("MultiLineString")).otherwise(c["gtype"])
+    )
+    cut_down = F.get(F.transform(F.array(from_rings(F.expr(f"{g}.gtype"), rings)), several), F.lit(0))
+    return F.when(F.expr(inside), F.col(geom)).otherwise(cut_down)

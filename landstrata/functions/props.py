@@ -24,13 +24,6 @@ def value_of(props: Column, key: str) -> Column:
     return F.try_element_at(props, F.lit(key))
 
 
-def drop_keys(props: Column, keys: Iterable[str]) -> Column:
-    names = list(keys)
-    if not names:
-        return props
-    return F.map_filter(props, lambda k, v: ~k.isin(names))
-
-
 def column_names(keys: Iterable[str], taken: set[str]) -> dict[str, str]:
     """A column name for each property key that no other has, whatever its case: the key, or with ``property_`` and a number."""
     used, out = {t.lower() for t in taken}, {}

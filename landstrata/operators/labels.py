@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landstrata.functions.props import map_merge, props_or_empty, value_of
 from landstrata.operators.skew import join_null_safe, number_rows
@@ -58,9 +58,10 @@ def fill_labels(
 def cap(df: DataFrame, position: str, n: int, keys: list[str] | None = None) -> DataFrame:
     """At most ``n`` rows per group, first by ``position``.
 
-    Rows are numbered over ranges of the position, so no group has to fit one task.
+    Each task keeps its own first ``n`` of a group before the shuffle, so no group has to fit one task.
     """
-    return number_rows(df, position, keys, name="__n").filter(F.col("__n") <= n).drop("__n")
+    order = Window.partitionBy(*(keys or [])).orderBy(position)
+    return df.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).drop("__n")
 
 
 def sample_by_id(df: DataFrame, id_col: str, rate: int = 5) -> DataFrame:

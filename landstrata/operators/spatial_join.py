@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from landstrata.session import cut_lineage
 from landstrata.functions.geometry import bbox_overlap, intersects_exact, is_valid, within
 
 GROW = 8  # factor between the cell sides of neighbouring levels
@@ -137,6 +138,7 @@ def _cells(df: DataFrame, geom: str, grid: Grid, mine: list[int], other: list[in
     )
 
 
+BROADCAST_CELLS = 100_000
 KEYS = ["__role", "__level", "__gx", "__gy"]
 
 
@@ -144,7 +146,7 @@ def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFr
     """Split cells with more than ``hot_rows`` rows: each side's rows get one of the side's shares and are copied to
     every share of the other side, so each pair still meets exactly once.
 
-    There are at most ``rows / hot_rows`` hot cells, which bounds the broadcast.
+    The hot cells are found once and written. They are broadcast if they are counted to be few, else joined by shuffle.
     """
     counts = (
         left.select(*KEYS, F.lit(1).alias("__l"), F.lit(0).alias("__r"))
@@ -159,8 +161,12 @@ def _split_hot(left: DataFrame, right: DataFrame, hot_rows: int) -> tuple[DataFr
         )
     )
 
+    counts = cut_lineage(counts)
+    if counts.count() <= BROADCAST_CELLS:
+        counts = F.broadcast(counts)
+
     def spread(df: DataFrame, own: str, other: str, own_key: str, other_key: str, id_cols: list[str]) -> DataFrame:
-        joined = df.join(F.broadcast(counts), KEYS, "left")
+        joined = df.join(counts, KEYS, "left")
         shares = F.greatest(F.coalesce(F.col(own), F.lit(1)), F.lit(1))
         copies = F.greatest(F.coalesce(F.col(other), F.lit(1)), F.lit(1))
         return joined.withColumn(

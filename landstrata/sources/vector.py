@@ -156,15 +156,3 @@ def coordinate_features(lines: DataFrame, text: str = "value") -> DataFrame:
     empty = F.expr("cast(map() as map<string,string>)")
     props = F.when(name.isNotNull(), F.create_map(F.lit("name"), name)).otherwise(empty)
     return _with_id(rows.select(point(lon, lat).alias("geom"), props.alias("properties")))
-
-
-def box_records(df: DataFrame) -> DataFrame:
-    """Features from records with double columns ``west, south, east, north``."""
-    others = [c for c in df.columns if c not in ("west", "south", "east", "north")]
-    shaped = df.select(
-        box_polygon(F.col("west"), F.col("south"), F.col("east"), F.col("north")).alias("geom"),
-        props_from_columns(others).alias("properties"),
-    )
-    return _with_id(shaped)
-
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.operators.layers import apply_deltas, check_actions
+from landstrata.operators.layers import apply_deltas, bag_union, check_actions
 from landstrata.sources.deltas import read_inbox, stream_inbox
 from landstrata.sources.store import LayerStore
 
@@ -70,10 +70,17 @@ def start_refresh(
     return writer.trigger(availableNow=True).start()
 
 
+def rebuild(spark: SparkSession, store: LayerStore, layer: str, *paths: str) -> None:
+    """Replay all deltas of a layer and commit the result, as after a :class:`LateDelta`."""
+    deltas = _all_deltas(spark, layer, *paths)
+    store.write(layer, apply_deltas(None, deltas), "replace", applied=deltas)
+
+
+def _all_deltas(spark: SparkSession, layer: str, *paths: str) -> DataFrame:
+    parts = [read_inbox(spark, path, layer) for path in paths]
+    return parts[0] if len(parts) == 1 else bag_union(*parts)
+
+
 def replay(spark: SparkSession, store: LayerStore, layer: str, *paths: str) -> DataFrame:
     """The layer from all its deltas, archived and pending; equals the incremental result."""
-    deltas = None
-    for path in paths:
-        part = read_inbox(spark, path, layer)
-        deltas = part if deltas is None else deltas.unionByName(part)
-    return apply_deltas(None, deltas)
+    return apply_deltas(None, _all_deltas(spark, layer, *paths))

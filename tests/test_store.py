@@ -122,6 +122,8 @@ def test_late_delta_asks_for_replay(spark, folder, inbox):
     apply.apply_batch(layers, rows.filter("file like 'd%'"), 0)
     with pytest.raises(apply.LateDelta):
         apply.apply_batch(layers, rows.filter("file like 'a%'"), 1)
+    apply.rebuild(spark, layers, "roads", inbox)
+    assert state(layers.read("roads")) == state(apply.replay(spark, layers, "roads", inbox))
 
 
 def test_unknown_action_in_inbox(spark, folder):
