@@ -31,8 +31,8 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2,048 tokens."""
-    return packing.pack_documents(docs, tokenizer(), end_id=0, capacity=2048)
+    """The documents' pieces in sequences of at most 2,048 tokens. Workers remember less here, as they live on beside other stages."""
+    return packing.pack_documents(docs, tokenizer(), end_id=0, capacity=2048, remembered=300_000)
 
 
 STAGES = [

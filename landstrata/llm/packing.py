@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landstrata.llm.common import cut_lineage, number_within
-from landstrata.llm.tokens import encoded
+from landstrata.llm.tokens import REMEMBERED, encoded
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
     """Token pieces of whole texts: ``doc_id, piece, start, length, ids`` (u32 little-endian bytes).
 
     Each document is its ids and ``end_id``. One of at most ``capacity`` ids is one piece; a longer one is cut into
@@ -25,7 +25,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 204
     def cut(batches):
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids"]
-        for (keys,), packed in encoded(batches, tokenizer, ["doc_id"]):
+        for (keys,), packed in encoded(batches, tokenizer, ["doc_id"], remembered):
             rows = []
             for key, data in zip(keys, packed):
                 data += end
@@ -153,12 +153,13 @@ def pack(pieces: DataFrame, order: list[Column], spread: Column, capacity: int =
     return numbered.mapInArrow(place, f"{names}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    ``remembered`` bounds the pieces of text that a Python worker keeps with their ids: memory against time.
     The ids themselves are not carried through the shuffles; join ``cut_pieces`` on doc_id and piece to fill sequences.
     """
-    pieces = cut_pieces(docs, tokenizer, end_id, capacity)
+    pieces = cut_pieces(docs, tokenizer, end_id, capacity, remembered)
     digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
     return pack(cut_lineage(digest), order, F.struct("doc_id", "piece", "ids_crc32"), capacity)

@@ -4,58 +4,96 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import islice
+from string import punctuation
 
 # The pre-tokenizer of byte-level BPE never joins what stands before and after a single space between two
 # non-space characters, so each "space and word" has the same ids wherever it stands.
-_UNSAFE = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces remembered per Python worker, and the longest one remembered: about 60 MB at most.
-REMEMBERED, LONGEST = 250_000, 64
+_SPACE = re.compile(r"\s")
+#: Pieces remembered per Python worker, and the longest one remembered: about 250 MB at most.
+REMEMBERED, LONGEST = 1_200_000, 64
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. The library encodes each distinct piece of a text once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names inside a text are ordinary text
+        self.remembered = remembered
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The first piece, then the later ones without their leading space."""
-        if _UNSAFE.search(text):
-            parts = _CUT.split(text)
-            return parts[:1] + [p[1:] for p in parts[1:]]
-        return text.split(" ")
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """Add the ids of ``words`` to ``known``; long ones come back apart and are not remembered."""
+    def _spaced(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of each stem after a space. Stems go to the library as lines: a newline is a pre-token of its own between them."""
         import numpy as np
 
-        new = [w for w in words if w not in known]
-        got = self.tokenizer.encode_batch_fast([lead + w for w in new], add_special_tokens=False)
+        plain = [s for s in stems if s and not _SPACE.search(s)]
+        rest = [s for s in stems if not s or _SPACE.search(s)]
+        out = dict(zip(rest, self._library([" " + s for s in rest])))
+        newline = int.from_bytes(self._library(["\n"])[0], "little")
+        for a in range(0, len(plain), 4096):
+            part = plain[a:a + 4096]
+            ids = np.frombuffer(self._library([" " + "\n ".join(part) + "\n"])[0], "<u4")
+            ends = (np.flatnonzero(ids == newline) * 4).tolist()
+            data, at = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer joins pieces over newlines")
+            for s, end in zip(part, ends):
+                out[s] = data[at:end]
+                at = end + 4
+        return out
+
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
+        """Add the ids of ``words`` to ``known``; long ones come back apart and are not remembered.
+
+        A run of punctuation at the end of a piece, after a letter or digit, is a pre-token of its own, so what
+        stands before it is looked up alone: "word," and "word." cost one encoding.
+        """
+        new = words.difference(known)
+        cut = [(w, len(s) if (s := w.rstrip(punctuation)) and s[-1].isalnum() else len(w)) for w in new]
+        stems = list({w[:n] for w, n in cut}.difference(known))
+        own = self._spaced(stems) if lead else dict(zip(stems, self._library(stems)))
+        tails = {w[n:] for w, n in cut}.difference(self.tails)
+        self.tails.update(zip(tails, self._library(list(tails))))
         long = {}
-        for w, e in zip(new, got):
-            (known if len(w) <= LONGEST else long)[w] = np.array(e.ids, "<u4").tobytes()
+        for w, n in cut:
+            ids = own.get(w[:n])
+            (known if len(w) <= LONGEST else long)[w] = (known[w[:n]] if ids is None else ids) + self.tails[w[n:]]
         return long
 
+    def _forget(self, known: dict[str, bytes], recent: set[str]) -> dict[str, bytes]:
+        """``known``, or when it is full only what the last texts had."""
+        return known if len(known) <= self.remembered else {w: known[w] for w in recent if w in known}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One value per text; a null text has no ids."""
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
-        cut = [self.pieces(t or "") for t in texts]
-        long_first = self._learn(self.first, {p[0] for p in cut}, "")
+        cut = [(t or "").split(" ") for t in texts]
         later: set[str] = set()
         for p in cut:
-            later.update(p[1:])
-        long_later = self._learn(self.later, later, " ")
+            later.update(islice(p, 1, None))
+        # A piece that is empty, or has white space at an end, stands by white space wider than one space.
+        odd = {w for w in later.difference(self.later) if not w or w[0].isspace() or w[-1].isspace()}
+        wide = [i for i, p in enumerate(cut) if p[0][-1:].isspace() or (odd and not odd.isdisjoint(p))]
+        for i in wide:
+            first, *rest = _CUT.split(texts[i] or "")
+            cut[i] = [first, *(p[1:] for p in rest)]
+        if wide:
+            later = {w for p in cut for w in islice(p, 1, None)}
+        firsts = {p[0] for p in cut}
+        self.first, self.later = self._forget(self.first, firsts), self._forget(self.later, later)
+        self.tails = self._forget(self.tails, set())
+        long_first, long_later = self._learn(self.first, firsts, ""), self._learn(self.later, later, " ")
         out = []
         for p in cut:
             head = self.first.get(p[0])
@@ -63,24 +101,24 @@ class Encoder:
                 head = long_first[p[0]]
             if long_later:
                 get, rest = self.later.get, []
-                for w in p[1:]:
+                for w in islice(p, 1, None):
                     ids = get(w)
                     rest.append(long_later[w] if ids is None else ids)
             else:
-                rest = map(self.later.__getitem__, p[1:])
+                rest = map(self.later.__getitem__, islice(p, 1, None))
             out.append(head + b"".join(rest))
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int) -> Encoder:
     """The encoder of this Python worker."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
-def encoded(batches, path: str, columns: list[str], chars: int = 1 << 20):
+def encoded(batches, path: str, columns: list[str], remembered: int = REMEMBERED, chars: int = 1 << 20):
     """Over Arrow batches with a ``text`` column: yields (rows of ``columns`` as lists, ids), about ``chars`` characters at a time."""
-    enc = encoder(path)
+    enc = encoder(path, remembered)
     for batch in batches:
         texts = batch.column("text").to_pylist()
         rest = [batch.column(c).to_pylist() for c in columns]
