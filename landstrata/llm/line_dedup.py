@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from landstrata.llm.common import cut_lineage
 
 EDITS, SHORTEST = 2, 20
+#: Frequent letters that are counted on every line; lines within k edits differ by k more and k fewer at most.
+LETTERS = "eantrhiosdlcumpg"
 #: Up to so many candidate lines their places are broadcast (24 bytes each); beyond, the texts are shuffled.
 BROADCAST_LINES = 250_000
 
@@ -25,20 +27,19 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return F.lit(1) + base * (i - 1) + longer, size
 
 
-def filed_segments(line: Column, edits: int) -> Column:
+def filed_segments(line: Column, length: Column, edits: int) -> Column:
     """Hashes under which a line is filed."""
-    length = F.char_length(line)
     cuts = [(i, *_segment(length, i, edits)) for i in range(1, edits + 2)]
     return F.array(*[F.xxhash64(F.lit(i), length, F.substring(line, p, n)) for i, p, n in cuts])
 
 
-def sought_segments(line: Column, edits: int, shortest: int) -> Column:
-    """Hashes under which lines that are at most ``edits`` shorter may be filed.
+def sought_segments(line: Column, length: Column, edits: int, shortest: int) -> Column:
+    """Hashes under which lines that are at most ``edits`` shorter may be filed; null for places that are not in the line.
 
     Segment i is looked for only where both what is left of it and what is right of it can still match: at most i - 1
     edits to its left and edits + 1 - i to its right.
     """
-    length, out = F.char_length(line), []
+    out = []
     for less in range(edits + 1):
         other = length - less
         for i in range(1, edits + 2):
@@ -46,29 +47,74 @@ def sought_segments(line: Column, edits: int, shortest: int) -> Column:
             for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1):
                 fits = (other >= shortest) & (p + shift >= 1) & (p + shift + n - 1 <= length)
                 out.append(F.when(fits, F.xxhash64(F.lit(i), other, F.substring(line, p + shift, n))))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
+
+
+def _bag(line: Column) -> Column:
+    """How often each of sixteen frequent letters occurs, modulo 16, four bits for each."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.cast("long").bitwiseAND(F.lit(15)), 4 * i))
+    return out
+
+
+def _bags_within(x: Column, y: Column, edits: int) -> Column:
+    """An edit adds one letter at most and takes one away at most; counts modulo 16 tell up to seven apart."""
+    if edits > 7:
+        return F.lit(True)
+    more, less = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        d = F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * i).bitwiseAND(F.lit(15))
+        d = (d + 8).bitwiseAND(F.lit(15)) - 8
+        more, less = more + F.greatest(d, F.lit(0)), less + F.greatest(-d, F.lit(0))
+    return (more <= edits) & (less <= edits)
+
+
+def _letters(line: Column) -> Column:
+    """How often each of a to z and the space occurs."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "])
+
+
+def _letters_within(x: Column, y: Column, edits: int) -> Column:
+    differ = F.zip_with(x, y, lambda a, b: a - b)
+    more = F.aggregate(differ, F.lit(0), lambda s, d: s + F.greatest(d, F.lit(0)))
+    less = F.aggregate(differ, F.lit(0), lambda s, d: s + F.greatest(-d, F.lit(0)))
+    return (more <= edits) & (less <= edits)
 
 
 def banded_distance(x: Column, y: Column, edits: int) -> Column:
     """Edit distance of two texts if it is at most ``edits`` (30 at most), else some larger number.
 
-    ``x`` is not the longer one. Column j of the matrix is kept as differences down the rows j - edits .. j + edits, a bit for
+    Rows are the shorter text's characters, columns the longer one's. Column j of the matrix is kept as differences down the rows j - edits .. j + edits, a bit for
     each: ``vp`` where the value rises, ``vn`` where it falls. The band moves down a row with each column, so the
     diagonal that ends in the last cell stays at one bit; each step on it costs one unless that bit of ``d0`` is set.
     """
     width = 2 * edits + 1
     full = F.lit((1 << width) - 1)
-    short, long = F.encode(x, "UTF-32"), F.encode(y, "UTF-32")  # four bytes a character, found at once
-    m, n = F.char_length(x), F.char_length(y)
+    swap = F.char_length(x) > F.char_length(y)
+    short, long = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
+    # Worked out once for each pair; in UTF-32 a character is four bytes and found at once.
+    given = F.struct(
+        F.encode(short, "UTF-32").alias("x"), F.encode(long, "UTF-32").alias("y"), F.char_length(short).alias("m"), F.char_length(long).alias("n")
+    )
+    return F.get(F.transform(F.array(given), lambda v: _banded(v, edits, width, full)), F.lit(0))
+
+
+def _banded(v: Column, edits: int, width: int, full: Column) -> Column:
+    m, n = v["m"], v["n"]
     gap = n - m
     at = lambda data, i: F.substring(data, (i - 1) * 4 + 1, F.lit(4))
 
     def equal(j: Column) -> Column:
-        bits = F.lit(0).cast("long")
-        for b in range(width):
-            i = j - edits + b
-            bits = bits + F.when((i >= 1) & (i <= m) & (at(short, F.greatest(i, F.lit(1))) == at(long, j)), F.lit(1 << b)).otherwise(F.lit(0))
-        return bits
+        def bits(own: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for b in range(width):
+                i = j - edits + b
+                out = out + F.when((i >= 1) & (i <= m) & (at(v["x"], F.greatest(i, F.lit(1))) == own), F.lit(1 << b)).otherwise(F.lit(0))
+            return out
+
+        return F.get(F.transform(F.array(at(v["y"], j)), bits), F.lit(0))
 
     def step(s: Column, eq: Column) -> Column:
         vp, vn = s["vp"], s["vn"]
@@ -114,20 +160,25 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("h"), F.col("at"))
     kinds = cut_lineage(long.select(*key, place.alias("place")).groupBy("k", "k2").agg(F.min("place").alias("first")))
 
-    filed = long.select(F.xxhash64("line").alias("a"), F.char_length("line").alias("la"), F.explode(filed_segments(F.col("line"), edits)).alias("s"))
-    sought = long.select(F.xxhash64("line").alias("b"), F.char_length("line").alias("lb"), F.explode(sought_segments(F.col("line"), edits, shortest)).alias("s"))
-    met = filed.join(sought, "s").where((F.col("a") != F.col("b")) & ((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))))
-    pairs = cut_lineage(met.select("a", "b").distinct())
+    # Equal lines meet in one task by their segment and go on as one. The length is a column, to be worked out once.
+    one = long.select(F.xxhash64("line").alias("id"), _bag(F.col("line")).alias("bag"), "line", F.char_length("line").alias("n"))
+    cut, n = F.col("line"), F.col("n")
+    filed = one.select("id", "bag", F.explode(filed_segments(cut, n, edits)).alias("s")).repartition("s").distinct()
+    sought = one.select("id", "bag", F.explode(sought_segments(cut, n, edits, shortest)).alias("s")).where("s is not null").repartition("s").distinct()
+    a, b = filed.withColumnsRenamed({"id": "a", "bag": "bag_a"}), sought.withColumnsRenamed({"id": "b", "bag": "bag_b"})
+    met = a.join(b, "s").where((F.col("a") != F.col("b")) & _bags_within(F.col("bag_a"), F.col("bag_b"), edits))
+    pairs = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     spots = cut_lineage(kinds.join(wanted, "k").select("k", "k2", "first"))
     needed = F.broadcast(spots) if spots.count() <= broadcast_lines else spots
     same = (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("first.d")) & (F.xxhash64("text") == F.col("first.h"))
     texts = docs.select("doc_id", "text").join(needed, same).select("k", "first", F.get(F.split("text", "\n"), F.col("first.at")).alias("line")).distinct()
-    texts = cut_lineage(texts)
-    a = texts.select(F.col("k").alias("a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
-    b = texts.select(F.col("k").alias("b"), F.col("first").alias("first_b"), F.col("line").alias("line_b"))
-    near = pairs.join(a, "a").join(b, "b").where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+    texts = cut_lineage(texts.withColumn("letters", _letters(F.col("line"))))
+    a = texts.select(F.col("k").alias("a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"), F.col("letters").alias("letters_a"))
+    b = texts.select(F.col("k").alias("b"), F.col("first").alias("first_b"), F.col("line").alias("line_b"), F.col("letters").alias("letters_b"))
+    likely = pairs.join(a, "a").join(b, "b").where(_letters_within(F.col("letters_a"), F.col("letters_b"), edits))
+    near = likely.where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
     late = near.select(F.greatest("first_a", "first_b").alias("first")).distinct().withColumn("near", F.lit(True))
 
     # Every line but the first of its kind goes, and the first too if it is near an earlier one.
