@@ -183,13 +183,13 @@ def _filed(distinct: DataFrame, used: list[tuple[list[int], int]]) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*rows)).alias("k")).select("fp", "k.part", "k.key")
 
 
-def crowded_links(members: DataFrame, distance: int) -> DataFrame:
+def crowded_links(members: DataFrame, distance: int, far: bool = True) -> DataFrame:
     """Links that join up all fingerprints of crowded buckets, without pairing them.
 
     Up to distance 3: each is filed under all 64-bit values within half the distance. The near ones under a value are
     within the distance of all that are filed there, so each is linked to the least near one: no link is lost, and the
     rows are a fixed number for each fingerprint. Beyond, each is linked to the least of its bucket; those that are
-    too far from it are compared with the whole bucket.
+    too far from it are compared with the whole bucket, or left out if ``far`` is false.
     """
     if distance <= 3:
         near = distance // 2
@@ -201,14 +201,16 @@ def crowded_links(members: DataFrame, distance: int) -> DataFrame:
     least = members.groupBy("part", "key").agg(F.min("fp").alias("low"))
     known = members.join(least, ["part", "key"])
     star = known.where(_within(F.col("fp"), F.col("low"), distance) & (F.col("fp") != F.col("low"))).select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    far = known.where(~_within(F.col("fp"), F.col("low"), distance)).select("part", "key", F.col("fp").alias("b"))
-    rest = members.withColumnRenamed("fp", "a").join(far, ["part", "key"]).where(_within(F.col("a"), F.col("b"), distance) & (F.col("a") != F.col("b")))
+    if not far:
+        return star
+    distant = known.where(~_within(F.col("fp"), F.col("low"), distance)).select("part", "key", F.col("fp").alias("b"))
+    rest = members.withColumnRenamed("fp", "a").join(distant, ["part", "key"]).where(_within(F.col("a"), F.col("b"), distance) & (F.col("a") != F.col("b")))
     return star.union(rest.select("a", "b"))
 
 
-def links(distinct: DataFrame, distance: int = 2, parts: int = 3, crowded: int = CROWDED) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 2, parts: int = 3, crowded: int = CROWDED, far: bool = True) -> DataFrame:
     """``(a, b)`` fingerprints within ``distance`` bits: every such pair of a bucket that is not crowded, and enough links
-    to join up the crowded ones. ``distinct`` has one row for each fingerprint ``fp`` and is read several times."""
+    to join up the crowded ones (only those to the least of a bucket if ``far`` is false). ``distinct`` has one row for each fingerprint ``fp`` and is read several times."""
     used = plan(distinct, distance, parts, crowded)
     filed = _filed(distinct, used)
     full = filed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("part", "key")
@@ -223,7 +225,7 @@ def links(distinct: DataFrame, distance: int = 2, parts: int = 3, crowded: int =
     # Two meet under several values; the half-way one counts.
     middle = F.col("a").bitwiseAND(mask).bitwiseXOR(F.when(F.bit_count(differ) < 2, F.lit(0)).otherwise(lowest))
     pairs = a.join(b, ["part", "key"]).where((F.col("a") < F.col("b")) & _within(F.col("a"), F.col("b"), distance) & (F.col("key") == middle))
-    return pairs.select("a", "b").union(crowded_links(filed.join(full, ["part", "key"], "left_semi"), distance)).distinct()
+    return pairs.select("a", "b").union(crowded_links(filed.join(full, ["part", "key"], "left_semi"), distance, far)).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: int = 3, crowded: int = CROWDED) -> DataFrame:
@@ -240,53 +242,132 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: i
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _hashed(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; fewer words are one shingle."""
+    import xxhash
+
+    w = text.encode().lower().split() if text else []
+    parts = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) > words else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64)).view(np.int64)
+
+
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(body, shingles): the distinct hashes of a text's shingles; fewer words are one shingle."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            sets = []
-            for t in batch.column("text").to_pylist():
-                w = t.encode().lower().split() if t else []
-                parts = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) > words else [b" ".join(w)] if w else []
-                h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
-                sets.append(h.view(np.int64))
+            sets = [_hashed(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("body"), pa.array(sets, pa.list_(pa.int64()))], ["body", "shingles"])
 
     return docs.select("body", "text").mapInArrow(run, "body string, shingles array<long>")
 
 
+def _frequent(docs: DataFrame, words: int, one_in: int = 16, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that several texts of a sample have. It only orders the shingles: any order
+    finds all pairs, so what the sample or ``most`` leaves out costs time and loses nothing."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = [_hashed(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *hashes]))], ["h"])
+
+    some = docs.where(F.pmod("id", F.lit(one_in)) == 0).select("text").mapInArrow(run, "h long")
+    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(shingle, id, size, at): of each text the shingles that one as similar must share one of, rarest first.
+
+    Of ``size`` shingles in an order common to all texts, the first ``size - similarity * size + 1`` suffice. ``at`` is the
+    place in that order. A text without words has one row of size 0.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+
+    def run(batches):
+        known, count = shared.value
+        for batch in batches:
+            out = []
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                h = _hashed(t, words)
+                n = len(h)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, count[at], 0), kind="stable")]
+                h = h[:n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else np.zeros(1, np.int64)
+                out.append((h, np.full(len(h), i), np.full(len(h), n), np.arange(len(h))))
+            columns = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64)] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], ["shingle", "id", "size", "at"])
+
+    return docs.select("id", "text").mapInArrow(run, "shingle long, id long, size int, at int")
+
+
+def _meetable(a: str, b: str, similarity: float) -> Column:
+    """Whether two rows of one shingle, the first that their texts share, leave room for the similarity."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    room = F.lit(1) + F.least(x - F.col(f"{a}.at"), y - F.col(f"{b}.at")) - 1
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (room >= similarity * (x + y) / (1 + similarity) - 1e-9)
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, distance: int = 8, parts: int = 3, crowded: int = CROWDED) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document of the smallest doc_id stays.
 
-    Candidates are texts whose fingerprints of ``words``-word shingles are within ``distance`` bits; a link needs
-    a Jaccard similarity of their sets of ``shingle``-word shingles of at least ``similarity``. Short shingles in the
-    fingerprint keep a few changed words from turning many bits. Texts of one fingerprint are compared with that of the
-    smallest document; see ``crowded_links`` for crowded buckets. A group is what links reach. Rows that repeat doc_id and text are
-    one document; a null text counts as an empty one; a null doc_id is larger than all others.
+    A link needs a Jaccard similarity of the sets of ``shingle``-word shingles of at least ``similarity``; a group is what
+    links reach, and no link is missed that would change a group. Candidates come in two rounds. First texts whose
+    fingerprints of ``words``-word shingles are within ``distance`` bits (in crowded buckets each with the least fingerprint
+    only), and texts that share a prefix shingle (see ``_prefixes``), each with the least text that has it. Then of each
+    prefix shingle all texts that the first round left in different groups, every one with every other. Rows that repeat
+    doc_id and text are one document; a null text counts as an empty one; a null doc_id is larger than all others.
     """
     body = F.md5(F.coalesce("text", F.lit("")))
     named = F.coalesce("doc_id", F.lit(2**63 - 1))
     prints = fingerprints(docs.select(named.alias("key"), body.alias("body"), "text"), words, ["key", "body"])
-    bodies = cut_lineage(prints.groupBy("body").agg(F.min("key").alias("low"), F.min("fp").alias("fp")))
+    bodies = cut_lineage(prints.groupBy("body").agg(F.min("key").alias("low"), F.min("fp").alias("fp")).withColumn("id", F.xxhash64("body")))
     heads = bodies.groupBy("fp").agg(F.min(F.struct("low", "body")).alias("head")).select("fp", "head.body")
-    near = links(cut_lineage(bodies.select("fp").distinct()), distance, parts, crowded)
+    near = links(cut_lineage(bodies.select("fp").distinct()), distance, parts, crowded, far=False)
     a, b = (heads.select(F.col("fp").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
     across = near.join(a, "a").join(b, "b").select("body_a", "body_b")
     within = bodies.join(heads.select("fp", F.col("body").alias("body_b")), "fp").where("body <> body_b").select(F.col("body").alias("body_a"), "body_b")
-    pairs = cut_lineage(across.union(within))
-
-    met = pairs.select(F.col("body_a").alias("body")).union(pairs.select(F.col("body_b").alias("body"))).distinct()
-    spots = bodies.join(met, "body").select(F.col("low").alias("key"), F.col("body").alias("found"))
-    texts = docs.select(named.alias("key"), body.alias("body"), "text").join(spots, "key").where("body = found").dropDuplicates(["body"])
-    sets = cut_lineage(_shingle_sets(texts, shingle))
-    x, y = (sets.select(F.col("body").alias(f"body_{c}"), F.col("shingles").alias(c)) for c in "xy")
-    both = pairs.join(x, pairs["body_a"] == x["body_x"]).join(y, pairs["body_b"] == y["body_y"])
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("body_a").alias("a"), F.col("body_b").alias("b"))
-    groups = bodies.join(components(alike).withColumnRenamed("node", "body"), "body", "left").withColumn("component", F.coalesce("component", "body"))
+
+    def named_pairs(pairs: DataFrame) -> DataFrame:
+        """Bodies for ids. Two bodies of one id would both be tested."""
+        a, b = (bodies.select(F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}")) for x in "ab")
+        return pairs.join(a, "id_a").join(b, "id_b").select("body_a", "body_b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs.select(F.least("body_a", "body_b").alias("body_a"), F.greatest("body_a", "body_b").alias("body_b")).distinct())
+        met = pairs.select(F.col("body_a").alias("body")).union(pairs.select(F.col("body_b").alias("body"))).distinct()
+        spots = bodies.join(met, "body").select(F.col("low").alias("key"), F.col("body").alias("found"))
+        texts = docs.select(named.alias("key"), body.alias("body"), "text").join(spots, "key").where("body = found").dropDuplicates(["body"])
+        sets = cut_lineage(_shingle_sets(texts, shingle))
+        x, y = (sets.select(F.col("body").alias(f"body_{c}"), F.col("shingles").alias(c)) for c in "xy")
+        both = pairs.join(x, pairs["body_a"] == x["body_x"]).join(y, pairs["body_b"] == y["body_y"])
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut_lineage(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("body_a").alias("a"), F.col("body_b").alias("b")))
+
+    # Copies of a text give the same rows; they are made one where the rows of a shingle are.
+    rows = _prefixes(docs.select(F.xxhash64(body).alias("id"), "text"), shingle, similarity).repartition("shingle").distinct()
+    least = rows.groupBy("shingle").agg(F.min(F.struct("id", "size", "at")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut_lineage(rows.join(least, "shingle").select("shingle", F.struct("id", "size", "at").alias("own"), "head", "n"))
+    star = shared.where((F.col("own.id") != F.col("head.id")) & _meetable("own", "head", similarity)).select(F.col("own.id").alias("id_a"), F.col("head.id").alias("id_b")).distinct()
+    alike = verified(across.union(within).union(named_pairs(star)))
+    joined = cut_lineage(components(alike))
+
+    groups = bodies.join(joined.withColumnRenamed("node", "body"), "body").select("id", F.xxhash64("component").alias("group"))
+    placed = shared.where("own.id <> head.id").join(groups.withColumnRenamed("id", "__id"), F.col("own.id") == F.col("__id"), "left")
+    placed = cut_lineage(placed.select("shingle", "own", F.coalesce("group", "own.id").alias("group")))
+    mixed = placed.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("g <> h").select("shingle", F.ceil(F.col("n") / 1000).cast("int").alias("salts"))
+    rest = cut_lineage(placed.join(mixed, "shingle"))
+    x = rest.select("shingle", F.pmod("own.id", F.col("salts")).cast("int").alias("salt"), F.col("own").alias("x"), F.col("group").alias("group_x"))
+    y = rest.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("own").alias("y"), F.col("group").alias("group_y"))
+    cross = x.join(y, ["shingle", "salt"]).where((F.col("group_x") != F.col("group_y")) & (F.col("x.id") < F.col("y.id")) & _meetable("x", "y", similarity))
+    late = verified(named_pairs(cross.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()))
+
+    groups = bodies.join(components(alike.union(late)).withColumnRenamed("node", "body"), "body", "left").withColumn("component", F.coalesce("component", "body"))
     stay = groups.groupBy("component").agg(F.min(F.struct("low", "body")).alias("kept")).select(F.col("kept.low").alias("__key"), F.col("kept.body").alias("__kept"))
     rows = docs.withColumns({"__k": named, "__body": body})
     out = rows.join(stay, (F.col("__k") == F.col("__key")) & (F.col("__body") == F.col("__kept")))

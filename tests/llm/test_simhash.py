@@ -85,3 +85,25 @@ def test_thresholds_are_the_cheapest():
     costs = [np.sort(rng.random(5)).tolist() for _ in range(4)]
     best = min((sum(c[t + 1] for c, t in zip(costs, ts)), ts) for ts in product(range(-1, 4), repeat=4) if sum(ts) == 2)
     assert tuple(simhash.allocate(costs, 2)) == best[1]
+
+
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_template_family_whose_least_text_is_far(spark):
+    """Each member is at 0.6 to 0.75 to the least text, and at 0.9 to one other member."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    texts = []
+    for i in range(50):
+        own = [*base[:20 + 3 * i], *[word() for _ in range(50)], *base[70 + 3 * i:]]
+        texts += [own, [*own[:-12], *[word() for _ in range(12)]]]
+    assert all(0.6 < jaccard(base, t) < 0.76 for t in texts) and all(jaccard(texts[i], texts[i + 1]) > 0.88 for i in range(0, 100, 2))
+    rows = [(0, " ".join(base)), *[(i + 1, " ".join(t)) for i, t in enumerate(texts)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowded in (32, 2):
+        kept = {r["doc_id"] for r in simhash.one_of_each(df, crowded=crowded).collect()}
+        assert kept == {0, *range(1, 101, 2)}
