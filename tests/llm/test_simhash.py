@@ -107,3 +107,21 @@ def test_template_family_whose_least_text_is_far(spark):
     for crowded in (32, 2):
         kept = {r["doc_id"] for r in simhash.one_of_each(df, crowded=crowded).collect()}
         assert kept == {0, *range(1, 101, 2)}
+
+
+def test_block_and_append_edits_are_found(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, kinds = [], {}
+    for i in range(240):
+        n = rng.choice([100, 300])
+        text, cut = [word() for _ in range(n)], rng.randrange(n // 40, n // 9)
+        at = rng.randrange(n - cut)
+        changed = [*text[:at], *[word() for _ in range(cut)], *text[at + cut:]] if i % 3 == 0 else [*text, *[word() for _ in range(cut)]] if i % 3 == 1 else list(text)
+        if i % 3 == 2:
+            for j in rng.sample(range(n), max(1, cut // 5)):
+                changed[j] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(changed))]
+        kinds[2 * i + 1] = jaccard(text, changed)
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(240)} | {k for k, j in kinds.items() if j < 0.8}
