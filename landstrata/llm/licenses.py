@@ -1,7 +1,11 @@
-"""Licence scans: texts and their lines against licence templates, by the Dice coefficient of word bigrams."""
+"""Licence scans: texts and their lines against licence templates, by the Dice coefficient of word bigrams.
+
+Besides, runs of words inside a text are compared, across line ends.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,26 +65,125 @@ class Matcher:
         return out
 
 
+class Finder:
+    """Runs of words inside a text that are similar enough to a template.
+
+    Shared less (similarity / 2) * own bigrams must reach (similarity / 2) * the template's, both counted once. A run begins
+    and ends with a shared bigram, as others only lower it, and is of at most factor times the template's words. Inside
+    a line that is within the size bounds itself no run is sought: that line was compared as a whole.
+    """
+
+    def __init__(self, templates: dict[str, str], matcher: Matcher):
+        self.weight = matcher.similarity / 2
+        self.words: dict[bytes, int] = {}
+        codes = {}
+        for name, text in templates.items():
+            ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in fold(text).split()], np.int64)
+            codes[name] = ids
+        self.span = len(self.words) + 1
+        codes = {k: v[:-1] * self.span + v[1:] for k, v in codes.items()}
+        self.known = np.unique(np.concatenate([np.empty(0, np.int64), *codes.values()]))
+        self.names, self.sizes = list(codes), np.array([len(np.unique(c)) for c in codes.values()])
+        self.reach = [int(len(c) * matcher.factor) for c in codes.values()]
+        self.member = np.array([np.isin(self.known, c) for c in codes.values()]).T
+        # n >= m / factor and shared >= weight * (n + m)
+        self.need = np.ceil(self.weight * (self.sizes + self.sizes / matcher.factor) - 1e-9)
+        self.similarity, self.factor = matcher.similarity, matcher.factor
+
+    def find(self, words: list[bytes], taken: dict[str, list[tuple[int, int]]], lines: list[tuple[int, int]] = ()) -> list[tuple[str, float]]:
+        """(licence, Dice) of runs that meet neither each other nor what is ``taken`` (first and last word) by the same template.
+
+        ``lines`` has the number of words and of bigrams of each line.
+        """
+        get = self.words.get
+        ids = np.array([get(w, 0) for w in words], np.int64)
+        if len(ids) < 2 or not len(self.known):
+            return []
+        code = ids[:-1] * self.span + ids[1:]
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        row = np.minimum(np.searchsorted(self.known, code[at]), len(self.known) - 1)
+        hit = self.known[row] == code[at]
+        at, row = at[hit], row[hit]
+        if len(at) < self.need.min():
+            return []
+        likely = np.flatnonzero(self.member[np.unique(row)].sum(axis=0) >= self.need)
+        if not len(likely):
+            return []
+        last, before = {}, np.empty(len(words) - 1, np.int64)  # where the same bigram was last
+        for i, pair in enumerate(zip(words, words[1:])):
+            before[i] = last.get(pair, -1)
+            last[pair] = i
+        ends = np.repeat(np.cumsum([k for k, _ in lines], dtype=np.int64) - 1, [k for k, _ in lines]) if lines else np.zeros(len(words), np.int64)
+        within = np.repeat([n for _, n in lines], [k for k, _ in lines]) if lines else np.full(len(words), len(words))
+        out = []
+        for t in likely:
+            own = at[self.member[row, t]]
+            shared = np.zeros(len(before), bool)
+            shared[own] = True
+            edges = sorted(taken.get(self.names[t], []))
+            free, start = [], 0
+            for a, b in edges:
+                free.append((start, a - 1))
+                start = max(start, b + 1)
+            free.append((start, len(before)))
+            while free:
+                lo, hi = free.pop()
+                best = self.best(own[np.searchsorted(own, lo):np.searchsorted(own, hi)], shared, before, hi, t, ends, within <= self.sizes[t] * self.factor)
+                if best:
+                    dice, a, b = best
+                    out.append((self.names[t], dice))
+                    free += [(lo, a - 1), (b + 2, hi)]
+        return out
+
+    def best(self, own: np.ndarray, shared: np.ndarray, before: np.ndarray, end: int, t: int, ends: np.ndarray, judged: np.ndarray) -> tuple[float, int, int] | None:
+        """(Dice, first, last bigram) of the closest run, the earliest of several; all starts that can reach the least are tried."""
+        reach, m, found = self.reach[t], self.sizes[t], None
+        enough = np.searchsorted(own, own + reach) - np.arange(len(own)) >= self.need[t]
+        for i in own[enough]:
+            stop = min(i + reach, end)
+            new = before[i:stop] < i
+            n, s = np.cumsum(new), np.cumsum(new & shared[i:stop])
+            dice = 2 * s / (n + m)
+            if judged[i]:
+                dice[:max(0, ends[i] - i)] = 0
+            k = int(np.argmax(dice))
+            if dice[k] >= self.similarity and (found is None or dice[k] > found[0]):
+                found = float(dice[k]), int(i), int(i) + k
+        return found
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, licences, n_places, best, score`` of every row: what is found, on how many lines, and the closest one.
+    """``doc_id, licences, n_places, best, score`` of every row: what is found, in how many places, and the closest one.
 
-    The whole text and each of its lines are compared; words are runs of a-z and 0-9 with A-Z lowered, bigrams count
-    once. ``n_places`` is the number of similar pairs of a line and a template, plus that of the whole text of more than
-    one line. Ties of ``best`` go to the smaller name. Null and empty texts, and clean ones, have no licences, no best
-    and score 0. Other columns are not read; rows that repeat are rows of their own.
+    The whole text, each of its lines and runs of words across lines are compared; words
+    are runs of a-z and 0-9 with A-Z lowered, bigrams count once. ``n_places`` is the number of similar pairs of a line and a
+    template, plus that of the whole text of more than one line, plus that of runs (see ``Finder``) outside what
+    the same template has been found in. Ties of ``best`` go to the smaller name. Null and empty texts, and clean ones, have no
+    licences, no best and score 0. Other columns are not read; rows that repeat are rows of their own.
     """
     shared = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, similarity))
 
     def run(batches):
         matcher = Matcher(*shared.value)
+        finder = Finder(shared.value[0], matcher)
         kinds = [pa.list_(pa.string()), pa.int64(), pa.string(), pa.float64()]
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 lines = fold(text).split(b"\n") if text else []
-                found = [m for line in lines for m in matcher.match(line.split())]
+                found, taken, words, sizes = [], {}, [], []
+                for line in lines:
+                    own = line.split()
+                    for m in matcher.match(own):
+                        found.append(m)
+                        taken.setdefault(m[0], []).append((len(words), len(words) + len(own) - 1))
+                    words += own
+                    sizes.append((len(own), len(bigrams(own))))
                 if len(lines) > 1:
-                    found += matcher.match(b" ".join(lines).split())
+                    for m in matcher.match(words):
+                        found.append(m)
+                        taken.setdefault(m[0], []).append((0, len(words) - 1))
+                found += finder.find(words, taken, sizes)
                 best = min(found, key=lambda m: (-m[1], m[0]), default=(None, 0.0))
                 rows.append((sorted({m[0] for m in found}), len(found), *best))
             columns = list(zip(*rows)) or [[], [], [], []]

@@ -27,6 +27,18 @@ def test_license_odd_rows(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_notices_inside_texts(spark):
+    wrap = lambda text: "\n".join(" * " + x for x in re.findall(r".{1,60}(?:\s|$)", text))
+    code = "\n".join(f"int f{i}(int a{i}) {{ return a{i} + {i}; }}" for i in range(400))
+    names = ["Apache-2.0-header", "GPL-3.0-header", "MPL-2.0-header", "ISC", "MIT"]
+    rows = [(i, f"/* Copyright 2020 Someone\n{wrap(licenses.TEMPLATES[k])}\n */\n{code}") for i, k in enumerate(names)]
+    rows.append((10, "All pictures on these pages are by the author and licensed under CC BY-NC 4.0, so please ask first before you sell them."))
+    rows.append((11, f"{code}\nnothing is licensed here\n{code}"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(k in got[i]["licences"] and got[i]["score"] == 1.0 for i, k in enumerate(names))
+    assert got[10]["licences"] == ["CC-BY-NC-4.0"] and got[10]["n_places"] == 1 and got[11]["licences"] == []
+
+
 def shingles(text, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
