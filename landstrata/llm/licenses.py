@@ -5,6 +5,8 @@ Besides, runs of words inside a text are compared, across line ends.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +26,19 @@ TEMPLATES = {
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+_GRANT = TEMPLATES["MIT"]
+_NO_WARRANTY = 'IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS'
+_DEALINGS = "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+# Whole licences. Those in files are as Debian hands them out.
+FULL_TEXTS = {
+    "MIT-text": f"{_GRANT} {_AS_IS} OR COPYRIGHT HOLDERS {_DEALINGS}",
+    "BSD-2-Clause-text": f"{_BSD} THIS SOFTWARE {_NO_WARRANTY}",
+    "BSD-3-Clause-text": f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE {_NO_WARRANTY}",
+    "ISC-text": TEMPLATES["ISC"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Unlicense-text": TEMPLATES["Unlicense"] + f" In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_AS_IS} {_DEALINGS} For more information, please refer to <http://unlicense.org/>",
+} | {f"{f.stem}-text": f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 SIMILARITY = 0.8
 # a-z and 0-9 stand for themselves, A-Z for a-z, a newline for itself, all else for a space.
 _FOLD = bytes(c if chr(c).isascii() and (chr(c).islower() or chr(c).isdigit()) or c == 10 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -155,13 +170,13 @@ class Finder:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, licences, n_places, best, score`` of every row: what is found, in how many places, and the closest one.
 
-    The whole text, each of its lines and runs of words across lines are compared; words
+    The whole text, each of its lines and runs of words across lines are compared with notices and whole licences; words
     are runs of a-z and 0-9 with A-Z lowered, bigrams count once. ``n_places`` is the number of similar pairs of a line and a
     template, plus that of the whole text of more than one line, plus that of runs (see ``Finder``) outside what
     the same template has been found in. Ties of ``best`` go to the smaller name. Null and empty texts, and clean ones, have no
     licences, no best and score 0. Other columns are not read; rows that repeat are rows of their own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, similarity))
+    shared = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES | FULL_TEXTS, similarity))
 
     def run(batches):
         matcher = Matcher(*shared.value)

@@ -39,6 +39,15 @@ def test_notices_inside_texts(spark):
     assert got[10]["licences"] == ["CC-BY-NC-4.0"] and got[10]["n_places"] == 1 and got[11]["licences"] == []
 
 
+def test_full_licences_alone_and_inside(spark):
+    noise = " ".join(f"word{i}" for i in range(3000))
+    rows = [(i, k, t) for i, (k, t) in enumerate(licenses.FULL_TEXTS.items())]
+    rows += [(100 + i, k, f"{noise}\n{t}\n{noise}") for i, k, t in rows]
+    assert {k for _, k, _ in rows} >= {"MIT-text", "BSD-3-Clause-text", "Apache-2.0-text", "GPL-3-text", "LGPL-3-text", "MPL-2.0-text"}
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
+    assert all(k in got[i] for i, k, _ in rows)
+
+
 def shingles(text, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
