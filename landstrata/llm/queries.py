@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, decontaminate, langid, licenses, line_dedup, packing, sharding, simhash, substring_dedup, topk
+from landstrata.llm import binary, decontaminate, langid, licenses, line_dedup, packing, sharding, simhash, substring_dedup, topk, url_filter
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,31 @@ met as (select id, count(*) as n, string_agg(item, ',' order by item) as items f
 select w.id as doc_id, len(ws) as n_words, coalesce(c.n, 0) as n_hit, coalesce(m.n, 0) as n_items, sha256(coalesce(m.items, '')) as items_sha256,
     coalesce(c.n, 0) > 0 as contaminated
 from w left join covered c using (id) left join met m using (id) where kind = 'd'"""
+
+
+# The policy by host and path, and the words in host names whose pages make the list.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+UNWANTED_HOSTS = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+
+
+@query
+def op13_url_filter(spark, sf):
+    """All pages judged by the rules and, where none fits, by the list: the URLs of pages on unwanted hosts."""
+    pages = table(spark, sf, "pages")
+    listed = pages.where(F.rlike(url_filter.host_of("url"), F.lit(UNWANTED_HOSTS))).select("url")
+    return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES), listed, keep=["page_id"])
+
+
+ORACLES["op13_url_filter"] = r"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as q from u),
+c as (select *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') as site,
+    array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))), '&') as kept from p),
+f as (select *, case when site <> '' then site || regexp_replace(path, '/+$', '') || case when kept <> '' then '?' || kept else '' end end as url from c),
+listed as (select distinct url from f where url is not null and regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)')),
+rules(verdict, h, s) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+r as (select host, path, arg_max(h || s, length(h || s)) as rule, arg_max(verdict, length(h || s)) as verdict
+    from (select distinct host, path from f) x join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by host, path)
+select page_id, f.host, f.path, r.rule, coalesce(r.verdict, case when f.url in (select url from listed) then 'block' else 'allow' end) as verdict
+from f left join r on f.host = r.host and f.path = r.path"""
