@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from landstrata.functions.props import value_of
 from landstrata.functions.text import leaf
-from landstrata.operators.skew import SALTS, first_per_group, join_null_safe, range_buckets
+from landstrata.operators.skew import LIMIT, SALTS, first_per_group, in_ranges, join_null_safe
 
 
 def count_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
@@ -66,42 +66,39 @@ def first_of_layers(df: DataFrame, fields: dict[str, list[str]], position: str =
     return first.select(layer, *[leaf(F.col(document), path).alias(name) for name, path in fields.items()])
 
 
-def expanding_stats(df: DataFrame, order: str, value: str, keys: list[str] | None = None, ties: list[str] | None = None, ranges: int = 256) -> DataFrame:
+def expanding_stats(df: DataFrame, order: str, value: str, keys: list[str] | None = None, ties: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """Count, mean and sample deviation of all earlier rows of a series.
 
-    Rows are handled inside ranges of the order column; what earlier ranges contribute is combined from their count,
-    mean and squared deviation, so no series has to fit one task.
+    A series of at most ``limit`` rows is one window. Larger ones are handled inside ranges of the order; what earlier
+    ranges contribute is combined from their count, mean and squared deviation, one small row for each range.
     """
     keys = keys or []
-    b = range_buckets(df, keys, order, ranges)
-    parts = b.groupBy(*keys, "__bucket").agg(
-        F.count(value).alias("__n"), F.avg(value).alias("__m"), F.var_pop(value).alias("__v")
-    )
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("__n").over(before)
-    # Mean of squares around 0 would lose digits; shift by the first range's mean instead.
-    shift = F.first("__m", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    dev = F.col("__m") - F.col("__shift")
-    parts = parts.withColumn("__shift", shift)
-    offsets = parts.select(
-        *keys,
-        "__bucket",
-        "__shift",
-        F.coalesce(total, F.lit(0)).alias("__cn"),
-        F.coalesce(F.sum(F.col("__n") * dev).over(before), F.lit(0.0)).alias("__c1"),
-        F.coalesce(F.sum(F.col("__n") * (F.col("__v") + dev * dev)).over(before), F.lit(0.0)).alias("__c2"),
-    )
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
-    j = join_null_safe(b, offsets, [*keys, "__bucket"])
+    by = [order, *(ties or [])]
+    rows, split = in_ranges(df, keys, by, limit)
+    part = [*keys, *(["__range"] if split else [])]
+    # Sums of squares around 0 would lose digits: shift by a mean, of the series or of its first range.
+    whole = F.avg(value).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    if split:
+        parts = rows.where("__range is not null").groupBy(*part).agg(F.count(value).alias("__n"), F.avg(value).alias("__m"), F.var_pop(value).alias("__v"))
+        across = Window.partitionBy(*keys).orderBy("__range")
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        shift = F.first("__m", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        parts = parts.withColumn("__shift", shift)
+        dev = F.col("__m") - F.col("__shift")
+        sums = {"__cn": F.col("__n"), "__c1": F.col("__n") * dev, "__c2": F.col("__n") * (F.col("__v") + dev * dev)}
+        earlier = parts.select(*part, "__shift", *[F.sum(c).over(before).alias(n) for n, c in sums.items()])
+        rows = join_null_safe(rows, F.broadcast(earlier), part, "left").withColumn("__shift", F.coalesce("__shift", whole))
+    else:
+        rows = rows.withColumns({"__shift": whole, **{n: F.lit(None).cast("double") for n in ("__cn", "__c1", "__c2")}})
+    inner = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     d = F.col(value) - F.col("__shift")
-    n = F.count(value).over(inner) + F.col("__cn")
-    s1 = F.coalesce(F.sum(d).over(inner), F.lit(0.0)) + F.col("__c1")
-    s2 = F.coalesce(F.sum(d * d).over(inner), F.lit(0.0)) + F.col("__c2")
-    out = j.withColumns({"n_before": n, "__s1": s1, "__s2": s2})
+    sum_of = lambda c, earlier: F.coalesce(F.sum(c).over(inner), F.lit(0.0)) + F.coalesce(F.col(earlier), F.lit(0.0))
+    n = F.count(value).over(inner) + F.coalesce(F.col("__cn").cast("bigint"), F.lit(0))
+    out = rows.withColumns({"n_before": n, "__s1": sum_of(d, "__c1"), "__s2": sum_of(d * d, "__c2")})
     n, s1, s2 = F.col("n_before"), F.col("__s1"), F.col("__s2")
     return out.withColumns(
         {
             "mean_before": F.when(n > 0, F.col("__shift") + s1 / n),
             "std_before": F.when(n > 1, F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1))),
         }
-    ).drop("__bucket", "__shift", "__cn", "__c1", "__c2", "__s1", "__s2")
+    ).drop("__range", "__shift", "__cn", "__c1", "__c2", "__s1", "__s2")

@@ -10,7 +10,7 @@ from landstrata.functions.clip import clip
 from landstrata.functions.geometry import box_polygon, from_rings, once
 from landstrata.functions.props import map_merge, props_or_empty, value_of
 from landstrata.functions.text import canonical_name
-from landstrata.operators.skew import SALTS, join_null_safe, number_rows
+from landstrata.operators.skew import LIMIT, neighbors_in_order
 from landstrata.operators.spatial_join import spatial_pairs
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,24 +64,9 @@ def grid_cell(lon, lat, bbox: dict, columns: int):
     return F.when(inside, F.concat((col + 1).cast("string"), F.lit("_"), row_letters(row, rows)))
 
 
-def link_neighbors(df: DataFrame, position: str, name: str = "name", keys: list[str] | None = None) -> DataFrame:
-    """Add ``prev`` and ``next`` names in position order, the ends joined to each other.
-
-    Rows are numbered and joined on the number, which is unique in a group.
-    """
-    keys = keys or []
-    numbered = number_rows(df, position, keys, name="__n")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    if keys:
-        numbered = join_null_safe(numbered, sizes, keys, salts=SALTS)
-    else:
-        numbered = numbered.withColumn("__size", sizes.select("__size").scalar())
-    n, size = F.col("__n"), F.col("__size")
-    # A row is the next one of its predecessor and the previous one of its successor.
-    for_prev = numbered.select(*keys, (n % size + 1).alias("__n"), F.col(name).alias("prev"))
-    for_next = numbered.select(*keys, ((n - 2 + size) % size + 1).alias("__n"), F.col(name).alias("next"))
-    on = [*keys, "__n"]
-    return join_null_safe(join_null_safe(numbered, for_prev, on), for_next, on).drop("__n", "__size")
+def link_neighbors(df: DataFrame, position: str, name: str = "name", keys: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
+    """Add ``prev`` and ``next`` names in position order, the ends joined to each other."""
+    return neighbors_in_order(df, keys or [], [position], name, circular=True, limit=limit)
 
 
 def load_regions(

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType, DateType
 
 from landstrata.session import cut_lineage
 
 SALTS = 16
-RANGES = 256
+#: Rows of a group that one window takes; larger groups are cut into ranges.
+LIMIT = 200_000
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
@@ -31,42 +31,92 @@ def attach_group_values(
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def _rank_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if isinstance(kind, NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"{column} must be numeric or a time to be numbered at scale, not {kind.simpleString()}")
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], limit: int = LIMIT) -> tuple[DataFrame, bool]:
+    """Add ``__range``: null in groups of at most ``limit`` rows, else the number of the range of ``order`` that a row is in.
 
+    Groups are counted first. Only those over ``limit`` are cut, at every 64th of a sample of their rows taken by the
+    hash of the row, into ranges of about ``limit`` rows; so there are at most rows / ``limit`` bounds, which is why
+    they are broadcast. Equal values of ``order`` are cut further by the row's hash; only rows that are equal throughout
+    stay together. The flag tells whether any group was cut. ``df`` is read for the counts and, where a group is cut,
+    for the sample, so it should be a table or a few steps from one. Null keys form a group.
+    """
+    big = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > limit))
+    if big.isEmpty():
+        return df.withColumn("__range", F.lit(None).cast("int")), False
+    place = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], row_hash(df).alias("h"))
+    every = min(64, limit)
+    share = int(every / limit * (1 << 30))
+    sample = df.where(F.pmod(F.xxhash64(F.lit(7), row_hash(df)), F.lit(1 << 30)) < share)
+    sample = join_null_safe(sample.select(*keys, place.alias("__place")), F.broadcast(big.drop("__size")), keys) if keys else sample.select(place.alias("__place"))
+    cuts = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("__place")).alias("__all"))
+    cuts = cuts.select(*keys, F.filter("__all", lambda x, i: i % every == every - 1).alias("__cuts"))
+    # Looked up in two steps: first among every ``step``th cut, then among the ``step`` cuts that follow it.
+    step = F.greatest(F.lit(1), F.sqrt(F.size("__cuts")).cast("int"))
+    cuts = cut_lineage(cuts.select(*keys, F.struct(F.filter("__cuts", lambda x, i: i % step == step - 1).alias("some"), F.col("__cuts").alias("all"), step.alias("step")).alias("__cuts")))
+    rows = join_null_safe(df, F.broadcast(cuts), keys, "left") if keys else df.withColumn("__cuts", cuts.select("__cuts").scalar())
+    rows = rows.withColumn("__place", place)
+    c, below = F.col("__cuts"), lambda b: b <= F.col("__place")
+    first = F.size(F.filter(c["some"], below)) * c["step"]
+    number = first + F.size(F.filter(F.slice(c["all"], first + 1, c["step"]), below))
+    return rows.withColumn("__range", F.when(c.isNotNull(), number)).drop("__cuts", "__place"), True
+
+
+def _part(keys: list[str], split: bool) -> list[str]:
+    return [*[f"`{k}`" for k in keys], *(["__range"] if split else [])]
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], totals: dict[str, tuple[str, Column]], inclusive: bool = True, limit: int = LIMIT
+) -> DataFrame:
+    """Running ``sum`` or ``bit_xor`` of all rows up to each one (without it if not ``inclusive``) in its group, in ``order``.
 
-def range_buckets(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``__bucket``: the range of ``order`` a row falls in within its group, about equally full.
-
-    The range bounds are one small row per group. They are written to the checkpoint folder first, so a re-run task
-    sees the very same bounds.
+    ``totals`` maps a name to the function and its column; null is 0. Groups of at most ``limit`` rows are one plain
+    window, so one exchange. Larger ones work in ranges (:func:`in_ranges`) and add what earlier ranges hold, one small
+    row for each range. ``order`` should tell rows apart, else equal ones come in any order.
+    """
+    rows, split = in_ranges(df, keys, order, limit)
+    window = Window.partitionBy(*_part(keys, split)).orderBy(*[f"`{c}`" for c in order]).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    whole = {n: F.call_function(f, c) for n, (f, c) in totals.items()}
+    out = rows.withColumns({n: F.coalesce(a.over(window), F.lit(0)) for n, a in whole.items()})
+    if not split:
+        return out.drop("__range")
+    parts = rows.where("__range is not null").groupBy(*_part(keys, split)).agg(*[a.alias(f"__{n}") for n, a in whole.items()])
+    before = Window.partitionBy(*_part(keys, False)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({f"__{n}": F.call_function(f, F.col(f"__{n}")).over(before) for n, (f, _) in totals.items()})
+    # One row a range: rows / limit at most.
+    out = join_null_safe(out, F.broadcast(parts), [*keys, "__range"], "left")
+    add = {"sum": lambda a, b: a + b, "bit_xor": lambda a, b: a.bitwiseXOR(b)}
+    out = out.withColumns({n: add[f](F.col(n), F.coalesce(F.col(f"__{n}"), F.lit(0))) for n, (f, _) in totals.items()})
+    return out.drop("__range", *[f"__{n}" for n in totals])
+
+
+def neighbors_in_order(df: DataFrame, keys: list[str], order: list[str], column: str, circular: bool = False, limit: int = LIMIT) -> DataFrame:
+    """Add ``prev`` and ``next``: ``column`` of the rows before and after in the group; the ends meet if ``circular``, else get null.
+
+    One exchange for groups of at most ``limit`` rows; larger ones work in ranges, whose first and last rows are the seam.
     """
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    number = _rank_number(df, order)
-    bounds = cut_lineage(
-        df.groupBy(*keys).agg(F.percentile_approx(number, steps, ranges * 4).alias("__bounds"))
-    )
-    if keys:
-        spread = F.col(order)
-        # Group keys may be null; those rows have their own group too.
-        wide = attach_group_values(
-            df.withColumns({f"__k{i}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) for i, k in enumerate(keys)}),
-            bounds.select(
-                *[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"__k{i}") for i, k in enumerate(keys)],
-                "__bounds",
-            ),
-            [f"__k{i}" for i in range(len(keys))],
-            spread,
-        ).drop(*[f"__k{i}" for i in range(len(keys))])
-    else:
-        wide = df.withColumn("__bounds", bounds.select("__bounds").scalar())
-    inside = F.size(F.filter(F.col("__bounds"), lambda b: b <= number))
-    return wide.withColumn("__bucket", F.coalesce(inside, F.lit(-1))).drop("__bounds")
+    rows, split = in_ranges(df, keys, order, limit)
+    by = [f"`{c}`" for c in order]
+    window = Window.partitionBy(*_part(keys, split)).orderBy(*by)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = F.struct(F.col(f"`{column}`").alias("v"))  # never null itself: a null row and no row differ
+    out = rows.withColumns({"prev": F.lag(v).over(window), "next": F.lead(v).over(window)})
+    if not split:
+        if circular:
+            out = out.withColumns({"prev": F.coalesce("prev", F.last(v).over(whole)), "next": F.coalesce("next", F.first(v).over(whole))})
+        return out.withColumns({"prev": F.col("prev.v"), "next": F.col("next.v")}).drop("__range")
+    at = F.struct(*[F.col(c) for c in by])
+    ends = rows.groupBy(*_part(keys, split)).agg(F.min_by(v, at).alias("__first"), F.max_by(v, at).alias("__last"))
+    if not circular:
+        ends = ends.where("__range is not null")
+    across = Window.partitionBy(*_part(keys, False)).orderBy("__range")
+    group = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back, on = F.lag("__last").over(across), F.lead("__first").over(across)
+    if circular:
+        back, on = F.coalesce(back, F.last("__last").over(group)), F.coalesce(on, F.first("__first").over(group))
+    ends = ends.select(*_part(keys, split), back.alias("__back"), on.alias("__on"))
+    out = join_null_safe(out, ends if circular else F.broadcast(ends), [*keys, "__range"], "left")
+    return out.withColumns({"prev": F.coalesce("prev", "__back")["v"], "next": F.coalesce("next", "__on")["v"]}).drop("__range", "__back", "__on")
 
 
 def number_rows(
@@ -75,22 +125,13 @@ def number_rows(
     keys: list[str] | None = None,
     ties: list[str] | None = None,
     name: str = "n",
-    ranges: int = RANGES,
+    limit: int = LIMIT,
 ) -> DataFrame:
-    """Running number from 1 within each group, as ``row_number`` gives, without one task per group.
+    """Running number from 1 within each group, as ``row_number`` gives, without one task for a large group.
 
-    Rows are numbered inside ranges of the order column; the count of all earlier ranges is added. ``order`` has to
-    be close to unique (a position or a time), ``ties`` settle equal values.
+    ``ties`` settle equal values of ``order``, which may be any sortable column.
     """
-    keys = keys or []
-    bucketed = range_buckets(df, keys, order, ranges)
-    sizes = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(order, *(ties or []))
-    numbered = bucketed.withColumn("__i", F.row_number().over(inner))
-    joined = join_null_safe(numbered, offsets, [*keys, "__bucket"])
-    return joined.withColumn(name, F.col("__i") + F.col("__offset")).drop("__i", "__offset", "__bucket")
+    return running(df, keys or [], [order, *(ties or [])], {name: ("sum", F.lit(1).cast("bigint"))}, limit=limit)
 
 
 def row_hash(df: DataFrame) -> Column:

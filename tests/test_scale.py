@@ -70,17 +70,61 @@ def test_numbering_with_a_hot_group(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") % 3 != 0, F.lit("hot")).when(F.col("id") % 9 == 0, None).otherwise((F.col("id") % 5).cast("string")).alias("k"), (F.col("id") * 7919 % 5000).alias("o"))
     w = Window.partitionBy("k").orderBy("o")
     want = {(r.id, r.n) for r in rows.withColumn("n", F.row_number().over(w)).select("id", "n").collect()}
-    assert {(r.id, r.n) for r in skew.number_rows(rows, "o", ["k"], ranges=32).select("id", "n").collect()} == want
+    assert {(r.id, r.n) for r in skew.number_rows(rows, "o", ["k"], limit=150).select("id", "n").collect()} == want
     # The largest range stays far below the hot group.
-    sizes = skew.range_buckets(rows, ["k"], "o", 32).groupBy("k", "__bucket").count()
-    assert sizes.agg(F.max("count")).collect()[0][0] < 5000 * 2 / 3 / 8
+    ranged, split = skew.in_ranges(rows, ["k"], ["o"], 150)
+    assert split and ranged.groupBy("k", "__range").count().agg(F.max("count")).collect()[0][0] < 5000 * 2 / 3 / 8
+
+
+def test_numbering_with_equal_order_values_and_nulls(spark):
+    """One order value for most rows of one group, nulls in order and key: numbers are gapless, and no range is large."""
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 4 > 0, F.lit(1)).alias("k"), F.when(F.col("id") % 3 > 0, F.lit("same")).when(F.col("id") % 2 == 0, "z").alias("o"))
+    got = skew.number_rows(rows, "o", ["k"], limit=200)
+    gaps = got.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("n").alias("d"), F.min("n").alias("a"), F.max("n").alias("b")).collect()
+    assert all((g.n, g.n, 1) == (g.d, g.b, g.a) for g in gaps) and sum(g.n for g in gaps) == 6000
+    wrong = got.withColumn("before", F.lag("o").over(Window.partitionBy("k").orderBy("n"))).where("before > o or (before is not null and o is null)")
+    assert wrong.count() == 0
+    ranged, _ = skew.in_ranges(rows, ["k"], ["o"], 200)
+    assert ranged.groupBy("k", "__range").count().agg(F.max("count")).collect()[0][0] < 700
+    tied = skew.number_rows(rows, "o", ["k"], ["id"], limit=200).select("id", "n")
+    want = rows.select("id", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")).cast("bigint").alias("n"))
+    assert tied.exceptAll(want).count() == 0
+
+
+def test_small_groups_are_one_window(spark):
+    """100,000 groups: one exchange of the rows and no join, and the links of each group are its own."""
+    from landstrata.operators import regions
+
+    rows = spark.range(200_000).select("id", (F.col("id") % 100_000).alias("k"), F.col("id").cast("string").alias("name"))
+    out = regions.link_neighbors(rows, "id", "name", ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert out.where("cast(prev as bigint) <> (id + 100000) % 200000 or prev <> next").count() == 0
+    expanding = profile.expanding_stats(rows, "id", "id", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert expanding.count("Exchange") == 1 and "Join" not in expanding
+
+
+def test_links_of_a_group_cut_into_ranges(spark):
+    from landstrata.operators import regions
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 9 > 0, "x").alias("k"), F.when(F.col("id") % 50 > 0, F.col("id").cast("string")).alias("name"))
+    w = Window.partitionBy("k").orderBy("id")
+    all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.row_number().over(w)
+    want = rows.select(
+        "id", F.when(n == 1, F.last("name").over(all_of)).otherwise(F.lag("name").over(w)).alias("prev"),
+        F.when(F.lead("id").over(w).isNull(), F.first("name").over(all_of)).otherwise(F.lead("name").over(w)).alias("next"),
+    )
+    got = regions.link_neighbors(rows, "id", "name", ["k"], limit=100).select("id", "prev", "next")
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    assert regions.link_neighbors(rows.select("id", "name"), "id", "name", limit=100).where("id = 0").first().prev == "2999"
 
 
 def test_expanding_stats_over_one_series(spark):
     rows = spark.range(3000).select("id", (F.col("id") * 37 % 101 + 1e6).alias("v"))
     w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     want = rows.withColumns({"m": F.avg("v").over(w), "s": F.stddev_samp("v").over(w)})
-    got = profile.expanding_stats(rows, "id", "v", ranges=16).join(want, "id")
+    got = profile.expanding_stats(rows, "id", "v", limit=200).join(want, "id")
     far = got.filter((F.abs(F.col("m") - F.col("mean_before")) > 1e-6) | (F.abs(F.col("s") - F.col("std_before")) > 1e-6) | (F.col("id") != F.col("n_before")))
     assert far.count() == 0
     assert got.filter("std_before is null").count() == 2
