@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, decontaminate, langid, licenses, line_dedup, packing, sharding, simhash, substring_dedup, topk, url_filter
+from landstrata.llm import binary, decontaminate, langid, licenses, line_dedup, packing, prefix_trie, sharding, simhash, substring_dedup, topk, url_filter
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,31 @@ r as (select host, path, arg_max(h || s, length(h || s)) as rule, arg_max(verdic
     from (select distinct host, path from f) x join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by host, path)
 select page_id, f.host, f.path, r.rule, coalesce(r.verdict, case when f.url in (select url from listed) then 'block' else 'allow' end) as verdict
 from f left join r on f.host = r.host and f.path = r.path"""
+
+
+@query
+def op12_conversation_prefix_trie(spark, sf):
+    """All nodes of the trie of all conversations."""
+    return prefix_trie.family_trie(table(spark, sf, "conversations"))
+
+
+
+# The table of CRC-32 is worked out, as DuckDB has no such function.
+ORACLES["op12_conversation_prefix_trie"] = r"""
+with crc as (select [list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) for n in range(256)] as tab),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+own as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, md5(length(role) || ':' || role || text)) as ts from t group by conv_id),
+ids as (select conv_id, ts, xor(list_reduce(list_prepend(4294967295, [cast(ascii(x) as bigint) for x in string_split(cast(conv_id as varchar), '')]),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 4 as h from own, crc),
+built as (select i.conv_id, list_concat(coalesce(b.ts[1:h], []), i.ts[h + 1:]) as ts from ids i left join own b on b.conv_id = i.conv_id - i.conv_id % 20),
+steps as (select conv_id, ts, unnest(range(0, len(ts) + 1)) as d from built),
+paths as (select conv_id, d, len(ts) as n, case when d > 0 then ts[d].text else '' end as last, min(conv_id) over (partition by d, md5(cast(ts[1:d] as varchar))) as node from steps),
+nodes as (select node, d, count(*) as n_convs, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (d = n) as ends,
+    (count(*) - 1) * len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')) as saved from paths group by node, d),
+up as (select v.node, v.d, p.node as parent from nodes v left join paths p on p.conv_id = v.node and p.d = v.d - 1),
+kids as (select parent as node, d - 1 as d, count(*) as n from up where d > 0 group by parent, d),
+sums as (select p.node, p.d, sum(v.saved) as saved, count(*) filter (k.n is null) as leaves
+    from nodes v left join kids k on k.node = v.node and k.d = v.d join paths p on p.conv_id = v.node and p.d <= v.d group by p.node, p.d)
+select v.node as conv_id, v.d as depth, parent as parent_conv_id, n_convs, coalesce(k.n, 0) as n_children, leaves as n_leaves, cast(s.saved as bigint) as saved_tokens,
+    sha256(coalesce(ends, '')) as ends_sha256
+from nodes v join up on up.node = v.node and up.d = v.d join sums s on s.node = v.node and s.d = v.d left join kids k on k.node = v.node and k.d = v.d"""
