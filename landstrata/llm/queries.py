@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.llm import binary, decontaminate, langid, licenses, line_dedup, packing, prefix_trie, sharding, simhash, substring_dedup, topk, url_filter
+from landstrata.llm import alignment, binary, decontaminate, langid, licenses, line_dedup, packing, prefix_trie, sharding, simhash, substring_dedup, topk, url_filter
 from landstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,11 @@ sums as (select p.node, p.d, sum(v.saved) as saved, count(*) filter (k.n is null
 select v.node as conv_id, v.d as depth, parent as parent_conv_id, n_convs, coalesce(k.n, 0) as n_children, leaves as n_leaves, cast(s.saved as bigint) as saved_tokens,
     sha256(coalesce(ends, '')) as ends_sha256
 from nodes v join up on up.node = v.node and up.d = v.d join sums s on s.node = v.node and s.d = v.d left join kids k on k.node = v.node and k.d = v.d"""
+
+
+@query
+def op11_tokenizer_alignment(spark, sf):
+    """The tokens of all documents by two tokenizers, aligned, and how common the links of each document are."""
+    import public_tokenizers
+
+    return alignment.link_counts(table(spark, sf, "documents"), tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
