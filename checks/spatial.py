@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from checks.derived import box, check, delta, lin, pts, r, reg, table, tri
@@ -13,7 +16,11 @@ from landstrata.operators import layers, profile, regions
 from landstrata.operators.alter import add_links
 from landstrata.operators.spatial_join import spatial_join, spatial_pairs
 from landstrata.plans import registry, sql as plan_sql
+from landstrata.session import checkpoint_dir
+from landstrata.sources import deltas
+from landstrata.sources.store import LayerStore
 from landstrata.sources.vector import clip_scan, world_filter
+from landstrata.streaming import apply
 
 IDS = {"left_id": "event_id", "right_id": "p_partkey"}
 EXTENT = {"west": -124.0, "south": 39.0, "east": -123.0, "north": 40.0}
@@ -490,18 +497,69 @@ _CHANGES = """with c as (select k, ts, lpad(cast(k as varchar), 12, '0') as file
       and c.y between a.y - cast(0.004 as double) and a.y + cast(0.004 as double) and (a.ts > c.ts or (a.ts = c.ts and a.file > c.file)))"""
 
 
-@check(
-    "layer_from_deltas",
-    f"""{_CHANGES},
+_LAYER = f"""{_CHANGES},
     n as (select k, note from (select k, note, row_number() over (partition by k order by ts desc, file desc) as i from m where action = 'annotate' and note is not null) where i = 1),
     w as (select k, who from (select k, who, row_number() over (partition by k order by ts desc, file desc) as i from m where action = 'annotate') where i = 1)
-    select name as feature_id, name, note, who as "by" from c left join n using (k) left join w using (k) where k not in (select k from m where action = 'delete')""",
+    select name as feature_id, name, note, who as "by" from c left join n using (k) left join w using (k) where k not in (select k from m where action = 'delete')"""
+
+
+@check(
+    "layer_from_deltas",
+    _LAYER,
 )
 def layer_from_deltas(spark, sf):
     out = layers.apply_deltas(None, delta(spark, sf))
     return out.select("feature_id", *[prop(k).alias(k) for k in ("name", "note", "by")])
 
 
+def _store(spark):
+    return LayerStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/check-store-{uuid4().hex}")
+
+
+# The same layer as from all deltas at once, from batches that come in no order of time, compacted in between.
+@check("replay_equals_refresh", _LAYER)
+def _(spark, sf):
+    store, d = _store(spark), delta(spark, sf)
+    for i in (2, 0, 1):
+        apply.apply_batch(store, d.filter(F.pmod(F.xxhash64("file"), F.lit(3)) == i), i, str(i), late="merge")
+        if i == 0:
+            store.compact("places")
+    return store.read("places").select("feature_id", *[prop(k).alias(k) for k in ("name", "note", "by")])
+
+
+@check("published_version", "select k, event_type as kind from pts join (select event_id as k from events) on event_id = k")
+def _(spark, sf):
+    """A version keeps the layer as it was when it was published."""
+    store = _store(spark)
+    p = pts(spark, sf).select(F.col("event_id").alias("k"), F.col("event_type").alias("kind"))
+    store.write("points", p)
+    store.publish("20250101_000000")
+    store.write("points", p.filter("k % 2 = 0"))
+    store.clear("points")
+    store.publish("20250102_000000")
+    return store.read_version("points", back=1)
+
+
+@check("appended_log", "select feature_id, count(*) as n from (select cast(k as varchar) as feature_id from delta union all select cast(k as varchar) from delta where action = 'create') group by 1")
+def _(spark, sf):
+    """Two batches of a layer and one of another in a log; the first layer's come back whole."""
+    log, d = f"{checkpoint_dir(spark).rstrip('/')}/check-log-{uuid4().hex}", delta(spark, sf)
+    at = datetime(2025, 1, 1)
+    deltas.append_to_log(d, log, "places", "create", at=at)
+    deltas.append_to_log(d.filter("action = 'create'"), log, "places", "annotate", at=at)
+    deltas.append_to_log(d, log, "elsewhere", "create", at=at)
+    return deltas.read_log(spark, log, "places").groupBy("feature_id").agg(count().alias("n"))
+
+
+@check("keys_of_a_layer", f"{_CHANGES} select 'name' as key union select 'by' from m where action = 'annotate' union select 'note' from m where action = 'annotate' and note is not null")
+def _(spark, sf):
+    """The property keys that commits keep: of features, and of annotations that meet one."""
+    store, d = _store(spark), delta(spark, sf)
+    apply.apply_batch(store, d.filter("action = 'create'"), 0, late="merge")
+    apply.apply_batch(store, d.filter("action <> 'create'"), 1, late="merge")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in store.keys("places")])).alias("key"))
+
+
 @check(
     "refresh_layer_with_links",
     f"""{_CHANGES} select name as feature_id, '/staging/outlets/webmap/?lat=' || cast(y as varchar) || '&lng=' || cast(x as varchar) || '&zoom=17' as url from c
@@ -544,9 +602,7 @@ def _(spark, sf):
 
 @check("deltas_in_time_order", "select cast(k as varchar) as feature_id, cast(row_number() over (order by ts, lpad(cast(k as varchar), 12, '0')) as bigint) as n from delta")
 def _(spark, sf):
-    from landstrata.operators.skew import number_rows
-
-    return number_rows(delta(spark, sf), "ts", ties=["file"]).select("feature_id", F.col("n").cast("bigint").alias("n"))
+    return layers.in_time_order(delta(spark, sf)).select("feature_id", "n")
 
 
 @check("version_choice", "select version from (select distinct strftime(o_orderdate, '%Y%m%d_%H%M%S') as version from orders) order by version desc limit 1 offset 1")

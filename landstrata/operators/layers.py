@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landstrata.functions.props import map_merge, props_or_empty, truthy_only
-from landstrata.operators.skew import SALTS, first_per_group, join_null_safe
+from landstrata.operators.skew import SALTS, first_per_group, join_null_safe, number_rows
 from landstrata.operators.spatial_join import spatial_pairs
 
 # Delta actions.
@@ -32,49 +32,85 @@ def check_actions(deltas: DataFrame, action: str = "action") -> DataFrame:
     return deltas.filter(known)
 
 
+NAMES = ["feature_id", "geom", "properties", "ts", "file", "pos"]
+AT = "struct<ts:timestamp,file:string,pos:bigint>"
+MARKS = f"map<string,struct<value:string,at:{AT}>>"
+
+
+def change_marks(rows: DataFrame, changes: DataFrame, feature_id: str = "feature_id", near: DataFrame | None = None, by_id: bool = True, **join_options) -> DataFrame:
+    """What annotations and deletes write on rows that are older than they: ``(row, key, value, at)``, one for each row and key.
+
+    An *annotate* writes its truthy values on features that it meets; a *delete* writes the key ``GONE`` on features that
+    it meets or that have its id. Of all changes that write a key the latest stays, so the marks of several sets of changes
+    can be put together in any order: the latest ``at`` of a row and key holds. ``row`` is a row's ``file`` and ``pos``.
+    ``near`` may name the rows that changes can meet, where the caller can read fewer than all ``rows``; without ``by_id``
+    (no delete among the changes) ``rows`` are not read at all.
+    """
+    falsy = F.col("falsy_keys") if "falsy_keys" in changes.columns else None
+    over = truthy_only(props_or_empty(F.col("properties")), falsy)
+    changes = changes.select(F.col(feature_id).alias("id"), "geom", over.alias("over"), "ts", "file", "pos", "action")
+    later = F.struct(F.col("anno_ts"), F.col("anno_file")) > F.struct(F.col("ts"), F.col("file"))
+    # Pairs carry keys, shapes and times only.
+    slim = (rows if near is None else near).select(row_key().alias("row"), "geom", "ts", "file")
+    at = F.struct(F.col("anno_ts").alias("ts"), F.col("anno_file").alias("file"), F.col("anno_pos").alias("pos")).alias("at")
+    pairs = spatial_pairs(slim, changes, left_id="row", right_id="id", on=later, **join_options)
+    written = F.when(F.col("anno_action") == "delete", F.create_map(F.lit(GONE), F.lit(""))).otherwise(F.col("anno_over"))
+    marks = pairs.select("row", F.explode(written).alias("key", "value"), at)
+    if not by_id:
+        return latest_marks(marks)
+    # One delete of an id is enough, the latest: ids may repeat on both sides.
+    when = F.struct("ts", "file", "pos")
+    named = changes.filter(F.col("action") == "delete").groupBy(F.col("id").alias("anno_id")).agg(F.max(when).alias("__at"))
+    named = named.select("anno_id", *[F.col(f"__at.{c}").alias("anno_" + c) for c in ("ts", "file", "pos")])
+    met = rows.select(feature_id, row_key().alias("row"), "ts", "file").join(named, F.col(feature_id) == F.col("anno_id")).filter(later)
+    return latest_marks(marks.unionByName(met.select("row", F.lit(GONE).alias("key"), F.lit("").alias("value"), at)))
+
+
+def row_key() -> Column:
+    """``file`` and ``pos`` name a created row, since ids may repeat."""
+    return F.concat_ws("#", "file", F.col("pos").cast("string"))
+
+
+def latest_marks(marks: DataFrame) -> DataFrame:
+    """One mark of each row and key; one leaves each task, so a feature with very many annotations stays small."""
+    return marks.groupBy("row", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+
+
+def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows with their ``marks`` as a map beside those they had, the later of each key; deleted rows go."""
+    one = F.struct(F.col("key"), F.struct("value", "at").alias("mark"))
+    effect = latest_marks(marks).groupBy("row").agg(F.map_from_entries(F.collect_list(one)).alias("__new"))
+    rows = rows.withColumn("__row", row_key())
+    joined = rows.join(effect.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    none = F.expr(f"cast(map() as {MARKS})")
+    new = F.coalesce(F.col("__new"), none)
+    if "marks" in rows.columns:
+        newer = lambda k, a, b: F.when(a.isNull() | (b["at"] > a["at"]), F.coalesce(b, a)).otherwise(a)
+        new = F.map_zip_with(F.coalesce("marks", none), new, newer)
+    return joined.withColumn("marks", new).drop("__new").filter(~F.map_contains_key("marks", F.lit(GONE)))
+
+
+def marked_properties() -> Column:
+    """``properties`` with the values of ``marks`` on top; null properties stay null on rows without a mark."""
+    values = F.transform_values("marks", lambda k, m: m["value"])
+    return F.when(F.size("marks") > 0, map_merge(props_or_empty(F.col("properties")), values)).otherwise(F.col("properties"))
+
+
 def apply_deltas(layer: DataFrame | None, deltas: DataFrame, feature_id: str = "feature_id", **join_options) -> DataFrame:
     """A layer (``feature_id, geom, properties, ts, file, pos``) after a set of deltas, in time order.
 
     All deltas go through one plan, whatever their number: a *create* adds its features; an *annotate* writes its
     truthy values on features that are older and that it meets, the latest value of each key winning; a *delete*
     takes away older features that it meets or that have its id. Start from ``None`` to rebuild a layer from all its
-    deltas. ``file`` and ``pos`` name a created row, since ids may repeat.
+    deltas.
     """
-    names = [feature_id, "geom", "properties", "ts", "file", "pos"]
+    names = [feature_id, *NAMES[1:]]
     deltas = check_actions(deltas)
-    base = deltas.filter(F.col("action") == "create").select(names)
+    rows = deltas.filter(F.col("action") == "create").select(names)
     if layer is not None:
-        base = layer.select(names).unionByName(base)
-    rows = base.withColumn("__row", F.concat_ws("#", "file", F.col("pos").cast("string")))
-    falsy = F.col("falsy_keys") if "falsy_keys" in deltas.columns else None
-    changes = deltas.filter(F.col("action") != "create").select(
-        F.col(feature_id).alias("id"), "geom", truthy_only(props_or_empty(F.col("properties")), falsy).alias("over"), "ts", "file", "pos", "action"
-    )
-    later = F.struct(F.col("anno_ts"), F.col("anno_file")) > F.struct(F.col("ts"), F.col("file"))
-    # Pairs carry keys, shapes and times only; the rows themselves are joined once, at the end, on their unique key.
-    slim = rows.select("__row", "geom", "ts", "file")
-    at = F.struct("anno_ts", "anno_file", "anno_pos").alias("at")
-    pairs = spatial_pairs(slim, changes, left_id="__row", right_id="id", on=later, **join_options)
-    written = F.when(F.col("anno_action") == "delete", F.create_map(F.lit(GONE), F.lit(""))).otherwise(F.col("anno_over"))
-    marks = pairs.select("__row", F.explode(written).alias("key", "value"), at)
-    # One delete of an id is enough, the latest: ids may repeat on both sides.
-    when = F.struct("ts", "file", "pos")
-    named = changes.filter(F.col("action") == "delete").groupBy(F.col("id").alias("anno_id")).agg(F.max(when).alias("__at"))
-    named = named.select("anno_id", *[F.col(f"__at.{c}").alias("anno_" + c) for c in ("ts", "file", "pos")])
-    by_id = rows.select(feature_id, "__row", "ts", "file").join(named, F.col(feature_id) == F.col("anno_id")).filter(later)
-    marks = marks.unionByName(by_id.select("__row", F.lit(GONE).alias("key"), F.lit("").alias("value"), at))
-    # Per feature and key one value leaves each task, so a feature with very many annotations stays small.
-    latest = marks.groupBy("__row", "key").agg(F.max_by("value", "at").alias("value"))
-    entry = F.when(F.col("key") != GONE, F.struct("key", "value"))
-    effect = latest.groupBy("__row").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("__over"),
-        F.max(F.col("key") == GONE).alias("__gone"),
-    )
-    left = rows.join(effect, "__row", "left").filter(~F.coalesce(F.col("__gone"), F.lit(False)))
-    merged = F.when(F.col("__over").isNotNull(), map_merge(props_or_empty(F.col("properties")), F.col("__over"))).otherwise(
-        F.col("properties")
-    )
-    return left.withColumn("properties", merged).select(names)
+        rows = layer.select(names).unionByName(rows)
+    marks = change_marks(rows, deltas.filter(F.col("action") != "create"), feature_id, **join_options)
+    return with_marks(rows, marks).withColumn("properties", marked_properties()).select(names)
 
 
 def bag_union(*frames: DataFrame) -> DataFrame:
@@ -118,8 +154,9 @@ def latest_batch(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     return join_null_safe(df, newest, keys, salts=SALTS).filter(F.col(ts) == F.col("__newest")).drop("__newest")
 
 
-def in_time_order(deltas: DataFrame) -> DataFrame:
-    return deltas.orderBy("ts", "file")
+def in_time_order(deltas: DataFrame, name: str = "n") -> DataFrame:
+    """Deltas with their number in the order in which they hold: by time, then by file."""
+    return number_rows(deltas, "ts", ties=["file"], name=name)
 
 
 def choose_version(versions: DataFrame, back: int = 0, name: str = "version") -> DataFrame:

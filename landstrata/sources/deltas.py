@@ -12,15 +12,17 @@ from landstrata.operators.layers import check_actions, delta_name_parts
 from landstrata.sources.geojson import COLLECTION, features_of
 
 COLUMNS = ["layer", "asset", "ts", "action", "file", "pos", "feature_id", "geom", "properties", "falsy_keys"]
+BROKEN = "__broken"
+#: Beside the features of a batch: for a file that cannot be applied, why and where it is.
+REJECT = "struct<reason:string,path:string,arrived:timestamp>"
 
 
-def _parse(raw: DataFrame, layer: str | None) -> DataFrame:
-    raw = raw.withColumn("__arrived", F.col("_metadata.file_modification_time"))
-    named = raw.withColumns({"file": F.col("_metadata.file_name"), "__path": F.col("_metadata.file_path")})
+def _named(raw: DataFrame, layer: str | None) -> DataFrame:
+    raw = raw.withColumns({"__arrived": F.col("_metadata.file_modification_time"), "file": F.col("_metadata.file_name"), "__path": F.col("_metadata.file_path")})
     parts = delta_name_parts(F.col("file"))
     # An upload carries its layer and action in the payload; a delta file in its folder and name.
     folder = F.element_at(F.split(F.col("__path"), "/"), -2)
-    named = named.withColumns(
+    return raw.withColumns(
         {
             "layer": F.lit(layer) if layer else F.coalesce(F.col("layer"), folder),
             "asset": parts["asset"],
@@ -29,24 +31,58 @@ def _parse(raw: DataFrame, layer: str | None) -> DataFrame:
             "action": F.coalesce(parts["action"], F.col("action")),
         }
     )
-    return features_of(named, ["layer", "asset", "ts", "action", "file"]).select(COLUMNS)
 
 
-def read_inbox(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Features of all pending delta files; an unknown action or a file that is not whole JSON fails the read."""
-    return check_actions(_parse(spark.read.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST").json(path), layer))
+def _parse(raw: DataFrame, layer: str | None) -> DataFrame:
+    return features_of(_named(raw, layer), ["layer", "asset", "ts", "action", "file"]).select(COLUMNS)
+
+
+def _parse_or_reject(raw: DataFrame, layer: str | None) -> DataFrame:
+    """Features of whole files, and one row with ``reject`` for each other file: what is not whole JSON, or has no features."""
+    reason = F.when(F.col(BROKEN).isNotNull(), F.lit("not whole JSON")).when(F.col("features").isNull(), F.lit("no feature collection"))
+    named = _named(raw, layer).withColumn("reject", F.when(reason.isNotNull(), F.struct(reason.alias("reason"), F.col("__path").alias("path"), F.col("__arrived").alias("arrived"))))
+    # Half a file gives no feature: it is whole or rejected.
+    one = F.expr("cast(array(null) as array<struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,properties:string,neighbors:map<string,string>>>)")
+    held = named.withColumn("features", F.when(F.col("reject").isNotNull(), one).otherwise(F.col("features")))
+    return features_of(held, ["layer", "asset", "ts", "action", "file", "reject"]).select(*COLUMNS, "reject")
+
+
+def _whole_or_broken(reader):
+    """JSON files read whole; one that does not parse gives a row with its text in ``BROKEN``."""
+    return reader.schema(f"{COLLECTION}, {BROKEN} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+
+
+def read_inbox(spark: SparkSession, path: str, layer: str | None = None, broken: str = "fail") -> DataFrame:
+    """Features of all delta files; an unknown action fails the read.
+
+    A file that is not whole JSON fails it too, or is left out with ``broken='skip'``, as in the stream; see :func:`read_rejects`.
+    """
+    if broken == "fail":
+        return check_actions(_parse(spark.read.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST").json(path), layer))
+    if broken != "skip":
+        raise ValueError(f"unknown treatment of broken files {broken!r}")
+    return check_actions(_parse_or_reject(_whole_or_broken(spark.read).json(path), layer).where("reject is null").drop("reject"))
+
+
+def rejects_of(features: DataFrame) -> DataFrame:
+    return features.where("reject is not null").select("file", "reject.path", "layer", "reject.arrived", "reject.reason")
+
+
+def read_rejects(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """Delta files that cannot be applied: ``file, path, layer, arrived, reason``."""
+    return rejects_of(_parse_or_reject(_whole_or_broken(spark.read).json(path), layer))
 
 
 def stream_inbox(
     spark: SparkSession, path: str, archive: str | None = None, layer: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The inbox as a stream; with ``archive`` consumed files are moved there. A file that is not whole JSON stops it."""
-    reader = spark.readStream.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST")
+    """The inbox as a stream; with ``archive`` consumed files are moved there. A file that cannot be read is one row with ``reject``."""
+    reader = _whole_or_broken(spark.readStream)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _parse(reader.json(path), layer)
+    return _parse_or_reject(reader.json(path), layer)
 
 
 def delta_file_name(asset: str, action: str, at: datetime | None = None) -> str:

@@ -126,6 +126,122 @@ def test_late_delta_asks_for_replay(spark, folder, inbox):
     assert state(layers.read("roads")) == state(apply.replay(spark, layers, "roads", inbox))
 
 
+def test_late_upload_in_a_stream_equals_replay(spark, folder, inbox):
+    """Files that arrive in another order than that of their times: the stream goes on and ends as the replay does."""
+    order = "d b e a c".split()
+    for name in os.listdir(inbox):
+        at = 1735689600 + order.index(name[0]) * 60
+        os.utime(f"{inbox}/{name}", (at, at))
+    layers = store.LayerStore(spark, f"{folder}/store")
+    q = apply.start_refresh(spark, inbox, layers, f"{folder}/state", files_per_trigger=1)
+    assert q.awaitTermination(300) and q.exception() is None
+    assert len(layers._commits("roads")) == 5
+    want = state(apply.replay(spark, layers, "roads", inbox))
+    assert want and state(layers.read("roads")) == want
+    # Compacted, with a change that is older than what the marks hold.
+    assert layers.compact("roads") and state(layers.read("roads")) == want
+    put(inbox, "f__20250102_120000__annotate.geojson", box(-1, -1, 1, 1, color="green", shade="dark"))
+    q = apply.start_refresh(spark, inbox, layers, f"{folder}/state")
+    assert q.awaitTermination(300) and q.exception() is None
+    after = state(layers.read("roads"))
+    assert after == state(apply.replay(spark, layers, "roads", inbox)) != want
+    assert [e["mode"] for e in layers._commits("roads")][-2:] == ["compact", "append"]
+
+
+def test_rebuild_covers_files_that_come_again(spark, folder, inbox):
+    layers = store.LayerStore(spark, f"{folder}/store")
+    apply.rebuild(spark, layers, "roads", inbox)
+    want = state(layers.read("roads"))
+    q = apply.start_refresh(spark, inbox, layers, f"{folder}/state")
+    assert q.awaitTermination(300) and q.exception() is None
+    assert state(layers.read("roads")) == want == state(apply.replay(spark, layers, "roads", inbox))
+
+
+def test_broken_files_are_listed_and_do_not_stop_the_stream(spark, folder):
+    path = f"{folder}/in/roads"
+    put(path, "a__20250101_000000__create.geojson", feature("Point", [0, 0], name="whole"))
+    with open(f"{path}/b__20250102_000000__create.geojson", "w") as f:
+        f.write('{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 1]}, "properties": {"name": "half"}}, {"ty')
+    with open(f"{path}/c__20250103_000000__create.geojson", "w") as f:
+        f.write('{"type": "Topology"}')
+    open(f"{path}/d__20250104_000000__create.geojson", "w").close()
+    layers = store.LayerStore(spark, f"{folder}/store")
+    for _ in range(2):  # a second start finds nothing new and does not fail either
+        q = apply.start_refresh(spark, path, layers, f"{folder}/state", files_per_trigger=2)
+        assert q.awaitTermination(300) and q.exception() is None
+    assert [r.properties["name"] for r in layers.read("roads").collect()] == ["whole"]
+    assert layers.layers() == ["roads"]
+    listed = {r.file[0]: (r.reason, r.layer, r.path.endswith(r.file), r.arrived is not None) for r in layers.rejects().collect()}
+    assert listed == {"b": ("not whole JSON", "roads", True, True), "c": ("no feature collection", "roads", True, True)}
+    assert layers.rejects().count() == 2
+    assert deltas.read_rejects(spark, path).count() == 2 and deltas.read_inbox(spark, path, broken="skip").count() == 1
+
+
+def test_an_annotation_writes_as_much_as_it_meets(spark, folder):
+    layers = store.LayerStore(spark, f"{folder}/store")
+    many = spark.range(5000).select(
+        F.lit("roads").alias("layer"), F.lit("2025-01-01").cast("timestamp").alias("ts"), F.lit("create").alias("action"), F.lit("a").alias("file"), F.col("id").alias("pos"),
+        F.col("id").cast("string").alias("feature_id"), g.point((F.col("id") % 100).cast("double"), F.floor(F.col("id") / 100).cast("double")).alias("geom"), F.create_map(F.lit("n"), F.col("id").cast("string")).alias("properties"),
+    )
+    assert apply.apply_batch(layers, many, 0) == {"roads": "append"}
+    one = spark.range(1).select(
+        F.lit("roads").alias("layer"), F.lit("2025-01-02").cast("timestamp").alias("ts"), F.lit("annotate").alias("action"), F.lit("b").alias("file"), F.lit(0).cast("long").alias("pos"),
+        F.lit("x").alias("feature_id"), g.box_polygon(F.lit(2.5), F.lit(6.5), F.lit(3.5), F.lit(7.5)).alias("geom"), F.create_map(F.lit("color"), F.lit("red")).alias("properties"),
+    )
+    assert apply.apply_batch(layers, one, 1) == {"roads": "changes"}
+    assert layers._commits("roads")[-1]["rows"] == 2  # a mark and the annotation itself
+    assert layers.keys("roads") == ["color", "n"]
+    assert [(r.feature_id, r.properties) for r in layers.read("roads").filter("size(properties) > 1").collect()] == [("703", {"n": "703", "color": "red"})]
+    # Past the threshold a batch compacts the layer, which reads the same.
+    before = state(layers.read("roads"))
+    gone = one.withColumns({"file": F.lit("c"), "ts": F.lit("2025-01-03").cast("timestamp"), "action": F.lit("delete")})
+    assert apply.apply_batch(layers, gone, 2, segments=1) == {"roads": "changes"}
+    now = layers.state("roads")
+    assert layers._commits("roads")[-1]["mode"] == "compact" and not layers.segments(now, "marks") and len(layers.segments(now, "marked")) == 1
+    assert state(layers.read("roads")) == [r for r in before if r[0] != "703"]
+
+
+def test_versions_copy_nothing_and_writers_do_not_mix(spark, folder):
+    from landstrata.sources import files
+
+    layers, other = (store.LayerStore(spark, f"{folder}/store") for _ in range(2))
+    rows = spark.range(10).select(F.col("id").cast("string").alias("feature_id"))
+    layers.write("a", rows)
+    held = {d for d, _, _ in os.walk(f"{folder}/store/layers")}
+    layers.publish("v1")
+    assert {d for d, _, _ in os.walk(f"{folder}/store/layers")} == held
+    with pytest.raises(ValueError, match="already exists"):
+        other.publish("v1")
+    # Two writers that build on one state: the second is refused and starts again on the new one.
+    base = layers.state("a")
+    segment = other.add_segment("a", rows)
+    layers.commit("a", base, "append", [layers.add_segment("a", rows)])
+    with pytest.raises(store.CommitConflict):
+        other.commit("a", base, "append", [segment])
+    assert layers.read("a").count() == 20 and layers.read_version("a", "v1").count() == 10
+    assert other.write("a", rows, "append") and layers.read("a").count() == 30
+    # A segment without a commit, and the file of a writer that was lost half-way, change nothing.
+    open(f"{folder}/store/commits/a/.000000000009.json.lost", "w").close()
+    open(f"{folder}/store/versions/.v2.json.lost", "w").close()
+    assert layers.state("a")["seq"] == 2 and layers.versions() == ["v1"]
+    assert files.create(spark, f"{folder}/x/once", "1") and not files.create(spark, f"{folder}/x/once", "2")
+    assert files.read_text(spark, f"{folder}/x/once") == "1"
+
+
+def test_refresh_at_intervals(spark, folder):
+    path = f"{folder}/in/roads"
+    put(path, "a__20250101_000000__create.geojson", feature("Point", [0, 0], name="first"))
+    layers = store.LayerStore(spark, f"{folder}/store")
+    q = apply.start_refresh(spark, path, layers, f"{folder}/state", processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        put(path, "b__20250102_000000__create.geojson", feature("Point", [1, 1], name="second"))
+        q.processAllAvailable()
+        assert sorted(r.properties["name"] for r in layers.read("roads").collect()) == ["first", "second"]
+    finally:
+        q.stop()
+
+
 def test_unknown_action_in_inbox(spark, folder):
     put(f"{folder}/in/x", "a__20250101_000000__merge.geojson", feature("Point", [0, 0]))
     with pytest.raises(Exception, match="unknown delta action"):
