@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landstrata.functions import geometry
 from landstrata.functions.props import column_names
 from landstrata.model import BBOX, GEOM
 
-# Texts, comments and quoted names, which hide words from the check.
-QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
-REFUSED = re.compile(
-    r"\binsert\s+(?:into|overwrite)\b|\bdelete\s+from\b|\bmerge\s+into\b|\bupdate\s+\S+\s+set\b|\busing\s+''"
-    r"|`?\b(?:try_)?(?:reflect|java_method)`?\s*\(|`?\b(?:parquet|csv|json|orc|text|xml|avro|binaryfile|delta|jdbc)`?\s*\.\s*`"
+# What a query may consist of, as the parser names it. All else is refused: commands, transforms, names worked out at run time.
+NODES = frozenset(
+    "Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator "
+    "Pivot Project RepartitionByExpression Sample Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable "
+    "UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableOrView UnresolvedTableValuedFunction UnresolvedWith Unpivot "
+    "WithWindowDefinition CurrentNamespace$ ShowTables ShowColumns DescribeRelation DescribeColumn DescribeQueryCommand ExplainCommand".split()
 )
-READERS = ("select", "with", "values", "show", "describe", "desc", "explain", "table", "(")
+# Functions that call the JVM, and the table functions that read nothing but their arguments.
+CALLS = frozenset({"reflect", "try_reflect", "java_method"})
+TABLE_FUNCTIONS = frozenset("range explode explode_outer inline inline_outer json_tuple posexplode posexplode_outer stack variant_explode variant_explode_outer sql_keywords collations".split())
 
 
 def register_layer(df: DataFrame, name: str, keys: list[str] | None = None) -> None:
@@ -44,11 +45,64 @@ def register_layers(layers: dict[str, DataFrame], kinds: dict[str, str] | None =
     return made
 
 
+def _sequence(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _names_of(node, field: str) -> list[str]:
+    return [str(x) for x in _sequence(getattr(node, field)())]
+
+
+def _check_calls(expression) -> None:
+    if expression.getClass().getSimpleName() == "UnresolvedFunction" and _names_of(expression, "nameParts")[-1].lower() in CALLS:
+        raise ValueError("only queries are accepted: a call of the JVM")
+    for child in _sequence(expression.children()):
+        _check_calls(child)
+
+
+def check_query(spark: SparkSession, query: str) -> None:
+    """Refuse what is not a plain query over views and tables, by its parsed plan: nothing of it has been resolved or run yet.
+
+    A name of two parts must name a database; a format or a class before a path names none.
+    """
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in NODES:
+            raise ValueError(f"only queries are accepted, not {kind}")
+        if kind in ("UnresolvedRelation", "UnresolvedTableOrView"):
+            name = _names_of(node, "multipartIdentifier")
+            if len(name) > 1 and not spark.catalog.databaseExists(".".join(f"`{p}`" for p in name[:-1])):
+                raise ValueError(f"only views and tables are read, not {'.'.join(name)}")
+        if kind == "UnresolvedTableValuedFunction" and _names_of(node, "name")[-1].lower() not in TABLE_FUNCTIONS:
+            raise ValueError(f"unknown table function {_names_of(node, 'name')[-1]}")
+        for expression in _sequence(node.expressions()):
+            _check_calls(expression)
+        inner = {"ExplainCommand": "logicalPlan", "DescribeQueryCommand": "plan"}.get(kind)
+        for child in [*_sequence(node.children()), *_sequence(node.innerChildren()), *_sequence(node.subqueries()), *([getattr(node, inner)()] if inner else [])]:
+            # Besides plans, a node may show expressions among its inner children.
+            if _is_plan(spark, child):
+                walk(child)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
+
+
+def _is_plan(spark: SparkSession, node) -> bool:
+    plan = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    return plan.isInstance(node)
+
+
+def register_store(store, layers: list[str] | None = None) -> list[str]:
+    """Views for the layers of a store, their columns from the keys that its commits keep: no layer is read for them."""
+    names = layers or store.layers()
+    for name in names:
+        register_layer(store.read(name), name, store.keys(name))
+    return names
+
+
 def run_query(spark: SparkSession, query: str, args: dict | None = None) -> DataFrame:
     """A read-only query over the views; what would write, run a program, call the JVM or read a path is refused before it runs."""
-    bare = QUOTED.sub(lambda m: m[0] if m[0][0] == "`" else " " if m[0][0] in "-/" else "''", query).strip().lower()
-    if not bare.startswith(READERS) or REFUSED.search(bare):
-        raise ValueError("only queries are accepted")
+    check_query(spark, query)
     return spark.sql(query, args=args) if args else spark.sql(query)
 
 
