@@ -91,9 +91,8 @@ def line_cells_sql(source: str, res: int, ident: str) -> str:
     select q, r, count(*) as lines from c group by 1, 2""",
 )
 def line_cover_counts(spark, sf):
-    lines = lin(spark, sf).select("l_orderkey", "l_linenumber", "geom")
-    covered = cells.each_cell(cells.cover(lines, start=6, kind="linestring")).select("c")
-    return covered.groupBy(F.col("c.q").alias("q"), F.col("c.r").alias("r")).agg(F.count(F.lit(1)).alias("lines"))
+    lines = lin(spark, sf).select(F.monotonically_increasing_id().alias("id"), "geom")
+    return cells.line_cover(lines, ["id"], res=6).groupBy("q", "r").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @check(
@@ -312,6 +311,17 @@ def contour_segments(spark, sf):
     )
 
 
+@check(
+    "contour_lines",
+    f"""with {_CONTOUR} select z as elevation, count(*) as segments, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 3) as length from seg group by 1""",
+)
+def _(spark, sf):
+    """Whole lines have the segments and the length of what they are made of; that they are whole, tests show."""
+    lines = raster.contour_lines(dem(spark, sf), 10.0, tile=64)
+    vertices = F.size(F.col("geom.rings")[0]["pts"])
+    return lines.groupBy("elevation").agg(F.sum(vertices - 1).cast("bigint").alias("segments"), r(F.sum(g.length("geom")), 3).alias("length"))
+
+
 @check(
     "contour_layer_altered",
     f"""with {_CONTOUR} select cast(z as varchar) as name, case when z = 50 then '3' else '1' end as width, count(*) as n from seg where z <> 0 group by 1, 2""",

@@ -14,6 +14,7 @@ from landstrata.functions.props import value_of
 from landstrata.operators import annotate as an
 from landstrata.operators import layers, profile, regions
 from landstrata.operators.alter import add_links
+from landstrata.operators.edge_join import ids_within, intersecting_ids
 from landstrata.operators.spatial_join import spatial_join, spatial_pairs
 from landstrata.plans import registry, sql as plan_sql
 from landstrata.session import checkpoint_dir
@@ -211,6 +212,45 @@ def _(spark, sf):
     return pairs.filter(leave - enter > 1e-9).groupBy(F.col("anno_k").alias("k")).agg(count().alias("segments"))
 
 
+def _corners(spark, sf, factor: int, size: int, south_west: bool):
+    """Right triangles on parts, all coordinates multiples of 2**-12 and so exact: at one corner (cx, cy), legs of p_size / ``size``."""
+    p = table(spark, sf, "part")
+    at = lambda m: (F.col("p_partkey") * m % 4096) / F.lit(4096.0)
+    cx, cy, leg = at(4231 + factor), at(3011 + factor), F.col("p_size") / F.lit(float(size))
+    far_x, far_y = (cx + leg, cy + leg) if south_west else (cx - leg, cy - leg)
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(xy(cx, cy), xy(far_x, cy), xy(cx, far_y), xy(cx, cy))
+    box_of = g.bbox(F.least(cx, far_x), F.least(cy, far_y), F.greatest(cx, far_x), F.greatest(cy, far_y))
+    geom = F.struct(F.lit("Polygon").alias("gtype"), F.lit(False).alias("is_box"), box_of.alias("bbox"), F.array(F.struct(F.lit(False).alias("hole"), ring.alias("pts"))).alias("rings"))
+    return p.select("p_partkey", geom.alias("geom"))
+
+
+def _corner_view(factor: int, size: int) -> str:
+    return f"select p_partkey, cast(p_partkey * {4231 + factor} % 4096 as double) / 4096 as x, cast(p_partkey * {3011 + factor} % 4096 as double) / 4096 as y, cast(p_size as double) / {size} as leg from part"
+
+
+@check(
+    "polygon_pairs_general",
+    f"""with a as ({_corner_view(0, 1024)}), b as ({_corner_view(7, 1024)})
+    select a.p_partkey as a, b.p_partkey as b from a join b on a.x <= b.x and a.y <= b.y and greatest(a.x + a.y, b.x + b.y - b.leg) <= least(a.x + a.y + a.leg, b.x + b.y)""",
+)
+def _(spark, sf):
+    """Triangles south-west of their long side against triangles north-east of theirs; what only touches counts."""
+    a, b = _corners(spark, sf, 0, 1024, True), _corners(spark, sf, 7, 1024, False)
+    return intersecting_ids(a, b, "p_partkey", "p_partkey").select(F.col("l").alias("a"), F.col("r").alias("b"))
+
+
+@check(
+    "within_triangles",
+    f"""with a as ({_corner_view(0, 4096)}), b as ({_corner_view(7, 256)})
+    select a.p_partkey as a, b.p_partkey as b from a join b on a.x >= b.x and a.y >= b.y and a.x + a.y + a.leg <= b.x + b.y + b.leg""",
+)
+def _(spark, sf):
+    """Small triangles in large ones, those that touch the large one's sides from inside too."""
+    a, b = _corners(spark, sf, 0, 4096, True), _corners(spark, sf, 7, 256, True)
+    return ids_within(a, b, "p_partkey", "p_partkey").select(F.col("l").alias("a"), F.col("r").alias("b"))
+
+
 @check(
     "boxes_within_regions",
     "select k, count(*) as boxes from box join reg on box.w >= reg.w and box.e <= reg.e and box.s >= reg.s and box.n <= reg.n group by k",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct as _struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from landstrata.model import RINGS
@@ -529,7 +529,8 @@ def within(a: str, b: str) -> Column:
 _WKB = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
 
 
-def _read_wkb(data: bytes, at: int = 0):
+def _rings_of(data: memoryview, at: int, end: int, rings: list) -> tuple[str, int]:
+    """Append ``(first byte, vertices, bytes a vertex, big-endian, hole)`` for each ring of the geometry at ``at``; its kind and end."""
     order = "<" if data[at] == 1 else ">"
     (code,) = _struct.unpack_from(order + "I", data, at + 1)
     at += 5
@@ -543,30 +544,99 @@ def _read_wkb(data: bytes, at: int = 0):
     kind = _WKB[code]
 
     def count(at):
+        if at + 4 > end:
+            raise IndexError
         return _struct.unpack_from(order + "I", data, at)[0], at + 4
 
-    def run(n, at):
-        flat = _struct.unpack_from(f"{order}{n * dims}d", data, at)
-        pts = [{"x": flat[i], "y": flat[i + 1]} for i in range(0, n * dims, dims)]
-        return pts, at + 8 * n * dims
+    def run(n, at, hole=False):
+        after = at + 8 * n * dims
+        if after > end:
+            raise IndexError
+        rings.append((at, n, 8 * dims, order == ">", hole))
+        return after
 
     if kind == "Point":
-        pts, at = run(1, at)
-        return kind, [{"hole": False, "pts": pts}], at
+        return kind, run(1, at)
     n, at = count(at)
     if kind == "LineString":
-        pts, at = run(n, at)
-        return kind, [{"hole": False, "pts": pts}], at
-    rings = []
+        return kind, run(n, at)
     for i in range(n):
         if kind == "Polygon":
             m, at = count(at)
-            pts, at = run(m, at)
-            rings.append({"hole": i > 0, "pts": pts})
+            at = run(m, at, i > 0)
         else:
-            _, part, at = _read_wkb(data, at)
-            rings += part
-    return kind, rings, at
+            _, at = _rings_of(data, at, end, rings)
+    return kind, at
+
+
+def _doubles(data, at, big):
+    """The doubles that start at the bytes ``at``, whatever their alignment and byte order."""
+    import numpy as np
+
+    out = np.empty(len(at), np.float64)
+    for k in range(8):
+        mine = np.flatnonzero(at % 8 == k)
+        if len(mine):
+            view = np.frombuffer(data, "<f8", count=(len(data) - k) // 8, offset=k)
+            out[mine] = view[at[mine] // 8]
+    return np.where(big, out.byteswap(), out)
+
+
+def _columns_of_wkb(wkb):
+    """WKB blobs as an Arrow array of ``gtype`` and ``rings``; unreadable ones have neither.
+
+    Headers are read blob by blob, those of little-endian points, lines and polygons of one ring all at once; coordinates
+    always all at once, by the places of their bytes.
+    """
+    import numpy as np
+
+    wkb = wkb.cast(pa.large_binary())
+    n = len(wkb)
+    raw = wkb.buffers()[2]
+    data = bytes(8) if raw is None else raw.to_pybytes() + bytes(8)
+    offsets = np.frombuffer(wkb.buffers()[1], np.int64)[wkb.offset:wkb.offset + n + 1]
+    start, end = offsets[:-1], offsets[1:]
+    there = ~np.asarray(wkb.is_null()) if wkb.null_count else np.ones(n, bool)
+    b = np.frombuffer(data, np.uint8)
+    at = lambda i: b[np.minimum(i, len(b) - 1)].astype(np.int64)
+    word = lambda i: at(i) | at(i + 1) << 8 | at(i + 2) << 16 | at(i + 3) << 24
+    size = end - start
+    plain = there & (size >= 9) & (at(start) == 1)
+    code = np.where(plain, word(start + 1), 0)
+    kinds = np.full(n, -1)
+    parts = []  # (blob, first byte, vertices, bytes a vertex, big-endian, hole)
+    for kind, head, extra in ((1, 5, None), (2, 9, None), (3, 13, 5)):
+        m = plain & (code == kind)
+        if extra is not None:
+            m &= word(start + extra) == 1
+        count = np.ones(n, np.int64) if kind == 1 else word(start + head - 4)
+        m &= size >= head + 16 * count
+        who = np.flatnonzero(m)
+        kinds[who] = kind
+        parts.append(np.stack([who, start[who] + head, count[who], np.full(len(who), 16), np.zeros(len(who)), np.zeros(len(who))], 1).astype(np.int64))
+    codes = {name: c for c, name in _WKB.items()}
+    view, slow = memoryview(data), []
+    for i in np.flatnonzero(there & (kinds < 0)).tolist():
+        rings: list = []
+        try:
+            kind, _ = _rings_of(view, int(start[i]), int(end[i]), rings)
+        except (KeyError, IndexError, _struct.error):
+            continue
+        kinds[i] = codes[kind]
+        slow.extend((i, *r) for r in rings)
+    parts.append(np.array(slow, np.int64).reshape(-1, 6))
+    rings = np.concatenate(parts)
+    rings = rings[np.argsort(rings[:, 0], kind="stable")]
+    blob, first, count, stride, big, hole = rings.T
+    vertex = np.concatenate(([0], np.cumsum(count)))
+    place = np.repeat(first, count) + (np.arange(vertex[-1]) - np.repeat(vertex[:-1], count)) * np.repeat(stride, count)
+    swapped = np.repeat(big, count) == 1
+    pts = pa.StructArray.from_arrays([pa.array(_doubles(data, place, swapped)), pa.array(_doubles(data, place + 8, swapped))], names=["x", "y"])
+    own = pa.StructArray.from_arrays([pa.array(hole == 1), pa.ListArray.from_arrays(pa.array(vertex, pa.int32()), pts)], names=["hole", "pts"])
+    bad = pa.array(kinds < 0)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(blob, minlength=n)))) if n else np.zeros(1)
+    names = pa.array([_WKB.get(k) for k in kinds.tolist()], pa.string())
+    return pa.StructArray.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own, mask=bad)], names=["gtype", "rings"])
 
 
 _VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -574,16 +644,9 @@ _RING = T.StructType([T.StructField("hole", T.BooleanType()), T.StructField("pts
 _DECODED = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("rings", T.ArrayType(_RING))])
 
 
-@F.pandas_udf(_DECODED)
-def _decode_wkb(wkb: pd.Series) -> pd.DataFrame:
-    out = []
-    for blob in wkb:
-        try:
-            kind, rings, _ = _read_wkb(bytes(blob))
-            out.append((kind, rings))
-        except (TypeError, KeyError, IndexError, _struct.error):
-            out.append((None, None))
-    return pd.DataFrame(out, columns=["gtype", "rings"])
+@F.arrow_udf(_DECODED)
+def _decode_wkb(wkb: pa.Array) -> pa.Array:
+    return _columns_of_wkb(wkb)
 
 
 def from_wkb(wkb: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from landstrata.functions.crs import EARTH, mercator_lat, mercator_lon
 from landstrata.functions.geometry import _let, _segments
@@ -248,3 +248,44 @@ def line_cells(geom: str, res: int) -> Column:
     )
     one = _let("cs", f"transform(g.pts, p -> {at('p')})", ring)
     return F.expr(f"array_distinct(flatten(transform({geom}.rings, g -> {one})))")
+
+
+def segment_paths(df: DataFrame, segment: str, res: int) -> DataFrame:
+    """One row for each cell ``q, r`` on the grid path of a segment (``ax, ay, bx, by``), both ends included.
+
+    The same path as :func:`line_cells`, as plain columns.
+    """
+    names = df.columns
+    wide = math.sqrt(3.0) / 3
+    hexagon = F.expr(side_text(str(res)))
+
+    def metres(end: str) -> dict[str, Column]:
+        s = F.col(segment)
+        lat = F.log(F.tan(F.lit(math.pi) / 4 + F.radians(s[f"{end}y"]) / 2))
+        return {f"__x{end}": F.lit(EARTH) * F.radians(s[f"{end}x"]), f"__y{end}": F.lit(EARTH) * lat}
+
+    def fractions(end: str) -> dict[str, Column]:
+        x, y = F.col(f"__x{end}"), F.col(f"__y{end}")
+        return {f"__fq{end}": (F.lit(wide) * x - y / 3) / hexagon, f"__fr{end}": (2 * y / 3) / hexagon}
+
+    def rounded(df: DataFrame, fq: Column, fr: Column, q: str, r: str) -> DataFrame:
+        df = df.withColumns({"__f": fq, "__g": fr}).withColumns({"__q": F.floor(F.col("__f") + 0.5), "__r": F.floor(F.col("__g") + 0.5), "__t": F.floor(-F.col("__f") - F.col("__g") + 0.5)})
+        df = df.withColumns({"__dq": F.abs(F.col("__q") - F.col("__f")), "__dr": F.abs(F.col("__r") - F.col("__g")), "__dt": F.abs(F.col("__t") + F.col("__f") + F.col("__g"))})
+        fix_q = (F.col("__dq") > F.col("__dr")) & (F.col("__dq") > F.col("__dt"))
+        return df.withColumns(
+            {
+                q: F.when(fix_q, -F.col("__r") - F.col("__t")).otherwise(F.col("__q")).cast("bigint"),
+                r: F.when(~fix_q & (F.col("__dr") > F.col("__dt")), -F.col("__q") - F.col("__t")).otherwise(F.col("__r")).cast("bigint"),
+            }
+        )
+
+    out = df.withColumns({**metres("a"), **metres("b")}).withColumns({**fractions("a"), **fractions("b")})
+    for end in ("a", "b"):
+        out = rounded(out, F.col(f"__fq{end}"), F.col(f"__fr{end}"), f"__q{end}", f"__r{end}")
+    out = out.select(*[F.col(f"`{c}`") for c in names if c != segment], "__qa", "__ra", "__qb", "__rb")
+    dq, dr = F.col("__qb") - F.col("__qa"), F.col("__rb") - F.col("__ra")
+    out = out.withColumn("__n", ((F.abs(dq) + F.abs(dr) + F.abs(dq + dr)) / 2).cast("bigint")).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n"))))
+    # The small offset keeps a path that runs along a cell edge on one side of it.
+    at = lambda a, d, e: F.col(a) + d * F.col("__i") / F.greatest(F.col("__n"), F.lit(1)) + F.lit(e)
+    out = rounded(out, at("__qa", dq, 1e-6), at("__ra", dr, 2e-6), "q", "r")
+    return out.select(*[F.col(f"`{c}`") for c in names if c != segment], "q", "r")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from landstrata.functions import hexgrid
+from landstrata.functions.geometry import _segments
 from landstrata.functions.props import map_merge, props_or_empty
 from landstrata.model import LINEAR, POLYGONAL
 from landstrata.operators.skew import attach_group_values, row_hash
@@ -42,6 +43,24 @@ def each_cell(covered: DataFrame, name: str = "c") -> DataFrame:
     return covered.withColumn(name, F.explode_outer("cells")).filter(F.col(name).isNotNull())
 
 
+def line_cover(df: DataFrame, keys: list[str], geom: str = "geom", res: int = 8) -> DataFrame:
+    """``(*keys, res, q, r)``: the cells on the grid path of each line, once for each set of ``keys``.
+
+    Every segment is a row with its own path, so no array grows with a line; only lines of several segments need their
+    cells made distinct. Without keys the cells of the whole layer come out, each once.
+    """
+    g = F.col(geom)
+    named = [F.col(f"`{k}`") for k in keys]
+    lines = df.where(g["gtype"].isin(*LINEAR))
+    several = (F.size(g["rings"]) > 1) | (F.size(g["rings"][0]["pts"]) > 2)
+    paths = hexgrid.segment_paths(lines.select(*named, several.alias("__several"), F.explode(F.expr(_segments(f"{geom}.rings"))).alias("__s")), "__s", res)
+    cells = paths.select(*named, F.lit(res).alias("res"), "q", "r", "__several")
+    if not keys:
+        return cells.drop("__several").distinct()
+    # The path of one segment never comes back to a cell.
+    return cells.where("__several").drop("__several").distinct().union(cells.where("not __several").drop("__several"))
+
+
 def cell_features(df: DataFrame, source_id: str, geom: str = "geom", props: str = "properties", **options) -> DataFrame:
     """One hexagon feature per covered cell, with the source's properties and the cell's own."""
     covered = each_cell(cover(df, geom, **options), "__c")
@@ -118,7 +137,7 @@ def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "dis
         for rt in froms:
             part = tgt.filter(F.col("res") == rt).select(F.lit(group).alias("g"), at(rt, res).alias("p"))
             base = part if base is None else base.unionByName(part)
-    base = base.select("g", F.col("p.q").alias("q"), F.col("p.r").alias("r")).distinct()
+    base = cut_lineage(base.select("g", F.col("p.q").alias("q"), F.col("p.r").alias("r")).distinct())
     reach = base.agg(
         F.max("q").alias("q1"), F.min("q").alias("q0"), F.max("r").alias("r1"), F.min("r").alias("r0"), F.count(F.lit(1)).alias("n")
     ).collect()[0]
@@ -133,21 +152,22 @@ def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "dis
         per_axis = width // FANOUT**level + 2
         return min(reach["n"], groups * per_axis * per_axis)
 
-    def block(c: str, level: int):
-        return F.floor(F.col(c) / F.lit(float(FANOUT**level)))
-
-    def blocks_of(level: int) -> DataFrame:
-        """Blocks of a level: their parent block, the span of each axis, and one cell of theirs."""
-        size = FANOUT**level
-        return (
-            base.selectExpr("g", "q", "r", f"floor(q / {size}D) AS cq", f"floor(r / {size}D) AS cr")
+    # The pyramid upwards: the blocks of a level, with the span of each axis and one cell of theirs, from those of the level
+    # below, so the targets are read once.
+    pyramid, below = None, base.selectExpr("g", "q AS cq", "r AS cr", "q AS qa", "q AS qb", "r AS ra", "r AS rb", "q + r AS sa", "q + r AS sb", "named_struct('q', q, 'r', r) AS rep")
+    for level in range(1, depth + 1):
+        below = (
+            below.withColumns({"cq": F.floor(F.col("cq") / F.lit(float(FANOUT))), "cr": F.floor(F.col("cr") / F.lit(float(FANOUT)))})
             .groupBy("g", "cq", "cr")
-            .agg(
-                F.expr("min(q) AS qa"), F.expr("max(q) AS qb"), F.expr("min(r) AS ra"), F.expr("max(r) AS rb"),
-                F.expr("min(q + r) AS sa"), F.expr("max(q + r) AS sb"), F.expr("min(named_struct('q', q, 'r', r)) AS rep"),
-            )
-            .selectExpr("*", f"floor(cq / {FANOUT}D) AS bq", f"floor(cr / {FANOUT}D) AS br")
+            .agg(*[F.expr(f"{f}({c}) AS {c}") for f, c in (("min", "qa"), ("max", "qb"), ("min", "ra"), ("max", "rb"), ("min", "sa"), ("max", "sb"), ("min", "rep"))])
         )
+        one = below.withColumn("level", F.lit(level))
+        pyramid = one if pyramid is None else pyramid.unionByName(one)
+    pyramid = cut_lineage(pyramid)
+
+    def blocks_of(level: int) -> DataFrame:
+        """Blocks of a level and their parent block."""
+        return pyramid.where(F.col("level") == level).selectExpr("*", f"floor(cq / {FANOUT}D) AS bq", f"floor(cr / {FANOUT}D) AS br").drop("level")
 
     def steps(q: str, r: str) -> str:
         return f"greatest(abs(pq - {q}), abs(pr - {r}), abs(pq + pr - {q} - {r}))"

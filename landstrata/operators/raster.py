@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landstrata.functions.crs import GEOGRAPHIC, MERCATOR, mercator_lat, mercator_lon, mercator_x, mercator_y
+from landstrata.functions.geometry import from_rings
+from landstrata.session import cut_lineage
 
 TILE = 256
 # Colour of water pixels.
@@ -83,7 +85,8 @@ def shade(pixels: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, exa
     light = (
         -gx * F.lit(math.cos(az) * math.cos(alt)) - gy * F.lit(math.sin(az) * math.cos(alt)) + F.lit(math.sin(alt))
     ) / F.sqrt(gx * gx + gy * gy + 1)
-    lit = g.withColumn("__i", light)
+    # Read twice, for the range and for the result; written once, so the slopes are worked out once.
+    lit = cut_lineage(g.withColumn("__i", light))
     low, high = _range_of(lit, "__i")
     span = high - low
     stretched = F.when(span > 1e-6, (F.col("__i") - low) / span).otherwise(F.col("__i"))
@@ -115,6 +118,17 @@ def contours(pixels: DataFrame, interval: float, tile: int = TILE) -> DataFrame:
     Each square of four neighbouring pixels is cut at every level inside its range; a saddle is settled by the mean
     of its corners. A corner exactly on a level counts as above it.
     """
+    return _cuts(pixels, interval, tile).select(
+        "row", "col", "elevation", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2")
+    )
+
+
+def _cuts(pixels: DataFrame, interval: float, tile: int) -> DataFrame:
+    """``row, col, elevation, s``: a segment with its ends ``p`` and ``q``, each a point and the pixel edge it lies on.
+
+    An edge is named by its pixel and whether it runs east (0) or south (1) from there. At a level an edge has one point,
+    and at most two segments end in it.
+    """
     placed = with_halo(pixels.select("row", "col", "value"), tile, after_only=True).repartition("tr", "tc")
     along = Window.partitionBy("tr", "tc", "row").orderBy("col")
     east = placed.withColumn("b", _neighbour("value", 1, along, "col"))
@@ -134,10 +148,9 @@ def contours(pixels: DataFrame, interval: float, tile: int = TILE) -> DataFrame:
     case = sum((up[k].cast("int") * w for k, w in zip("abcd", (8, 4, 2, 1))), F.lit(0))
     t = lambda p, q: F.try_divide(level - F.col(p), F.col(q) - F.col(p))
     x, y = F.col("col").cast("double"), F.col("row").cast("double")
-    north = F.struct((x + t("a", "b")).alias("x"), y.alias("y"))
-    right = F.struct((x + 1).alias("x"), (y + t("b", "c")).alias("y"))
-    south = F.struct((x + t("d", "c")).alias("x"), (y + 1).alias("y"))
-    left = F.struct(x.alias("x"), (y + t("a", "d")).alias("y"))
+    end = lambda x, y, dr, dc, o: F.struct(x.alias("x"), y.alias("y"), (F.col("row") + dr).cast("bigint").alias("r"), (F.col("col") + dc).cast("bigint").alias("c"), F.lit(o).alias("o"))
+    north, south = end(x + t("a", "b"), y, 0, 0, 0), end(x + t("d", "c"), y + 1, 1, 0, 0)
+    left, right = end(x, y + t("a", "d"), 0, 0, 1), end(x + 1, y + t("b", "c"), 0, 1, 1)
     pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     mean_up = (F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4 >= level
     k = F.col("__case")
@@ -155,13 +168,149 @@ def contours(pixels: DataFrame, interval: float, tile: int = TILE) -> DataFrame:
         cut.withColumn("__case", case)
         .filter(~k.isin(0, 15))
         .withColumn("s", F.explode(segments))
-        .select(
-            "row", "col", "elevation",
-            F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"),
-        )
+        .select("row", "col", "elevation", "s")
     )
 
 
+_PIECES = "id string, elevation double, pr long, pc long, po long, qr long, qc long, qo long, xs array<double>, ys array<double>, n long, tr long, tc long"
+_STEP = "child string, id string, elevation double, pr long, pc long, po long, qr long, qc long, qo long, n long, tr long, tc long, start long, size long, flip boolean, first boolean"
+
+
+def _follow(ends: list[tuple]) -> list[tuple[list[tuple[int, bool]], bool]]:
+    """Chains of links ``(end, other end)``, of which at most two share an end: the links in order, each with whether it is
+    turned around, and whether the chain closes."""
+    at: dict = {}
+    for i, (a, b) in enumerate(ends):
+        at.setdefault(a, []).append(i)
+        at.setdefault(b, []).append(i)
+    used, out = [False] * len(ends), []
+
+    def extend(tip, turned: bool) -> tuple[list[tuple[int, bool]], tuple]:
+        found = []
+        while True:
+            i = next((j for j in at[tip] if not used[j]), None)
+            if i is None:
+                return found, tip
+            used[i] = True
+            a, b = ends[i]
+            back = a != tip
+            found.append((i, back != turned))
+            tip = a if back else b
+
+    for i, (a, b) in enumerate(ends):
+        if used[i]:
+            continue
+        used[i] = True
+        ahead, tip = extend(b, False)
+        behind = [] if tip == a else extend(a, True)[0]
+        out.append(([*reversed(behind), (i, False), *ahead], tip == a))
+    return out
+
+
+def _pieces(pdf):
+    """The chains of the segments of one tile."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(["elevation", "row", "col", "pr", "pc", "po"])
+    rows = list(zip(pdf["elevation"], pdf["pr"], pdf["pc"], pdf["po"], pdf["px"], pdf["py"], pdf["qr"], pdf["qc"], pdf["qo"], pdf["qx"], pdf["qy"]))
+    places = list(zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["pr"].tolist(), pdf["pc"].tolist(), pdf["po"].tolist()))
+    out = []
+    for chain, _ in _follow([((e, *p), (e, *q)) for e, *p, _, _, q0, q1, q2, _, _ in rows for q in [(q0, q1, q2)]]):
+        edges, xs, ys = [], [], []
+        for n, (i, turned) in enumerate(chain):
+            e, pr, pc, po, px, py, qr, qc, qo, qx, qy = rows[i]
+            a, b = ((pr, pc, po), px, py), ((qr, qc, qo), qx, qy)
+            if turned:
+                a, b = b, a
+            for edge, x, y in [a, b] if n == 0 else [b]:
+                edges.append(edge)
+                xs.append(x)
+                ys.append(y)
+        # A segment's square and first edge are its own; an edge on a tile's border is in two pieces.
+        name = ":".join(map(str, (repr(float(e)), *min(places[i] for i, _ in chain))))
+        out.append((name, e, *edges[0], *edges[-1], xs, ys, 1, int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])))
+    return pd.DataFrame(out, columns=[f.split(" ")[0] for f in _PIECES.split(", ")])
+
+
+def _longer(pdf):
+    """Chains of one larger tile from those of its tiles: a row for each, with its place in the longer one."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("id")
+    ids, sizes, levels = pdf["id"].tolist(), pdf["n"].tolist(), pdf["elevation"].tolist()
+    ends = [((e, *k[:3]), (e, *k[3:])) for e, *k in zip(levels, *(pdf[c].tolist() for c in ("pr", "pc", "po", "qr", "qc", "qo")))]
+    out = []
+    for chain, _ in _follow(ends):
+        total, start, name = sum(sizes[i] for i, _ in chain), 0, min(ids[i] for i, _ in chain)
+        side = lambda link, last: ends[link[0]][last != link[1]][1:]
+        edges = (*side(chain[0], False), *side(chain[-1], True))
+        for n, (i, turned) in enumerate(chain):
+            out.append((ids[i], name, levels[i], *edges, total, int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0]), start, sizes[i], turned, n == 0))
+            start += sizes[i]
+    return pd.DataFrame(out, columns=[f.split(" ")[0] for f in _STEP.split(", ")])
+
+
+def contour_lines(pixels: DataFrame, interval: float, tile: int = TILE, fanout: int = 8) -> DataFrame:
+    """Contours as whole lines ``elevation, closed, geom``, each as long as it goes.
+
+    The segments of a tile are joined to pieces, those of ``fanout`` by ``fanout`` tiles to longer ones, and so on until one
+    tile holds the raster. After the first step only names and ends go on, of pieces that reach a border of their tile; the
+    places of the pieces in their line come back the same way, and the points are put together once, line by line.
+    """
+    cuts = _cuts(pixels, interval, tile)
+    flat = [F.col(f"s.{e}.{k}").alias(f"{e}{k}") for e in "pq" for k in ("r", "c", "o", "x", "y")]
+    placed = cuts.select("row", "col", "elevation", F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"), *flat)
+    pieces = cut_lineage(placed.groupBy("tr", "tc").applyInPandas(_pieces, _PIECES))
+    reach = pieces.agg(F.min("tr").alias("r"), F.min("tc").alias("c"), F.greatest(F.max("tr") - F.min("tr"), F.max("tc") - F.min("tc")).alias("span")).first()
+    top, left, span = reach["r"] or 0, reach["c"] or 0, reach["span"] or 0
+
+    def goes_on(size: int) -> Column:
+        """An end lies on a border between tiles of this size, and the piece is not closed."""
+        border = lambda e: F.when(F.col(f"{e}o") == 0, (F.col(f"{e}r") - top * tile) % size == 0).otherwise((F.col(f"{e}c") - left * tile) % size == 0)
+        closed = (F.col("pr") == F.col("qr")) & (F.col("pc") == F.col("qc")) & (F.col("po") == F.col("qo"))
+        return ~closed & (border("p") | border("q"))
+
+    now, tiles, steps = pieces.drop("xs", "ys").withColumns({"tr": F.col("tr") - top, "tc": F.col("tc") - left}), 1, []
+    while tiles <= span:
+        inner = now.where(goes_on(tile * tiles))
+        tiles *= fanout
+        step = cut_lineage(inner.withColumns({"tr": F.floor(F.col("tr") / fanout), "tc": F.floor(F.col("tc") / fanout)}).groupBy("tr", "tc").applyInPandas(_longer, _STEP))
+        steps.append(step)
+        now = step.where("first").select("id", "elevation", "pr", "pc", "po", "qr", "qc", "qo", "n", "tr", "tc")
+    # Downwards: the line a piece is part of, its place there and its direction.
+    known = None
+    for step in reversed(steps):
+        own = step.select("child", "id", "n", "start", "size", "flip")
+        if known is None:
+            known = own.select("child", F.col("id").alias("line"), F.col("start").alias("place"), F.col("flip").alias("turned"))
+            continue
+        up = known.withColumnsRenamed({"child": "id"})
+        joined = own.join(up, "id", "left")
+        turned = F.coalesce("turned", F.lit(False))
+        inner = F.when(turned, F.col("n") - F.col("start") - F.col("size")).otherwise(F.col("start"))
+        known = joined.select("child", F.coalesce("line", "id").alias("line"), (F.coalesce("place", F.lit(0)) + inner).alias("place"), (F.col("flip") != turned).alias("turned"))
+    pts = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
+    if known is None:
+        lines = pieces.select("elevation", pts.alias("pts"))
+    else:
+        placed = pieces.join(known.withColumnRenamed("child", "id"), "id", "left")
+        way = F.when(F.coalesce("turned", F.lit(False)), F.reverse(pts)).otherwise(pts)
+        parts = placed.groupBy(F.coalesce("line", "id").alias("line"), "elevation").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("place", F.lit(0)).alias("place"), way.alias("pts")))).alias("parts"))
+        # Every part but the first starts where the one before it ends.
+        whole = F.flatten(F.transform("parts", lambda k, i: F.when(i == 0, k["pts"]).otherwise(F.slice(k["pts"], F.lit(2), F.size(k["pts"])))))
+        lines = parts.select("elevation", whole.alias("pts"))
+    ring = F.array(F.struct(F.lit(False).alias("hole"), F.col("pts").alias("pts")))
+    return lines.select("elevation", (F.col("pts")[0] == F.element_at("pts", -1)).alias("closed"), from_rings(F.lit("LineString"), ring).alias("geom"))
+
+
+def contour_line_layer(pixels: DataFrame, interval: float, alterations: dict | None = None, tile: int = TILE) -> DataFrame:
+    """Contour lines as features with an ``elevation`` property, then altered."""
+    from landstrata.operators.alter import alter
+
+    out = contour_lines(pixels, interval, tile).select(F.create_map(F.lit("elevation"), F.col("elevation").cast("string")).alias("properties"), "geom")
+    return alter(out, alterations) if alterations else out
+
+
 def contour_layer(pixels: DataFrame, interval: float, alterations: dict | None = None, tile: int = TILE) -> DataFrame:
     """Contour segments as line features with an ``elevation`` property, then altered."""
     from landstrata.functions.geometry import line

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from landstrata.operators import cells, treatment
 from landstrata.operators.profile import merge_distances
+from landstrata.operators.skew import attach_group_values
 from landstrata.session import cut_lineage
 
 
@@ -15,15 +16,12 @@ def cell_table(areas: DataFrame, area_id: str, roads: DataFrame, creeks: DataFra
         cells.each_cell(cells.cover(areas.select(area_id, geom), geom, start, max_cells))
         .select(area_id, "res", F.col("c.q").alias("q"), F.col("c.r").alias("r"))
     )
-    line_cells = lambda df: (
-        cells.each_cell(cells.cover(df, geom, line_res, kind="linestring"))
-        .select("res", F.col("c.q").alias("q"), F.col("c.r").alias("r"))
-        .distinct()
-    )
+    line_cells = lambda df: cells.line_cover(df, [], geom, line_res)
     near_road = cells.nearest_cell_distance(area_cells, line_cells(roads), "roads_distance")
     near_creek = cells.nearest_cell_distance(area_cells, line_cells(creeks), "creek_distance")
-    # One row per distinct cell on both sides; areas share cells, but never many.
-    return area_cells.join(near_road, ["res", "q", "r"], "left").join(near_creek, ["res", "q", "r"], "left")
+    # One distance a cell, and any number of areas on it: spread over salts.
+    at, spread = ["res", "q", "r"], F.col(area_id)
+    return attach_group_values(attach_group_values(area_cells, near_road, at, spread, how="left"), near_creek, at, spread, how="left")
 
 
 def treatment_totals(table: DataFrame, normalized: bool = False) -> DataFrame:
