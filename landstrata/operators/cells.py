@@ -174,7 +174,9 @@ def nearest_cell_distance(source: DataFrame, target: DataFrame, name: str = "dis
 
     lower = "greatest(qa - pq, pq - qb, ra - pr, pr - rb, sa - pq - pr, pq + pr - sb, 0)"
     me = ["res", "q", "r"]
-    frontier = seen.selectExpr(*me, "g", "p.q AS pq", "p.r AS pr")
+    # Few bytes and much work a row: dealt over as many tasks as a shuffle has, which the windows below keep.
+    tasks = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frontier = seen.selectExpr(*me, "g", "p.q AS pq", "p.r AS pr").repartition(tasks, *me)
     for level in range(depth, 0, -1):
         blocks = blocks_of(level)
         keys = ["g", "bq", "br"]

@@ -19,9 +19,9 @@ def cell_table(areas: DataFrame, area_id: str, roads: DataFrame, creeks: DataFra
     line_cells = lambda df: cells.line_cover(df, [], geom, line_res)
     near_road = cells.nearest_cell_distance(area_cells, line_cells(roads), "roads_distance")
     near_creek = cells.nearest_cell_distance(area_cells, line_cells(creeks), "creek_distance")
-    # One distance a cell, and any number of areas on it: spread over salts.
-    at, spread = ["res", "q", "r"], F.col(area_id)
-    return attach_group_values(attach_group_values(area_cells, near_road, at, spread, how="left"), near_creek, at, spread, how="left")
+    # Both have one row a cell; the areas on a cell, of any number, are spread over salts when they get theirs.
+    near = near_road.join(near_creek, ["res", "q", "r"])
+    return attach_group_values(area_cells, near, ["res", "q", "r"], F.col(area_id), salts=4, how="left")
 
 
 def treatment_totals(table: DataFrame, normalized: bool = False) -> DataFrame:
