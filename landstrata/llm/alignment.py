@@ -27,39 +27,44 @@ from landstrata.llm.common import written
 #: A block ends after so many distinct id pairs or characters, whichever comes first.
 PAIRS_PER_BLOCK, CHARS_PER_BLOCK = 400_000, 32_000_000
 #: Characters that are tokenized and walked at a time; a longer text is one step.
-CHARS_PER_STEP = 1 << 20
+CHARS_PER_STEP = 1 << 21
 REMEMBERED = 800_000
 
 
-def walk(ea: list[int], eb: list[int]) -> list[tuple[int, int, int]]:
-    """Runs ``(i, j, k)`` over the ends of two tokenizations of one text, in order.
+def walk(ea: list[int], eb: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """The groups of two tokenizations of one text by their ends.
 
-    k > 0: the k tokens from i and from j end together one by one. k = 0: an irregular group starts at i and j; it ends
-    where the next run starts, or at the end.
+    Gives the one-to-one stretches ``(i, j, k)``: the k tokens from i and from j end together one by one; and the irregular
+    groups ``(i, i2, j, j2)``: the tokens from i up to i2 and from j up to j2 end together, and none of them before.
     """
-    out = []
+    even, odd = [], []
     i = j = 0
-    n, m = len(ea), len(eb)
-    while i < n and j < m:
-        if ea[i] == eb[j]:
-            # The same shift: compare slices of 1, 2, 4 … tokens, then halve where they differ.
-            k, step = 1, 2
-            while ea[i + k:i + k + step] == eb[j + k:j + k + step] and i + k < n:
-                k += step
-                step *= 2
-            if i + k >= n:
-                k = n - i  # both end with the text
-            else:
-                while step > 1:
-                    step //= 2
-                    if ea[i + k:i + k + step] == eb[j + k:j + k + step]:
-                        k += step
-            out.append((i, j, k))
-            i += k
-            j += k
+    n = len(ea)
+    while i < n:
+        x, y = ea[i], eb[j]
+        if x == y:
+            i0, shift = i, j - i
+            i += 1
+            # Short stretches token by token; then slices of 8, 16, 32 … tokens at the same shift, and halves where they differ.
+            near = min(i + 8, n)
+            while i < near and ea[i] == eb[i + shift]:
+                i += 1
+            if i == near and i < n:
+                step = 8
+                while i < n and ea[i:i + step] == eb[i + shift:i + shift + step]:
+                    i += step
+                    step *= 2
+                if i >= n:
+                    i = n  # both end with the text
+                else:
+                    while step > 1:
+                        step //= 2
+                        if ea[i:i + step] == eb[i + shift:i + shift + step]:
+                            i += step
+            j = i + shift
+            even.append((i0, i0 + shift, i - i0))
         else:
-            out.append((i, j, 0))
-            x, y = ea[i], eb[j]
+            i0, j0 = i, j
             while x != y:
                 if x < y:
                     i += 1
@@ -69,25 +74,22 @@ def walk(ea: list[int], eb: list[int]) -> list[tuple[int, int, int]]:
                     y = eb[j]
             i += 1
             j += 1
-    return out
+            odd.append((i0, i, j0, j))
+    return even, odd
 
 
-def groups_of(a: list[int], b: list[int], runs: list[tuple[int, int, int]]) -> list[tuple[tuple, tuple]]:
-    """The groups of ids that :func:`walk` found."""
-    out = []
-    ends = [*[r[:2] for r in runs[1:]], (len(a), len(b))]
-    for (i, j, k), (i2, j2) in zip(runs, ends):
-        if k:
-            out.extend(((x,), (y,)) for x, y in zip(a[i:i + k], b[j:j + k]))
-        else:
-            out.append((tuple(a[i:i2]), tuple(b[j:j2])))
-    return out
+def groups_of(a: list[int], b: list[int]) -> list[tuple[tuple, tuple]]:
+    """The groups of a text whose tokens end at ``a`` and ``b``, in order, as the indexes of their tokens."""
+    even, odd = walk(a, b)
+    singles = [((i + d,), (j + d,)) for i, j, k in even for d in range(k)]
+    return sorted(singles + [(tuple(range(i, i2)), tuple(range(j, j2))) for i, i2, j, j2 in odd])
 
 
 class Pair:
     """The two tokenizers of a worker: A of the tokenizers library with byte-level tokens, B a sentencepiece model."""
 
     def __init__(self, path_a: str, path_b: str, remembered: int):
+        import json
         import re
 
         import numpy as np
@@ -112,27 +114,32 @@ class Pair:
             self.bytes_b.append(bytes([int(one[1], 16)]) if one else piece.replace("▁", " ").encode())
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
+        # Byte-level tokens without a normalizer or an added space, with one for each byte, join to their text by construction.
+        made = json.loads(self.a.tokenizer.to_str())
+        step = made.get("pre_tokenizer") or {}
+        self.lossless_a = made.get("normalizer") is None and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and set(byte) <= set(vocabulary)
         self.text_a = [str(i) for i in range(len(self.bytes_a))]
         self.text_b = [str(i) for i in range(len(self.bytes_b))]
 
     def aligned(self, texts: list[str | None]):
-        """For each text its ids of A and B and their runs; empty lists where the text has no tokens."""
+        """For each text its ids of A and B as arrays, its one-to-one stretches and its irregular groups; nothing where it has no tokens."""
         import numpy as np
 
         spaced = [" " + t if t else "" for t in texts]
         ids_a = self.a.encode(spaced)
         ids_b = self.b.encode([t or "" for t in texts], num_threads=1)
+        none = np.zeros(0, np.uint32)
         for text, a, b in zip(spaced, ids_a, ids_b):
-            raw = text.encode("utf-8", "surrogatepass")
-            a = np.frombuffer(a, "<u4")
-            own = a.tolist()
-            if not raw or b"".join(map(self.bytes_a.__getitem__, own)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-                yield [], [], []
+            a, raw = np.frombuffer(a, "<u4"), text.encode("utf-8", "surrogatepass")
+            whole_a = self.lossless_a or b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw
+            if not raw or not whole_a or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+                yield none, none, [], []
                 continue
-            yield own, b, walk(self.length_a[a].cumsum().tolist(), self.length_b[np.array(b)].cumsum().tolist())
+            b = np.array(b, "<u4")
+            yield a, b, *walk(self.length_a[a].cumsum().tolist(), self.length_b[b].cumsum().tolist())
 
-    def group_text(self, group: tuple[tuple, tuple]) -> str:
-        return ",".join([self.text_a[x] for x in group[0]]) + "|" + ",".join([self.text_b[y] for y in group[1]])
+    def group_text(self, a: list[int], b: list[int]) -> str:
+        return ",".join([self.text_a[x] for x in a]) + "|" + ",".join([self.text_b[y] for y in b])
 
 
 @lru_cache(maxsize=1)
@@ -164,7 +171,8 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, remembered: int = REME
 
         both = pair(path_a, path_b, remembered)
         for ids, texts in _steps(batches):
-            rows = [(i, len(a), len(b), ";".join(map(both.group_text, groups_of(a, b, runs)))) for i, (a, b, runs) in zip(ids, both.aligned(texts))]
+            block = Block(both)
+            rows = [(i, len(a), len(b), block.text(block.numbers(a, b, even, odd))) for i, (a, b, even, odd) in zip(ids, both.aligned(texts))]
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.string())], names=["doc_id", "n_a", "n_b", "groups"]
             )
@@ -182,8 +190,13 @@ _KINDS = {"document": 0, "groups": 1, "pair": 2}
 class Block:
     """The distinct groups and pairs of some documents, numbered as they come."""
 
-    def __init__(self):
-        self.groups: dict[tuple, int] = {}
+    def __init__(self, both: Pair):
+        import numpy as np
+
+        self.both = both
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        # For each id of A: the one-to-one group it was last met in, and that group's id of B.
+        self.single, self.partner = np.full(len(both.bytes_a), -1, np.int64), np.full(len(both.bytes_a), -1, np.int64)
         self.texts: list[str] = []
         self.links: list[int] = []  # of each group
         self.pairs: dict[int, int] = {}  # a << 32 | b
@@ -191,37 +204,47 @@ class Block:
         self.docs = None  # for each pair the documents that hold it
         self.chars = 0
 
-    def add(self, group: tuple[tuple, tuple], both: Pair) -> int:
-        """The number of a group, given one if it is new."""
-        number = self.groups.get(group)
-        if number is not None:
-            return number
+    def add(self, group: tuple[bytes, bytes]) -> int:
+        """A number for a new group, given as the bytes of its ids."""
         number = self.groups[group] = len(self.groups)
-        a, b = group
-        self.texts.append(both.group_text(group))
+        a, b = (memoryview(x).cast("I").tolist() for x in group)
+        self.texts.append(self.both.group_text(a, b))
         self.links.append(len(a) * len(b))
         pairs = self.pairs
         self.of_group.extend([pairs.setdefault(x << 32 | y, len(pairs)) for x in a for y in b])
         return number
 
-    def numbers(self, a: list[int], b: list[int], runs: list[tuple[int, int, int]], both: Pair):
-        """The numbers of the groups of a text, in order; one-to-one stretches are looked up by distinct pair."""
+    def numbers(self, a, b, even: list[tuple[int, int, int]], odd: list[tuple[int, int, int, int]]):
+        """The numbers of the groups of a text, in order."""
         import numpy as np
 
-        if not runs:
-            return np.zeros(0, np.int64)
-        i, j, k = np.array(runs, np.int64).T
-        size = np.maximum(k, 1)
-        place = np.cumsum(size) - size
-        out = np.empty(size.sum(), np.int64)
-        even = k > 0
-        keys, which = np.unique(np.array(a, np.int64)[_gather(i[even], k[even])] << 32 | np.array(b, np.int64)[_gather(j[even], k[even])], return_inverse=True)
-        own = np.array([self.add(((x >> 32,), (x & 0xFFFFFFFF,)), both) for x in keys.tolist()], np.int64)
-        out[_gather(place[even], k[even])] = own[which]
-        odd = np.flatnonzero(~even)
-        to_i, to_j = np.append(i[1:], len(a))[odd].tolist(), np.append(j[1:], len(b))[odd].tolist()
-        out[place[odd]] = [self.add((tuple(a[i1:i2]), tuple(b[j1:j2])), both) for i1, i2, j1, j2 in zip(i[odd].tolist(), to_i, j[odd].tolist(), to_j)]
-        return out
+        known = self.groups
+        i, j, k = np.array(even, np.int64).reshape(-1, 3).T
+        at_a, at_b = _gather(i, k), _gather(j, k)
+        x, y = a[at_a], b[at_b]
+        single = self.single[x]
+        # An id of A nearly always has the same partner; the others are looked up.
+        for n in np.flatnonzero((single < 0) | (self.partner[x] != y)).tolist():
+            group = (x[n].tobytes(), y[n].tobytes())
+            g = known.get(group)
+            single[n] = self.single[x[n]] = self.add(group) if g is None else g
+            self.partner[x[n]] = y[n]
+        if not odd:
+            return single
+        raw_a, raw_b = a.tobytes(), b.tobytes()
+        found = []
+        for i1, i2, j1, j2 in odd:
+            group = (raw_a[4 * i1:4 * i2], raw_b[4 * j1:4 * j2])
+            g = known.get(group)
+            found.append(self.add(group) if g is None else g)
+        # Groups stand in the order of their first tokens of A.
+        out = np.full(len(a), -1, np.int64)
+        out[at_a] = single
+        out[np.array(odd, np.int64)[:, 0]] = found
+        return out[out >= 0]
+
+    def text(self, numbers) -> str:
+        return ";".join(map(self.texts.__getitem__, numbers.tolist()))
 
 
 def _sums(values, links):
@@ -244,12 +267,14 @@ def _gather(starts, counts):
 
 def _blocks(batches, path_a: str, path_b: str, remembered: int):
     """Rows of three kinds: documents with the numbers of their groups, the groups of each block, and its pairs."""
+    import gc
     from hashlib import sha256
     from uuid import uuid4
 
     import numpy as np
     import pyarrow as pa
 
+    gc.disable()  # millions of small objects without a cycle; this worker does nothing else
     both = pair(path_a, path_b, remembered)
     fields = [f.split() for f in _BLOCKS.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.large_binary()}
@@ -267,16 +292,16 @@ def _blocks(batches, path_a: str, path_b: str, remembered: int):
             part = keys[s:s + 50_000]
             yield out("pair", len(part), pair=np.arange(s, s + len(part)), a=(part >> 32).astype(np.int32), b=(part & 0xFFFFFFFF).astype(np.int32), docs=block.docs[s:s + len(part)])
 
-    block, name = Block(), uuid4().hex
+    block, name = Block(both), uuid4().hex
     for ids, texts in _steps(batches):
         rows, seen = [], []
         for d, i in zip(both.aligned(texts), ids):
-            a, b, runs = d
-            numbers = block.numbers(a, b, runs, both)
-            text = ";".join(map(block.texts.__getitem__, numbers.tolist()))
+            a, b, even, odd = d
+            numbers = block.numbers(a, b, even, odd)
+            text = block.text(numbers)
             own, often = np.unique(numbers, return_counts=True)
             seen.append(own)
-            rows.append((i, len(a), len(b), len(numbers), sha256(text.encode()).hexdigest() if a else "", own.astype("<u4").tobytes(), often.astype("<u4").tobytes(), often))
+            rows.append((i, len(a), len(b), len(numbers), sha256(text.encode()).hexdigest() if len(a) else "", own.astype("<u4").tobytes(), often.astype("<u4").tobytes(), often))
         links = np.array(block.links, np.int64)
         starts = np.cumsum(links) - links
         of_group = np.array(block.of_group, np.int64)
@@ -294,8 +319,9 @@ def _blocks(batches, path_a: str, path_b: str, remembered: int):
         block.chars += sum(len(t or "") for t in texts)
         if len(block.pairs) >= PAIRS_PER_BLOCK or block.chars >= CHARS_PER_BLOCK:
             yield from close(block)
-            block, name = Block(), uuid4().hex
+            block, name = Block(both), uuid4().hex
     yield from close(block)
+    gc.enable()
 
 
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"

@@ -113,8 +113,8 @@ def test_walk_equals_common_ends():
         p = rng.choice([0.3, 0.9, 0.99, 1.0])
         a, b = keep(p), keep(p)
         cuts = []
-        for ga, gb in al.groups_of(a, b, al.walk(a, b)):
-            assert ga[-1] == gb[-1] and not set(ga[:-1]) & set(gb[:-1])
-            cuts.append(ga[-1])
+        for ga, gb in al.groups_of(a, b):
+            assert a[ga[-1]] == b[gb[-1]] and not {a[i] for i in ga[:-1]} & {b[j] for j in gb[:-1]}
+            cuts.append(a[ga[-1]])
         assert cuts == sorted(set(a) & set(b))
-    assert al.walk([], []) == [] and al.walk([5], [5]) == [(0, 0, 1)]
+    assert al.walk([], []) == ([], []) and al.walk([5], [5]) == ([(0, 0, 1)], [])
