@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -13,9 +14,33 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Note the scratch folders that are named meanwhile in ``paths``, so that they can be removed when nobody reads them any more."""
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders. Frames that read them are lost, so what they gave must have been written."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    paths.clear()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, inside the shared folder that the cluster names for checkpoints."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:

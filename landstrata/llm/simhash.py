@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from landstrata.llm.common import components, cut_lineage
+from landstrata.llm.common import components, cut_lineage, written
 
 BITS = 64
 #: Buckets with more fingerprints are not paired up; see crowded_links.
@@ -342,7 +342,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
         met = pairs.select(F.col("body_a").alias("body")).union(pairs.select(F.col("body_b").alias("body"))).distinct()
         spots = bodies.join(met, "body").select(F.col("low").alias("key"), F.col("body").alias("found"))
         texts = docs.select(named.alias("key"), body.alias("body"), "text").join(spots, "key").where("body = found").dropDuplicates(["body"])
-        sets = cut_lineage(_shingle_sets(texts, shingle))
+        sets = written(_shingle_sets(texts, shingle), "shingle-sets", compression="zstd")
         x, y = (sets.select(F.col("body").alias(f"body_{c}"), F.col("shingles").alias(c)) for c in "xy")
         both = pairs.join(x, pairs["body_a"] == x["body_x"]).join(y, pairs["body_b"] == y["body_y"])
         shared = F.size(F.array_intersect("x", "y"))
@@ -351,19 +351,23 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     # Copies of a text give the same rows; they are made one where the rows of a shingle are.
     rows = _prefixes(docs.select(F.xxhash64(body).alias("id"), "text"), shingle, similarity).repartition("shingle").distinct()
     least = rows.groupBy("shingle").agg(F.min(F.struct("id", "size", "at")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut_lineage(rows.join(least, "shingle").select("shingle", F.struct("id", "size", "at").alias("own"), "head", "n"))
-    star = shared.where((F.col("own.id") != F.col("head.id")) & _meetable("own", "head", similarity)).select(F.col("own.id").alias("id_a"), F.col("head.id").alias("id_b")).distinct()
+    # Plain columns in compressed files: the largest table here by far. Most prefix shingles are of one text and end here.
+    head = [F.col(f"head.{c}").alias(f"head_{c}") for c in ("id", "size", "at")]
+    shared = written(rows.join(least, "shingle").select("shingle", "id", "size", "at", *head), "prefix-rows", compression="zstd")
+    own, other = F.struct("id", "size", "at").alias("own"), F.struct(F.col("head_id").alias("id"), F.col("head_size").alias("size"), F.col("head_at").alias("at")).alias("head")
+    star = shared.where("id <> head_id").select(own, other).where(_meetable("own", "head", similarity)).select(F.col("own.id").alias("id_a"), F.col("head.id").alias("id_b")).distinct()
     alike = verified(across.union(within).union(named_pairs(star)))
     joined = cut_lineage(components(alike))
 
-    groups = bodies.join(joined.withColumnRenamed("node", "body"), "body").select("id", F.xxhash64("component").alias("group"))
-    placed = shared.where("own.id <> head.id").join(groups.withColumnRenamed("id", "__id"), F.col("own.id") == F.col("__id"), "left")
-    placed = cut_lineage(placed.select("shingle", "own", F.coalesce("group", "own.id").alias("group")))
+    groups = bodies.join(joined.withColumnRenamed("node", "body"), "body").select(F.col("id").alias("__id"), F.xxhash64("component").alias("group"))
+    placed = shared.where("id <> head_id").select("shingle", "id", "size", "at").join(groups, F.col("id") == F.col("__id"), "left")
+    placed = placed.select("shingle", "id", "size", "at", F.coalesce("group", "id").alias("group"))
     mixed = placed.groupBy("shingle").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("g <> h").select("shingle", F.ceil(F.col("n") / 1000).cast("int").alias("salts"))
-    rest = cut_lineage(placed.join(mixed, "shingle"))
-    x = rest.select("shingle", F.pmod("own.id", F.col("salts")).cast("int").alias("salt"), F.col("own").alias("x"), F.col("group").alias("group_x"))
-    y = rest.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("own").alias("y"), F.col("group").alias("group_y"))
+    rest = written(placed.join(mixed, "shingle"), "prefix-mixed", compression="zstd")
+    row = F.struct("id", "size", "at")
+    x = rest.select("shingle", F.pmod("id", F.col("salts")).cast("int").alias("salt"), row.alias("x"), F.col("group").alias("group_x"))
+    y = rest.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), row.alias("y"), F.col("group").alias("group_y"))
     cross = x.join(y, ["shingle", "salt"]).where((F.col("group_x") != F.col("group_y")) & (F.col("x.id") < F.col("y.id")) & _meetable("x", "y", similarity))
     late = verified(named_pairs(cross.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()))
 
