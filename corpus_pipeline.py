@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landstrata.llm import decontaminate, langid, line_dedup, packing, simhash
-from landstrata.llm.common import table, written
+from landstrata.llm.common import recorded, remove, table, written
 from landstrata.llm.queries import tokenizer
 
 
@@ -35,17 +35,36 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer(), end_id=0, capacity=2048, remembered=300_000)
 
 
+_LEFT: list[str] = []  # scratch folders of the stage that ran last
+
+
+def _tidy(first: bool, stage):
+    """``stage``, which first removes the scratch tables of the stage before it: their result is written and reread as its ``docs``."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            remove(spark, _LEFT)
+        _LEFT.clear()
+        with recorded(_LEFT):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id), ("line_dedup", dedup_lines), ("simhash_dedup", dedup_documents),
-    ("decontamination", remove_contaminated), ("packing", pack),
+    ("language_id", _tidy(True, language_id)), ("line_dedup", _tidy(False, dedup_lines)), ("simhash_dedup", _tidy(False, dedup_documents)),
+    ("decontamination", _tidy(False, remove_contaminated)), ("packing", _tidy(False, pack)),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, name)
+            with recorded(now := []):
+                docs = written(docs, name)
+            remove(spark, kept)
+            kept = now
     return docs
