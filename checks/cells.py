@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from checks.derived import attr, box, check, dem, lin, pts, r, shapes, table, _scatter
+from checks.derived import attr, box, check, dem, lin, pts, r, reg, shapes, table, _scatter
 from landstrata.functions import geometry as g, hexgrid
 from landstrata.functions.props import value_of
 from landstrata.operators import cells, profile, raster, treatment
@@ -337,6 +337,19 @@ def _(spark, sf):
     return out.groupBy(prop("name").alias("name"), prop("vector_width").alias("width")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@check(
+    "region_raster_extract",
+    """select name as region, count(*) as pixels, cast(min("row") as bigint) as top, cast(min(col) as bigint) as "left", round(sum(value), 6) as total from dem
+    join reg on cast(-124 as double) + (col + 0.5) / 128 between w and e and cast(40 as double) - ("row" + 0.5) / 1024 between s and n group by 1""",
+)
+def _(spark, sf):
+    """The raster laid over the regions with pixels of 1/128 by 1/1024 degrees."""
+    out = raster.region_pixels(dem(spark, sf), {"west": -124.0, "north": 40.0, "dx": 1 / 128, "dy": 1 / 1024}, reg(spark, sf), tile=64)
+    return out.groupBy("region").agg(
+        F.count(F.lit(1)).alias("pixels"), F.min(F.when(F.col("region_row") == 0, F.col("row"))).alias("top"), F.min(F.when(F.col("region_col") == 0, F.col("col"))).alias("left"), r(F.sum("value")).alias("total")
+    )
+
+
 @check(
     "raster_resample",
     """with h as (select cast(max("row") + 1 as double) as rows from dem), k as (select rows, cast(greatest(1, round(rows / 3.2)) as bigint) as height from h),

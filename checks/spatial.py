@@ -615,10 +615,10 @@ def _(spark, sf):
     return layers.bag_union(d, d).groupBy("feature_id").agg(count().alias("n"))
 
 
-@check("overwrite_from_pending", "select cast(k as varchar) as feature_id from delta where action = 'create' and ts >= timestamp '1998-01-01'")
+@check("overwrite_from_pending", f"{_CHANGES} select name as feature_id from c where k not in (select k from m where action = 'delete')")
 def _(spark, sf):
-    pending = delta(spark, sf).filter((F.col("action") == "create") & (F.col("ts") >= F.lit("1998-01-01").cast("timestamp")))
-    return layers.apply_deltas(None, pending).select("feature_id")
+    """A layer overwritten by all that is pending: creates, annotations and deletes in one queue."""
+    return layers.apply_deltas(None, delta(spark, sf)).select("feature_id")
 
 
 @check("delete_by_id", "select event_id from events where event_id not in (select o_orderkey from orders where o_orderstatus = 'F')")

@@ -376,6 +376,28 @@ def resample(
     )
 
 
+def region_pixels(pixels: DataFrame, source: dict, regions: DataFrame, name: str = "name", geom: str = "geom", tile: int = TILE) -> DataFrame:
+    """The pixels of each region: every pixel whose centre lies in the region's box, once for each region it is in.
+
+    ``source`` has ``west, north, dx, dy`` (north-west corner and pixel sizes). A region is filed under the tiles its box
+    covers and meets the pixels in an equi join on the tile. Beside ``row, col, value`` come ``region`` and the pixel's
+    place in the region's own raster, ``region_row`` and ``region_col`` from 0 at its north-west pixel.
+    """
+    b = F.col(geom)["bbox"]
+    # The first pixel whose centre is inside, and the last one.
+    first = lambda edge, start, step: F.ceil((edge - F.lit(start)) / F.lit(step) - 0.5)
+    last = lambda edge, start, step: F.floor((edge - F.lit(start)) / F.lit(step) - 0.5)
+    spans = regions.where(b["west"].isNotNull()).select(
+        F.col(name).alias("region"), first(b["west"], source["west"], source["dx"]).alias("c0"), last(b["east"], source["west"], source["dx"]).alias("c1"),
+        F.ceil((F.lit(source["north"]) - b["north"]) / F.lit(source["dy"]) - 0.5).alias("r0"), F.floor((F.lit(source["north"]) - b["south"]) / F.lit(source["dy"]) - 0.5).alias("r1"),
+    ).where("c0 <= c1 and r0 <= r1")
+    cover = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(z) / tile)))
+    filed = spans.withColumn("tr", cover("r0", "r1")).withColumn("tc", cover("c0", "c1"))
+    placed = pixels.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    inside = placed.join(filed, ["tr", "tc"]).where(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))
+    return inside.select("region", (F.col("row") - F.col("r0")).alias("region_row"), (F.col("col") - F.col("c0")).alias("region_col"), *[F.col(f"`{c}`") for c in pixels.columns])
+
+
 def blend(value: Column, grey: Column, percent: float) -> Column:
     """``percent`` of grey mixed into a value."""
     return value * F.lit(1.0 - percent / 100.0) + grey * F.lit(percent / 100.0)

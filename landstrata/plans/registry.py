@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from landstrata.functions.geometry import centroid, point
 from landstrata.operators import cells, raster, regions
 from landstrata.operators.alter import add_links, alter
 from landstrata.operators.alter import filter_properties
+from landstrata.operators.annotate import annotate
 from landstrata.operators.layers import apply_deltas
+from landstrata.plans import sql
 from landstrata.sources import documents, vector
 from landstrata.sources.store import export_sheet
 
@@ -107,7 +110,35 @@ def _hillshade(spark, s, inputs):
 
 @asset("gdal_contours")
 def _contours(spark, s, inputs):
-    return raster.contour_layer(inputs[s["in_layer"]], s["interval"])
+    """Whole contour lines, or with ``segments`` the segments they are made of."""
+    return (raster.contour_layer if s.get("segments") else raster.contour_line_layer)(inputs[s["in_layer"]], s["interval"])
+
+
+@asset("raster_extract")
+def _region_raster(spark, s, inputs):
+    """The pixels of a raster layer in each region of another."""
+    return raster.region_pixels(inputs[s["in_layer"]], s["source"], inputs[s["regions"]], s.get("region_name", "name"))
+
+
+@asset("annotate")
+def _annotate(spark, s, inputs):
+    """A layer with the properties of another one's features that it meets."""
+    options = {k: s[k] for k in ("multi", "updated", "order", "match", "property_match") if k in s}
+    return annotate(inputs[s["in_layer"]], inputs[s["annotations"]], **options)
+
+
+@asset("centroid")
+def _centroid(spark, s, inputs):
+    """Features as the points of their centroids."""
+    at = inputs[s["in_layer"]].withColumn("__c", centroid("geom"))
+    return at.withColumn("geom", point(F.col("__c.x"), F.col("__c.y"))).drop("__c")
+
+
+@asset("sql")
+def _sql(spark, s, inputs):
+    """A read-only query over the inputs as views."""
+    sql.register_layers(inputs, only=s.get("layers"))
+    return sql.run_query(spark, s["query"], sql.bbox_args(s["bbox"]) if s.get("bbox") and ":west" in s["query"] else None)
 
 
 @asset("h3_cells")

@@ -19,6 +19,10 @@ from landstrata.functions.text import degree_minutes
 from landstrata.model import feature_key
 
 
+#: GeoJSON files longer than this are read by several tasks.
+SPLIT_BYTES = 128 << 20
+
+
 def _with_id(df: DataFrame) -> DataFrame:
     name = F.try_element_at(F.col("properties"), F.lit("name"))
     return df.withColumn("feature_id", feature_key(name, F.coalesce(to_geojson("geom"), F.lit("")))).select(
@@ -105,10 +109,14 @@ def vector_file(
     none.
     """
     from landstrata.sources.geojson import read_collection
+    from landstrata.sources.geojson_split import read_split_collection
 
     kind = file_format or path.rsplit(".", 1)[-1].lower()
     if kind in ("geojson", "json"):
-        rows = read_collection(spark, path).select("feature_id", "geom", "properties")
+        # A file of many blocks is read by as many tasks; its length is metadata.
+        longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        read = read_split_collection if longest > SPLIT_BYTES else read_collection
+        rows = read(spark, path).select("feature_id", "geom", "properties")
     elif kind == "parquet":
         rows = spark.read.parquet(path)
         if layer is not None:
