@@ -76,10 +76,13 @@ def latest_marks(marks: DataFrame) -> DataFrame:
     return marks.groupBy("row", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
 
 
-def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows with their ``marks`` as a map beside those they had, the later of each key; deleted rows go."""
+def with_marks(rows: DataFrame, marks: DataFrame, single: bool = False) -> DataFrame:
+    """Rows with their ``marks`` as a map beside those they had, the later of each key; deleted rows go.
+
+    ``single`` marks are one of each row and key already.
+    """
     one = F.struct(F.col("key"), F.struct("value", "at").alias("mark"))
-    effect = latest_marks(marks).groupBy("row").agg(F.map_from_entries(F.collect_list(one)).alias("__new"))
+    effect = (marks if single else latest_marks(marks)).groupBy("row").agg(F.map_from_entries(F.collect_list(one)).alias("__new"))
     rows = rows.withColumn("__row", row_key())
     joined = rows.join(effect.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
     none = F.expr(f"cast(map() as {MARKS})")
@@ -110,7 +113,7 @@ def apply_deltas(layer: DataFrame | None, deltas: DataFrame, feature_id: str = "
     if layer is not None:
         rows = layer.select(names).unionByName(rows)
     marks = change_marks(rows, deltas.filter(F.col("action") != "create"), feature_id, **join_options)
-    return with_marks(rows, marks).withColumn("properties", marked_properties()).select(names)
+    return with_marks(rows, marks, single=True).withColumn("properties", marked_properties()).select(names)
 
 
 def bag_union(*frames: DataFrame) -> DataFrame:
