@@ -59,15 +59,22 @@ def test_edges_give_the_pairs_of_the_plain_predicates(spark):
     assert edge_join.intersecting_ids(a, b.limit(0), "id", "id").count() == 0
 
 
-def test_rings_of_many_vertices(spark):
-    shapes = lambda x, r, n=100_000: spark.range(1).select(
-        F.col("id"), g.from_rings(F.lit("Polygon"), F.array(F.struct(F.lit(False).alias("hole"), F.transform(
-            F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((F.lit(x) + F.lit(r) * (2 + F.cos(i * (1001 * 2 * math.pi / n))) * F.cos((i % n) * (2 * math.pi / n))).alias("x"), (F.lit(r) * (2 + F.cos(i * (1001 * 2 * math.pi / n))) * F.sin((i % n) * (2 * math.pi / n))).alias("y"))).alias("pts")))).alias("geom"))
+def test_rings_of_many_vertices(spark, folder):
+    def shape(x, r, n):
+        """A wavy ring, written once."""
+        angle = lambda i, k: i * (k * 2 * math.pi / n)
+        wave = lambda i: F.lit(r) * (2 + F.cos(angle(i % n, 1001)))
+        pts = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((F.lit(x) + wave(i) * F.cos(angle(i % n, 1))).alias("x"), (wave(i) * F.sin(angle(i % n, 1))).alias("y")))
+        path = f"{folder}/{x}-{r}-{n}"
+        spark.range(1).select("id", g.from_rings(F.lit("Polygon"), F.array(F.struct(F.lit(False).alias("hole"), pts.alias("pts")))).alias("geom")).write.parquet(path)
+        return spark.read.parquet(path)
+
     began = time.time()
-    assert edge_join.intersecting_ids(shapes(0.0, 1.0), shapes(1.5, 1.0), "id", "id").count() == 1
-    assert edge_join.intersecting_ids(shapes(0.0, 10.0, 5000), shapes(0.5, 1.0, 5000), "id", "id").count() == 1  # wholly inside
-    assert edge_join.ids_within(shapes(0.5, 1.0, 5000), shapes(0.0, 10.0, 5000), "id", "id").count() == 1
+    assert edge_join.intersecting_ids(shape(0.0, 1.0, 100_000), shape(1.5, 1.0, 100_000), "id", "id").count() == 1
     assert time.time() - began < 240
+    small, large = shape(0.5, 1.0, 5000), shape(0.0, 10.0, 5000)
+    assert edge_join.intersecting_ids(large, small, "id", "id").count() == 1  # wholly inside
+    assert edge_join.ids_within(small, large, "id", "id").count() == 1
 
 
 def test_rings_stay_out_of_the_cells(spark):
