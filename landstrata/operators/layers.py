@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from landstrata.functions.props import map_merge, props_or_empty, truthy_only
 from landstrata.operators.skew import SALTS, first_per_group, join_null_safe, number_rows
-from landstrata.operators.spatial_join import spatial_pairs
+from landstrata.operators.annotate import latest_at_places
+from landstrata.operators.spatial_join import meeting_places, place_key, with_place
 
 # Delta actions.
 ACTIONS = ("create", "annotate", "delete")
@@ -49,20 +50,24 @@ def change_marks(rows: DataFrame, changes: DataFrame, feature_id: str = "feature
     falsy = F.col("falsy_keys") if "falsy_keys" in changes.columns else None
     over = truthy_only(props_or_empty(F.col("properties")), falsy)
     changes = changes.select(F.col(feature_id).alias("id"), "geom", over.alias("over"), "ts", "file", "pos", "action")
-    later = F.struct(F.col("anno_ts"), F.col("anno_file")) > F.struct(F.col("ts"), F.col("file"))
-    # Pairs carry keys, shapes and times only.
-    slim = (rows if near is None else near).select(row_key().alias("row"), "geom", "ts", "file")
-    at = F.struct(F.col("anno_ts").alias("ts"), F.col("anno_file").alias("file"), F.col("anno_pos").alias("pos")).alias("at")
-    pairs = spatial_pairs(slim, changes, left_id="row", right_id="id", on=later, **join_options)
-    written = F.when(F.col("anno_action") == "delete", F.create_map(F.lit(GONE), F.lit(""))).otherwise(F.col("anno_over"))
-    marks = pairs.select("row", F.explode(written).alias("key", "value"), at)
+    when = F.struct("ts", "file", "pos")
+    written = F.when(F.col("action") == "delete", F.create_map(F.lit(GONE), F.lit(""))).otherwise(F.col("over"))
+    # Rows at one place meet the same changes, and the latest of a key is the one that is later than a row, if any is.
+    entries = changes.select(place_key("geom").alias("__rp"), when.alias("__by"), F.explode(written).alias("__key", "__value"))
+    slim = rows if near is None else near
+    best = latest_at_places(meeting_places(slim, changes, **join_options), entries)
+    slim = with_place(slim.select(row_key().alias("row"), "geom", "ts", "file"), "geom").drop("geom")
+    at = F.col("__by").alias("at")
+    marks = slim.hint("merge").join(best, "__lp").filter(F.struct("__by.ts", "__by.file") > F.struct("ts", "file"))
+    marks = marks.select("row", F.col("__key").alias("key"), F.col("__value").alias("value"), at)
     if not by_id:
         return latest_marks(marks)
     # One delete of an id is enough, the latest: ids may repeat on both sides.
-    when = F.struct("ts", "file", "pos")
+    later = F.struct("anno_ts", "anno_file") > F.struct("ts", "file")
     named = changes.filter(F.col("action") == "delete").groupBy(F.col("id").alias("anno_id")).agg(F.max(when).alias("__at"))
     named = named.select("anno_id", *[F.col(f"__at.{c}").alias("anno_" + c) for c in ("ts", "file", "pos")])
-    met = rows.select(feature_id, row_key().alias("row"), "ts", "file").join(named, F.col(feature_id) == F.col("anno_id")).filter(later)
+    at = F.struct(F.col("anno_ts").alias("ts"), F.col("anno_file").alias("file"), F.col("anno_pos").alias("pos")).alias("at")
+    met = rows.select(feature_id, row_key().alias("row"), "ts", "file").hint("merge").join(named, F.col(feature_id) == F.col("anno_id")).filter(later)
     return latest_marks(marks.unionByName(met.select("row", F.lit(GONE).alias("key"), F.lit("").alias("value"), at)))
 
 
@@ -84,7 +89,7 @@ def with_marks(rows: DataFrame, marks: DataFrame, single: bool = False) -> DataF
     one = F.struct(F.col("key"), F.struct("value", "at").alias("mark"))
     effect = (marks if single else latest_marks(marks)).groupBy("row").agg(F.map_from_entries(F.collect_list(one)).alias("__new"))
     rows = rows.withColumn("__row", row_key())
-    joined = rows.join(effect.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    joined = rows.join(effect.withColumnRenamed("row", "__row").hint("merge"), "__row", "left").drop("__row")
     none = F.expr(f"cast(map() as {MARKS})")
     new = F.coalesce(F.col("__new"), none)
     if "marks" in rows.columns:
