@@ -69,3 +69,15 @@ def test_many_changes_at_one_place(spark):
     got = {int(r.feature_id): r.v for r in layers.apply_deltas(None, deltas).selectExpr("feature_id", "properties['v'] as v").collect()}
     assert got == {i: str(n - 3 if i < n - 3 else i) for i in range(6, n, 2)}
     assert time.time() - began < 60
+
+
+def test_shapes_of_few_vertices_need_no_edges(spark, monkeypatch):
+    """Pairs of triangles and boxes are settled in one join, without edges."""
+    from landstrata.operators import edge_join
+
+    monkeypatch.setattr(edge_join, "_edges", None)
+    a = mixed(spark, 40, 1)
+    for find, predicate in ((edge_join.intersecting_ids, "intersects"), (edge_join.ids_within, "within")):
+        out = find(a, a, "id", "id")
+        plain = spatial_pairs(a, a, left_id="id", right_id="id", predicate=predicate).select("id", "anno_id").collect()
+        assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in plain)
