@@ -34,31 +34,41 @@ def attach_group_values(
 def in_ranges(df: DataFrame, keys: list[str], order: list[str], limit: int = LIMIT) -> tuple[DataFrame, bool]:
     """Add ``__range``: null in groups of at most ``limit`` rows, else the number of the range of ``order`` that a row is in.
 
-    Groups are counted first. Only those over ``limit`` are cut, at every 64th of a sample of their rows taken by the
-    hash of the row, into ranges of about ``limit`` rows; so there are at most rows / ``limit`` bounds, which is why
-    they are broadcast. Equal values of ``order`` are cut further by the row's hash; only rows that are equal throughout
+    Groups are counted first. Only those over ``limit`` are cut, at every 64th of a sample of their rows, into ranges of
+    about ``limit`` rows; so there are at most rows / ``limit`` bounds, which is why they are broadcast. Equal values of ``order`` are cut further by the row's hash; only rows that are equal throughout
     stay together. The flag tells whether any group was cut. ``df`` is read for the counts and, where a group is cut,
     for the sample, so it should be a table or a few steps from one. Null keys form a group.
     """
     big = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > limit))
     if big.isEmpty():
         return df.withColumn("__range", F.lit(None).cast("int")), False
-    place = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], row_hash(df).alias("h"))
+    values = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)]
     every = min(64, limit)
-    share = int(every / limit * (1 << 30))
-    sample = df.where(F.pmod(F.xxhash64(F.lit(7), row_hash(df)), F.lit(1 << 30)) < share)
+    # The cuts are written, so any sample does.
+    sample = df.sample(every / limit, seed=7)
+    place = F.struct(*values, row_hash(df).alias("h"))
     sample = join_null_safe(sample.select(*keys, place.alias("__place")), F.broadcast(big.drop("__size")), keys) if keys else sample.select(place.alias("__place"))
     cuts = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("__place")).alias("__all"))
-    cuts = cuts.select(*keys, F.filter("__all", lambda x, i: i % every == every - 1).alias("__cuts"))
+    cuts = cut_lineage(cuts.select(*keys, F.filter("__all", lambda x, i: i % every == every - 1).alias("__cuts")))
+    # Where no two cuts share a value of ``order`` it tells the ranges alone, and the rows need not be hashed.
+    by_order = lambda x: F.struct(*[x[f"o{i}"].alias(f"o{i}") for i in range(len(order))])
+    alone = F.transform("__cuts", by_order)
+    if cuts.where(F.size("__cuts") != F.size(F.array_distinct(alone))).isEmpty():
+        place, cuts = F.struct(*values), cuts.withColumn("__cuts", alone)
     # Looked up in two steps: first among every ``step``th cut, then among the ``step`` cuts that follow it.
     step = F.greatest(F.lit(1), F.sqrt(F.size("__cuts")).cast("int"))
     cuts = cut_lineage(cuts.select(*keys, F.struct(F.filter("__cuts", lambda x, i: i % step == step - 1).alias("some"), F.col("__cuts").alias("all"), step.alias("step")).alias("__cuts")))
     rows = join_null_safe(df, F.broadcast(cuts), keys, "left") if keys else df.withColumn("__cuts", cuts.select("__cuts").scalar())
-    rows = rows.withColumn("__place", place)
-    c, below = F.col("__cuts"), lambda b: b <= F.col("__place")
-    first = F.size(F.filter(c["some"], below)) * c["step"]
-    number = first + F.size(F.filter(F.slice(c["all"], first + 1, c["step"]), below))
-    return rows.withColumn("__range", F.when(c.isNotNull(), number)).drop("__cuts", "__place"), True
+    c = F.col("__cuts")
+
+    def number(p: Column) -> Column:
+        below = lambda b: b <= p
+        first = F.size(F.filter(c["some"], below)) * c["step"]
+        return F.get(F.transform(F.array(first), lambda f: f + F.size(F.filter(F.slice(c["all"], f + 1, c["step"]), below))), F.lit(0))
+
+    # The place is worked out once for a row, not for each cut; the generator's output once, not in each filter on it.
+    found = F.when(c.isNotNull(), F.get(F.transform(F.array(place), number), F.lit(0)))
+    return rows.withColumn("__range", F.explode_outer(F.array(found))).drop("__cuts"), True
 
 
 def _part(keys: list[str], split: bool) -> list[str]:

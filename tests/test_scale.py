@@ -160,3 +160,12 @@ def test_flat_raster_is_left_unscaled(spark):
     assert raster.contours(flat, 2.0, tile=4).count() == 0
     tiles = [sorted(tuple(r) for r in raster.gradients(flat.withColumn("value", F.col("row") * F.col("col") + 0.0), tile=t).collect()) for t in (3, 256)]
     assert tiles[0] == tiles[1]
+
+
+def test_ranges_are_looked_up_once_a_row(spark):
+    """Where the order tells rows apart, none is hashed, and no filter looks a range up again."""
+    rows = spark.range(4000).select("id", (F.col("id") * 7919 % 4000).alias("o"), F.array(F.col("id")).alias("shape"))
+    got = skew.number_rows(rows, "o", limit=200)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan and not any("Filter" in line and "lambda" in line for line in plan.splitlines())
+    assert got.where("n <> o + 1").count() == 0
