@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from landstrata.functions.geometry import _let, from_rings
+from landstrata.functions.geometry import _let, box_spans, ends_of, from_rings, line, lone_segment, once
 from landstrata.model import RINGS
 
 _NONE = "cast(array() as array<struct<x:double,y:double>>)"
@@ -13,15 +13,7 @@ _NONE = "cast(array() as array<struct<x:double,y:double>>)"
 def _line_runs(points: str, b: str) -> str:
     """Pieces of a line inside a box; consecutive pieces that meet stay one line."""
 
-    def span(axis: str, lo: str, hi: str) -> tuple[str, str]:
-        a, d = f"s.a{axis}", f"(s.b{axis} - s.a{axis})"
-        inside = f"{a} BETWEEN {lo} AND {hi}"
-        enter = f"if({d} = 0, if({inside}, 0D, 2D), (if({d} > 0, {lo}, {hi}) - {a}) / {d})"
-        leave = f"if({d} = 0, if({inside}, 1D, -1D), (if({d} > 0, {hi}, {lo}) - {a}) / {d})"
-        return enter, leave
-
-    ex, lx = span("x", f"{b}.west", f"{b}.east")
-    ey, ly = span("y", f"{b}.south", f"{b}.north")
+    enter, leave = box_spans("s.{}".format, b)
     segments = (
         f"transform(sequence(0, greatest(size({points}) - 2, 0)), i -> named_struct("
         f"'ax', {points}[i].x, 'ay', {points}[i].y, 'bx', {points}[least(i + 1, size({points}) - 1)].x, "
@@ -31,7 +23,7 @@ def _line_runs(points: str, b: str) -> str:
         f"least(s.ax, s.bx) <= {b}.east AND greatest(s.ax, s.bx) >= {b}.west AND "
         f"least(s.ay, s.by) <= {b}.north AND greatest(s.ay, s.by) >= {b}.south"
     )
-    spans = f"transform(filter({segments}, s -> {near}), s -> named_struct('s', s, 't0', greatest(0D, {ex}, {ey}), 't1', least(1D, {lx}, {ly})))"
+    spans = f"transform(filter({segments}, s -> {near}), s -> named_struct('s', s, 't0', {enter}, 't1', {leave}))"
 
     def at(t: str) -> str:
         return (
@@ -110,3 +102,28 @@ def clip(geom: str, box: str) -> Column:
     )
     cut_down = F.get(F.transform(F.array(from_rings(F.expr(f"{g}.gtype"), rings)), several), F.lit(0))
     return F.when(F.expr(inside), F.col(geom)).otherwise(cut_down)
+
+
+def clip_rows(df: DataFrame, geom: str, box: str) -> DataFrame:
+    """Rows with ``geom`` cut to the bbox column ``box``, as :func:`clip` does; rows of which nothing is left go.
+
+    Lines of two vertices are cut by plain arithmetic, the rest by :func:`clip`.
+    """
+    g, b = F.col(geom)["bbox"], F.col(box)
+    whole = (g["west"] >= b["west"]) & (g["east"] <= b["east"]) & (g["south"] >= b["south"]) & (g["north"] <= b["north"])
+    # Steps by generators: Spark would copy the arithmetic into each later use and make methods that are too long to compile.
+    rows = df.withColumn("__line", once(F.when(F.expr(lone_segment(geom)), ends_of(geom))))
+    enter, leave = (F.expr(t) for t in box_spans("__line.{}".format, box))
+    rows = rows.withColumn("__span", once(F.when(F.col("__line").isNotNull(), F.struct(enter.alias("a"), leave.alias("b"), whole.alias("whole")))))
+    span = F.col("__span")
+    rows = rows.filter(span.isNull() | span["whole"] | (span["a"] < span["b"]))
+
+    def at(t: str, axis: str) -> Column:
+        p, q = F.col(f"__line.a{axis}"), F.col(f"__line.b{axis}")
+        return F.when(span[t] == 1, q).otherwise(p + span[t] * (q - p))
+
+    rows = rows.withColumn("__ends", once(F.struct(*[at(t, c).alias(t + c) for t in "ab" for c in "xy"])))
+    cut = line(*[(F.col(f"__ends.{t}x"), F.col(f"__ends.{t}y")) for t in "ab"])
+    rows = rows.withColumn("__cut", F.when(span.isNotNull(), F.when(span["whole"], F.col(geom)).otherwise(cut)))
+    rows = rows.withColumn("__cut", once(F.when(span.isNotNull(), F.col("__cut")).otherwise(clip(geom, box))))
+    return rows.filter(F.col("__cut").isNotNull()).withColumn(geom, F.col("__cut")).drop("__line", "__span", "__ends", "__cut")

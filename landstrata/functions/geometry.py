@@ -358,9 +358,10 @@ def area(geom: str) -> Column:
 
 
 def length_text(geom: str) -> str:
+    x, y = (f"({_end(geom, 1, c)} - {_end(geom, 0, c)})" for c in "xy")
     return (
-        f"aggregate({_segments(geom + '.rings')}, 0D, (acc, e) -> "
-        "acc + sqrt((e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay)))"
+        f"CASE WHEN {lone_segment(geom)} THEN sqrt({x} * {x} + {y} * {y}) ELSE aggregate({_segments(geom + '.rings')}, 0D, (acc, e) -> "
+        "acc + sqrt((e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay))) END"
     )
 
 
@@ -424,23 +425,48 @@ def bbox_inside(box: str, west: float, south: float, east: float, north: float)
     return (b["west"] > west) & (b["east"] < east) & (b["south"] > south) & (b["north"] < north)
 
 
-def _meets_box(segments: str, box: str) -> str:
-    """Some segment shares a point with a rectangle: the stretch between its slabs is not empty."""
+def lone_segment(shape: str) -> str:
+    """A line of two vertices: its ends can be read without walking over rings."""
+    return f"({shape}.gtype = 'LineString' AND size({shape}.rings) = 1 AND size(get({shape}.rings, 0).pts) = 2)"
+
+
+def _end(shape: str, i: int, axis: str) -> str:
+    return f"get(get({shape}.rings, 0).pts, {i}).{axis}"
+
+
+def ends_of(shape: str) -> Column:
+    """``struct<ax,ay,bx,by>`` of a :func:`lone_segment`."""
+    return F.struct(*[F.expr(_end(shape, i, c)).alias("ab"[i] + c) for i in (0, 1) for c in "xy"])
+
+
+def box_spans(at, box: str) -> tuple[str, str]:
+    """Where, from 0 to 1, a segment enters a rectangle and leaves it; ``at`` gives the text of ``ax, ay, bx, by``."""
 
     def span(axis: str, lo: str, hi: str) -> tuple[str, str]:
-        at, d = f"e.a{axis}", f"(e.b{axis} - e.a{axis})"
-        inside = f"{at} BETWEEN {lo} AND {hi}"
-        enter = f"if({d} = 0, if({inside}, 0D, 2D), (if({d} > 0, {lo}, {hi}) - {at}) / {d})"
-        leave = f"if({d} = 0, if({inside}, 1D, -1D), (if({d} > 0, {hi}, {lo}) - {at}) / {d})"
+        a, d = at("a" + axis), f"({at('b' + axis)} - {at('a' + axis)})"
+        inside = f"{a} BETWEEN {lo} AND {hi}"
+        enter = f"if({d} = 0, if({inside}, 0D, 2D), (if({d} > 0, {lo}, {hi}) - {a}) / {d})"
+        leave = f"if({d} = 0, if({inside}, 1D, -1D), (if({d} > 0, {hi}, {lo}) - {a}) / {d})"
         return enter, leave
 
     ex, lx = span("x", f"{box}.west", f"{box}.east")
     ey, ly = span("y", f"{box}.south", f"{box}.north")
+    return f"greatest(0D, {ex}, {ey})", f"least(1D, {lx}, {ly})"
+
+
+def segment_meets_box(at, box: str) -> str:
+    """A segment shares a point with a rectangle: the stretch between its slabs is not empty."""
     near = (
-        f"least(e.ax, e.bx) <= {box}.east AND greatest(e.ax, e.bx) >= {box}.west AND "
-        f"least(e.ay, e.by) <= {box}.north AND greatest(e.ay, e.by) >= {box}.south"
+        f"least({at('ax')}, {at('bx')}) <= {box}.east AND greatest({at('ax')}, {at('bx')}) >= {box}.west AND "
+        f"least({at('ay')}, {at('by')}) <= {box}.north AND greatest({at('ay')}, {at('by')}) >= {box}.south"
     )
-    return f"exists({segments}, e -> {near} AND greatest(0D, {ex}, {ey}) <= least(1D, {lx}, {ly}))"
+    enter, leave = box_spans(at, box)
+    return f"({near} AND {enter} <= {leave})"
+
+
+def _meets_box(segments: str, box: str) -> str:
+    """Some segment shares a point with a rectangle."""
+    return f"exists({segments}, e -> {segment_meets_box('e.{}'.format, box)})"
 
 
 def _exact_text(a: str, b: str) -> str:

@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landstrata.functions.clip import clip
-from landstrata.functions.geometry import box_polygon, from_rings, once
+from landstrata.functions.clip import clip_rows
+from landstrata.functions.geometry import box_polygon, from_rings
 from landstrata.functions.props import map_merge, props_or_empty, value_of
 from landstrata.functions.text import canonical_name
 from landstrata.operators.skew import LIMIT, neighbors_in_order
@@ -108,10 +108,8 @@ def region_extract(features: DataFrame, regions: DataFrame, feature_id: str = "f
     pairs = spatial_pairs(
         features, slim, left_id=feature_id, right_id=region_name, right_prefix="region_", predicate="bbox", **options
     )
-    cut = pairs.withColumn("__box", F.col("region_geom.bbox")).withColumn("geom", once(clip("geom", "__box")))
-    return cut.filter(F.col("geom").isNotNull()).drop("__box", "region_geom").withColumnRenamed(
-        "region_" + region_name, "region"
-    )
+    cut = clip_rows(pairs.withColumn("__box", F.col("region_geom.bbox")), "geom", "__box")
+    return cut.drop("__box", "region_geom").withColumnRenamed("region_" + region_name, "region")
 
 
 def visible_layers(df: DataFrame, default_layers: list[str], overrides: DataFrame, region: str = "region", layer: str = "layer") -> DataFrame:
