@@ -4,21 +4,63 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 from string import punctuation
 
-# The pre-tokenizer of byte-level BPE never joins what stands before and after a single space between two
-# non-space characters, so each "space and word" has the same ids wherever it stands.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# The pre-tokenizer of byte-level BPE never joins what stands before and after a single space, or a single newline, between
+# two non-space characters, so each "space and word" and "newline and word" has the same ids wherever it stands.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = re.compile(r"\s")
-#: Pieces remembered per Python worker, and the longest one remembered: about 250 MB at most.
-REMEMBERED, LONGEST = 1_200_000, 64
+#: Pieces remembered per Python worker, and ids for each of them on average: about 250 MB at most.
+REMEMBERED, MEAN_IDS = 1_200_000, 8
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    """What ``to_pylist`` gives for texts without nulls, in a tenth of the time."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Lists:
+    """Lists of ids end to end, each known by its number."""
+
+    def __init__(self):
+        self.ids, self.starts, self.sizes = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Add lists; gives the number of the first one."""
+        first, n, used = self.n, self.n + len(sizes), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, max(used, 2 * len(self.ids)))
+        if n > len(self.starts):
+            room = max(n, 2 * len(self.starts))
+            self.starts, self.sizes = np.resize(self.starts, room), np.resize(self.sizes, room)
+        self.ids[self.used:used], self.sizes[first:n] = ids, sizes
+        self.starts[first:n] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = n, used
+        return first
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists one after another, and where each ends."""
+        sizes = self.sizes[numbers].astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. The library encodes each distinct piece of a text once."""
+    """Ids as little-endian unsigned 32-bit bytes. The library encodes each distinct piece of the texts once.
+
+    Texts are cut before each single space and each newline. A piece is kept without its space but with its newline, so a
+    piece that begins with a newline stands for itself and any other for a space and itself. Arrow finds the distinct pieces
+    of many texts; only these are looked up one by one.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,87 +69,140 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names inside a text are ordinary text
         self.remembered = remembered
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, stems: list[str]) -> dict[str, bytes]:
-        """Ids of each stem after a space. Stems go to the library as lines: a newline is a pre-token of its own between them."""
-        import numpy as np
-
-        plain = [s for s in stems if s and not _SPACE.search(s)]
-        rest = [s for s in stems if not s or _SPACE.search(s)]
-        out = dict(zip(rest, self._library([" " + s for s in rest])))
-        newline = int.from_bytes(self._library(["\n"])[0], "little")
-        for a in range(0, len(plain), 4096):
-            part = plain[a:a + 4096]
-            ids = np.frombuffer(self._library([" " + "\n ".join(part) + "\n"])[0], "<u4")
-            ends = (np.flatnonzero(ids == newline) * 4).tolist()
-            data, at = ids.tobytes(), 0
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer joins pieces over newlines")
-            for s, end in zip(part, ends):
-                out[s] = data[at:end]
-                at = end + 4
-        return out
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """Add the ids of ``words`` to ``known``; long ones come back apart and are not remembered.
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.lists = _Lists()
+        self.later: dict[str, int] = {}  # pieces as they stand inside a text
+        self.apart: dict[str, int] = {}  # without a space before them
+
+    def _library(self, texts: list[str]) -> int:
+        """Ids of texts, as lists; gives the number of the first one."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.lists.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int32, len(ids)))
+
+    def _lines(self, words: list[str], lead: str) -> int:
+        """The same for words without white space, each after ``lead`` (a space or a newline).
+
+        They go to the library as lines: a newline is a pre-token of its own between them.
+        """
+        text = "\n".join(words) if lead == "\n" else " " + "\n ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n" + text + "\n"], add_special_tokens=False)[0].ids, np.uint32)
+        breaks = np.flatnonzero(ids == self.newline[0])
+        if len(self.newline) != 1 or len(breaks) != len(words) + 1:
+            raise ValueError("the tokenizer joins pieces over newlines")
+        if lead == "\n":
+            return self.lists.add(ids[:-1], np.diff(breaks))
+        return self.lists.add(ids[ids != self.newline[0]], np.diff(breaks) - 1)
+
+    def _learn_apart(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.apart]
+        if new:
+            first = self._library(new)
+            self.apart.update(zip(new, range(first, first + len(new))))
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        spaced, broken, rest = [], [], []
+        for s in stems:
+            if s[:1] == "\n" and len(s) > 1 and not _SPACE.search(s, 1):
+                broken.append(s)
+            else:
+                (rest if not s or _SPACE.search(s) else spaced).append(s)
+        for words, lead in ((spaced, " "), (broken, "\n")):
+            for a in range(0, len(words), 4096):
+                part = words[a:a + 4096]
+                first = self._lines([w[1:] for w in part] if lead == "\n" else part, lead)
+                self.later.update(zip(part, range(first, first + len(part))))
+        if rest:
+            first = self._library([s if s[:1] == "\n" else " " + s for s in rest])
+            self.later.update(zip(rest, range(first, first + len(rest))))
+
+    def _learn(self, new: list[str]) -> None:
+        """Note the ids of pieces that are not known.
 
         A run of punctuation at the end of a piece, after a letter or digit, is a pre-token of its own, so what
         stands before it is looked up alone: "word," and "word." cost one encoding.
         """
-        new = words.difference(known)
-        cut = [(w, len(s) if (s := w.rstrip(punctuation)) and s[-1].isalnum() else len(w)) for w in new]
-        stems = list({w[:n] for w, n in cut}.difference(known))
-        own = self._spaced(stems) if lead else dict(zip(stems, self._library(stems)))
-        tails = {w[n:] for w, n in cut}.difference(self.tails)
-        self.tails.update(zip(tails, self._library(list(tails))))
-        long = {}
-        for w, n in cut:
-            ids = own.get(w[:n])
-            (known if len(w) <= LONGEST else long)[w] = (known[w[:n]] if ids is None else ids) + self.tails[w[n:]]
-        return long
-
-    def _forget(self, known: dict[str, bytes], recent: set[str]) -> dict[str, bytes]:
-        """``known``, or when it is full only what the last texts had."""
-        return known if len(known) <= self.remembered else {w: known[w] for w in recent if w in known}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        words = pa.array(new, pa.string())
+        stems = pc.utf8_rtrim(words, characters=punctuation)
+        stems = pc.if_else(pc.utf8_is_alnum(pc.utf8_slice_codeunits(stems, -1)), stems, words)
+        self._learn_stems([s for s in _strings(pc.unique(stems)) if s not in self.later])
+        ended = pc.not_equal(pc.binary_length(stems), pc.binary_length(words))
+        words, stems = _strings(words.filter(ended)), _strings(stems.filter(ended))
+        if not words:
+            return
+        tails = [w[len(s):] for w, s in zip(words, stems)]
+        self._learn_apart(tails)
+        both = np.empty(2 * len(words), np.int64)
+        both[::2] = [self.later[s] for s in stems]
+        both[1::2] = [self.apart[t] for t in tails]
+        ids, ends = self.lists.joined(both)
+        first = self.lists.add(ids, np.diff(ends[1::2], prepend=0))
+        self.later.update(zip(words, range(first, first + len(words))))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces, which may be new."""
+        get = self.later.get
+        found = [get(w, -1) for w in pieces]
+        new = [w for w, n in zip(pieces, found) if n < 0]
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+            found = [self.later[w] for w in pieces]
+        return np.array(found, np.int64)
+
+    def _wide(self, text: str) -> np.ndarray:
+        """Numbers of the pieces of a text with wider white space. A piece may hold white space here."""
+        head, *rest = [p[1:] if i else p for i, p in enumerate(_CUT.split(text))]
+        # Such pieces stand apart, as they never begin with a newline that was put before a cut.
+        self._learn_apart([head, *(" " + p for p in rest)])
+        return np.array([self.apart[head], *(self.apart[" " + p] for p in rest)], np.int64)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends."""
+        if len(self.later) + len(self.apart) > self.remembered or self.lists.used > MEAN_IDS * self.remembered:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        heads, counts = offsets[:-1], np.diff(offsets)
+        kinds = cut.flatten().dictionary_encode()
+        which, pieces = kinds.indices.to_numpy(), _strings(kinds.dictionary)
+        # A piece that is empty, or has white space at an end, stands by white space wider than one space or newline.
+        known = self.later
+        odd = np.array([w not in known and (not w or w[-1].isspace() or (w[0].isspace() and (w[0] != "\n" or w[1].isspace()))) for w in pieces], bool)
+        wide = odd[which]
+        first = [pieces[i] for i in which[heads]]
+        wide[heads] = [w[-1:].isspace() for w in first]
+        wide = np.add.reduceat(wide, heads, dtype=np.int64) > 0
+        inside = np.ones(len(which), bool)
+        inside[heads] = False
+        inside &= ~np.repeat(wide, counts)
+        used = np.zeros(len(pieces), bool)
+        used[which[inside]] = True
+        at = np.flatnonzero(used)
+        number = np.zeros(len(pieces), np.int64)
+        number[at] = self._numbers([pieces[i] for i in at.tolist()])
+        numbers = number[which]
+        plain = np.flatnonzero(~wide).tolist()
+        self._learn_apart([first[i] for i in plain])
+        numbers[heads[plain]] = [self.apart[first[i]] for i in plain]
+        if wide.any():
+            parts = np.split(numbers, heads[1:])
+            for i in np.flatnonzero(wide).tolist():
+                parts[i] = self._wide(texts[i].as_py())
+            numbers, counts = np.concatenate(parts), np.array([len(p) for p in parts])
+        ids, ends = self.lists.joined(numbers)
+        return ids, ends[np.cumsum(counts) - 1]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """One value per text; a null text has no ids."""
-        cut = [(t or "").split(" ") for t in texts]
-        later: set[str] = set()
-        for p in cut:
-            later.update(islice(p, 1, None))
-        # A piece that is empty, or has white space at an end, stands by white space wider than one space.
-        odd = {w for w in later.difference(self.later) if not w or w[0].isspace() or w[-1].isspace()}
-        wide = [i for i, p in enumerate(cut) if p[0][-1:].isspace() or (odd and not odd.isdisjoint(p))]
-        for i in wide:
-            first, *rest = _CUT.split(texts[i] or "")
-            cut[i] = [first, *(p[1:] for p in rest)]
-        if wide:
-            later = {w for p in cut for w in islice(p, 1, None)}
-        firsts = {p[0] for p in cut}
-        self.first, self.later = self._forget(self.first, firsts), self._forget(self.later, later)
-        self.tails = self._forget(self.tails, set())
-        long_first, long_later = self._learn(self.first, firsts, ""), self._learn(self.later, later, " ")
-        out = []
-        for p in cut:
-            head = self.first.get(p[0])
-            if head is None:
-                head = long_first[p[0]]
-            if long_later:
-                get, rest = self.later.get, []
-                for w in islice(p, 1, None):
-                    ids = get(w)
-                    rest.append(long_later[w] if ids is None else ids)
-            else:
-                rest = map(self.later.__getitem__, islice(p, 1, None))
-            out.append(head + b"".join(rest))
-        return out
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ids, ends = self._encode(texts)
+        data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -116,15 +211,14 @@ def encoder(path: str, remembered: int) -> Encoder:
     return Encoder(path, remembered)
 
 
-def encoded(batches, path: str, columns: list[str], remembered: int = REMEMBERED, chars: int = 1 << 20):
-    """Over Arrow batches with a ``text`` column: yields (rows of ``columns`` as lists, ids), about ``chars`` characters at a time."""
+def encoded(batches, path: str, columns: list[str], remembered: int = REMEMBERED, chars: int = 1 << 22):
+    """Over Arrow batches with a ``text`` column: yields (rows of ``columns`` as lists, ids), about ``chars`` bytes at a time."""
     enc = encoder(path, remembered)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        rest = [batch.column(c).to_pylist() for c in columns]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "") + 1
-            if size >= chars or i == len(texts) - 1:
-                yield [r[start:i + 1] for r in rest], enc.encode(texts[start:i + 1])
-                start, size = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + chars, "right")))
+            part = batch.slice(at, end - at)
+            yield [part.column(c).to_pylist() for c in columns], enc.encode(part.column("text"))
+            at = end

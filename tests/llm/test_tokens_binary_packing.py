@@ -28,6 +28,19 @@ def test_odd_texts_encode_as_the_whole():
     assert [np.frombuffer(b, "<u4").tolist() for b in ENCODER.encode(ODD)] == [plain(t) for t in ODD]
 
 
+def test_pieces_over_newlines_are_not_known_by_the_pair():
+    encoder, words = Encoder(tokenizer()), [f"word{chr(97 + i)}" for i in range(26)]
+    texts = [f"so {a}.\n{b}, and" for a in words for b in words]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain(t) for t in texts]
+    assert len(encoder.later) < 5 * len(words)
+
+
+def test_a_worker_that_forgets_gives_the_same():
+    encoder = Encoder(tokenizer(), remembered=3)
+    for _ in range(3):
+        assert [np.frombuffer(encoder.encode([t])[0], "<u4").tolist() for t in ODD] == [plain(t) for t in ODD]
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), st.integers(1, 100))
 def test_segment_round_trip(ids, percentile):
