@@ -474,7 +474,9 @@ def _exact_text(a: str, b: str) -> str:
 
     def with_box(shape: str, box: str) -> str:
         inside = f"{_areal(shape + '.gtype')} AND {_odd('sg', box + '.bbox.west', box + '.bbox.south')}"
-        return _let("sg", _segments(shape + ".rings"), f"{_meets_box('sg', box + '.bbox')} OR ({inside})")
+        walked = _let("sg", _segments(shape + ".rings"), f"{_meets_box('sg', box + '.bbox')} OR ({inside})")
+        lone = segment_meets_box(lambda name: _end(shape, "ab".index(name[0]), name[1]), box + ".bbox")
+        return f"CASE WHEN {lone_segment(shape)} THEN {lone} ELSE {walked} END"
 
     def with_point(shape: str, point: str) -> str:
         x, y = f"{point}.bbox.west", f"{point}.bbox.south"

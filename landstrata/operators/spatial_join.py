@@ -317,10 +317,12 @@ def _settled(joined: DataFrame, left: DataFrame, renamed: DataFrame, lg: str, rg
     """Candidates that fulfil ``on`` and the predicate, with the columns of both sides."""
     if on is not None:
         joined = joined.filter(on)
+    # Spark puts a filter over a join before the join's own condition, so the boxes are asked about here once more.
+    near = bbox_overlap(f"{lg}.bbox", f"{rg}.bbox")
     if predicate == "intersects":
-        joined = joined.filter((F.col(lg)["is_box"] & F.col(rg)["is_box"]) | intersects_exact(lg, rg))
+        joined = joined.filter(F.when(near, (F.col(lg)["is_box"] & F.col(rg)["is_box"]) | intersects_exact(lg, rg)).otherwise(False))
     elif predicate == "within":
-        joined = joined.filter(within(lg, rg))
+        joined = joined.filter(F.when(near, within(lg, rg)).otherwise(False))
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{c}`") for c in renamed.columns])
 
 

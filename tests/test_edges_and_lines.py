@@ -188,3 +188,17 @@ def test_wkb_by_columns(spark):
 def test_multi_edges_of_empty_sides(spark, n):
     a = frame(spark, [("Polygon", [[[0, 0], [4, 0], [0, 4], [0, 0]]])]).limit(n)
     assert edge_join.ids_within(a, a, "id", "id").count() == n
+
+
+def test_boxes_are_asked_before_shapes_where_a_few_rows_meet_all(spark):
+    lines = spark.range(2000).select(F.col("id"), g.line((F.col("id") % 50 / 7, F.col("id") % 31 / 5), (F.col("id") % 37 / 9, F.col("id") % 41 / 8)).alias("geom"))
+    boxes = spark.range(4).select(F.col("id").alias("k"), g.box_polygon(F.col("id") + 0.01, F.lit(0.02), F.col("id") + 0.99, F.lit(2.03)).alias("geom"))
+    pairs = spatial_pairs(lines, boxes, left_id="id", right_id="k", by_place=False)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    condition = plan.split("BroadcastNestedLoopJoin BuildRight, Inner, ", 1)[1].splitlines()[0]
+    assert condition.index(".bbox.west <=") < condition.index("transform(")
+    # Lines of two vertices are cut by arithmetic; with a third one on the way they are walked over.
+    bent = lines.withColumn("geom", F.col("geom").withField("rings", F.transform("geom.rings", lambda p: p.withField("pts", F.concat(F.slice(p["pts"], 1, 1), p["pts"])))))
+    walked = spatial_pairs(bent, boxes, left_id="id", right_id="k", by_place=False)
+    assert sorted(map(tuple, pairs.select("id", "anno_k").collect())) == sorted(map(tuple, walked.select("id", "anno_k").collect()))
+    assert pairs.count() > 100
