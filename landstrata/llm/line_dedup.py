@@ -2,8 +2,9 @@
 
 A line of length l is cut into ``edits + 1`` segments. A line within ``edits`` edits of it contains at least one of them
 unchanged, near the segment's own place. So each line is filed under (its length, segment number, segment) and looks, for
-every length up to ``edits`` below its own, for the segments of such lines at the few places where they can be. Pairs
-that meet are verified by an edit distance over a band of the matrix, one column at a time in bit vectors.
+every length up to ``edits`` below its own, for the segments of such lines at the few places where they can be. Lines that
+meet another are found first, without their pairs; only they are fetched, and meet again beside their letter counts.
+Pairs that are left are verified by an edit distance over a band of the matrix, one column at a time in bit vectors.
 """
 
 from __future__ import annotations
@@ -13,41 +14,73 @@ from pyspark.sql import Column, DataFrame, functions as F
 from landstrata.llm.common import cut_lineage
 
 EDITS, SHORTEST = 2, 20
-#: Frequent letters that are counted on every line; lines within k edits differ by k more and k fewer at most.
+#: Frequent letters that are counted on every line that meets another; lines within k edits differ by k more and k fewer at most.
 LETTERS = "eantrhiosdlcumpg"
 #: Up to so many candidate lines their places are broadcast (24 bytes each); beyond, the texts are shuffled.
 BROADCAST_LINES = 250_000
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
     """First character (from 1) and length of segment ``i`` (from 1); the last ones take the remainder, one each."""
-    base = F.floor(length / (edits + 1)).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(i - 1 - (edits + 1)) + length % (edits + 1))
-    size = base + F.when(F.lit(i) > F.lit(edits + 1) - length % (edits + 1), 1).otherwise(0)
+    base, rest = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
+    longer = F.greatest(F.lit(0), i - 1 - (edits + 1) + rest)
+    size = base + F.when(i > F.lit(edits + 1) - rest, 1).otherwise(0)
     return F.lit(1) + base * (i - 1) + longer, size
 
 
-def filed_segments(line: Column, length: Column, edits: int) -> Column:
-    """Hashes under which a line is filed."""
-    cuts = [(i, *_segment(length, i, edits)) for i in range(1, edits + 2)]
-    return F.array(*[F.xxhash64(F.lit(i), length, F.substring(line, p, n)) for i, p, n in cuts])
+def filed_places(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter the line it is cut for, shift) of the places under which a line is filed."""
+    return [(i, 0, 0) for i in range(1, edits + 2)]
 
 
-def sought_segments(line: Column, length: Column, edits: int, shortest: int) -> Column:
-    """Hashes under which lines that are at most ``edits`` shorter may be filed; null for places that are not in the line.
+def sought_places(edits: int) -> list[tuple[int, int, int]]:
+    """Places at which a line looks for segments of lines that are at most ``edits`` shorter.
 
     Segment i is looked for only where both what is left of it and what is right of it can still match: at most i - 1
     edits to its left and edits + 1 - i to its right.
     """
-    out = []
-    for less in range(edits + 1):
-        other = length - less
-        for i in range(1, edits + 2):
-            p, n = _segment(other, i, edits)
-            for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1):
-                fits = (other >= shortest) & (p + shift >= 1) & (p + shift + n - 1 <= length)
-                out.append(F.when(fits, F.xxhash64(F.lit(i), other, F.substring(line, p + shift, n))))
-    return F.array(*out)
+    return [
+        (i, less, shift) for less in range(edits + 1) for i in range(1, edits + 2)
+        for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1)
+    ]
+
+
+def segments(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, shortest: int) -> DataFrame:
+    """Columns of ``lines`` but ``line``, and ``s``: a hash of each segment of the line at one of the places, if it lies in the line.
+
+    The line is spread to four bytes a character once, so that no segment is sought from the line's start; places are rows, so that
+    one short expression does for all of them.
+    """
+    at = F.explode(F.array(*[F.struct(*[F.lit(x).alias(k) for x, k in zip(place, ("i", "less", "shift"))]) for place in places]))
+    wide = lines.withColumn("wide", F.encode("line", "UTF-32")).withColumn("n", F.shiftright(F.octet_length("wide"), 2))
+    rows = wide.drop("line").select("*", at.alias("place"))
+    i, n = F.col("place.i"), F.col("n")
+    other = n - F.col("place.less")
+    start, size = _segment(other, i, edits)
+    first = start + F.col("place.shift")
+    fits = (other >= shortest) & (first >= 1) & (first + size - 1 <= n)
+    cut = F.substring("wide", (first - 1) * 4 + 1, size * 4)
+    return rows.where(fits).withColumn("s", F.xxhash64(i, other, cut)).drop("wide", "n", "place")
+
+
+def _sides(lines: DataFrame, edits: int, shortest: int) -> list[DataFrame]:
+    """Segments under which lines are filed, and those that they seek, once for each line. Equal lines meet in one task by their
+    segment and go on as one."""
+    return [segments(lines, places, edits, shortest).repartition("s").distinct() for places in (filed_places(edits), sought_places(edits))]
+
+
+def meeting_lines(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """``id`` of the lines of which another has a segment, or that have one of another: each is asked for, no pairs are made."""
+    filed, sought = _sides(lines, edits, shortest)
+    there = lambda x, y: x.alias("x").join(y.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.id") != F.col("y.id")), "left_semi").select("id")
+    return there(filed, sought).union(there(sought, filed)).distinct()
+
+
+def meeting(lines: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """Pairs of different lines, some repeated, of which one has a segment of the other: all columns of ``lines`` but ``line``, of the
+    first named ``.._a`` and of the second ``.._b``."""
+    a, b = (x.withColumnsRenamed({c: f"{c}_{y}" for c in x.columns if c != "s"}) for x, y in zip(_sides(lines, edits, shortest), "ab"))
+    return a.join(b, "s").where("id_a <> id_b")
 
 
 def _bag(line: Column) -> Column:
@@ -160,21 +193,15 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("h"), F.col("at"))
     kinds = cut_lineage(long.select(*key, place.alias("place")).groupBy("k", "k2").agg(F.min("place").alias("first")))
 
-    # Equal lines meet in one task by their segment and go on as one. The length is a column, to be worked out once.
-    one = long.select(F.xxhash64("line").alias("id"), _bag(F.col("line")).alias("bag"), "line", F.char_length("line").alias("n"))
-    cut, n = F.col("line"), F.col("n")
-    filed = one.select("id", "bag", F.explode(filed_segments(cut, n, edits)).alias("s")).repartition("s").distinct()
-    sought = one.select("id", "bag", F.explode(sought_segments(cut, n, edits, shortest)).alias("s")).where("s is not null").repartition("s").distinct()
-    a, b = filed.withColumnsRenamed({"id": "a", "bag": "bag_a"}), sought.withColumnsRenamed({"id": "b", "bag": "bag_b"})
-    met = a.join(b, "s").where((F.col("a") != F.col("b")) & _bags_within(F.col("bag_a"), F.col("bag_b"), edits))
-    pairs = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+    # First only which lines meet another at all: a few of them, and no more than there are, however many pairs they make.
+    wanted = meeting_lines(long.select(F.xxhash64("line").alias("id"), "line"), edits, shortest).withColumnRenamed("id", "k")
     spots = cut_lineage(kinds.join(wanted, "k").select("k", "k2", "first"))
     needed = F.broadcast(spots) if spots.count() <= broadcast_lines else spots
     same = (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("first.d")) & (F.xxhash64("text") == F.col("first.h"))
     texts = docs.select("doc_id", "text").join(needed, same).select("k", "first", F.get(F.split("text", "\n"), F.col("first.at")).alias("line")).distinct()
-    texts = cut_lineage(texts.withColumn("letters", _letters(F.col("line"))))
+    texts = cut_lineage(texts.withColumns({"letters": _letters(F.col("line")), "bag": _bag(F.col("line"))}))
+    met = meeting(texts.select(F.col("k").alias("id"), "bag", "line"), edits, shortest).where(_bags_within(F.col("bag_a"), F.col("bag_b"), edits))
+    pairs = cut_lineage(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
     a = texts.select(F.col("k").alias("a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"), F.col("letters").alias("letters_a"))
     b = texts.select(F.col("k").alias("b"), F.col("first").alias("first_b"), F.col("line").alias("line_b"), F.col("letters").alias("letters_b"))
     likely = pairs.join(a, "a").join(b, "b").where(_letters_within(F.col("letters_a"), F.col("letters_b"), edits))

@@ -64,3 +64,27 @@ def test_lines_against_brute_force(spark, edits, broadcast):
     got = line_dedup.repeated_lines(df, edits, 8, broadcast).distinct().collect()
     assert sorted(((r["doc_id"], r["n_lines"], r["gone"]) for r in got), key=str) == brute(rows, edits, 8)
     assert line_dedup.repeated_lines(df.limit(0)).count() == 0
+
+
+def test_letters_are_counted_on_lines_that_meet_only(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefghijklmnopé ") for _ in range(60)) for _ in range(300)]
+    rows = [(i, line) for i, line in enumerate([*lines, lines[7][:-1], "x" + lines[250][2:]])]
+    seen, bag = spark.sparkContext.accumulator(0), line_dedup._bag
+    counted = F.udf(lambda line: seen.add(1) or 0, "long")
+    monkeypatch.setattr(line_dedup, "_bag", lambda line: bag(line).bitwiseOR(counted(line)))
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("gone") > 0).collect()
+    assert sorted(r["doc_id"] for r in got) == [300, 301]
+    assert 4 <= seen.value < 20
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_meet(spark, edits):
+    rng = random.Random(edits + 50)
+    base = ["".join(rng.choice("abü€😀 ") for _ in range(rng.randint(8, 30))) for _ in range(40)]
+    lines = sorted({x for s in base for x in (s, *[change(rng, s, rng.randint(1, edits)) for _ in range(3)]) if len(x) >= 8})
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    met = {tuple(sorted((r["id_a"], r["id_b"]))) for r in line_dedup.meeting(df, edits, 8).collect()}
+    near = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and abs(len(a) - len(b)) <= edits and edit(a, b) <= edits}
+    assert near and near <= met
+    assert {r["id"] for r in line_dedup.meeting_lines(df, edits, 8).collect()} == {i for p in met for i in p}
