@@ -251,15 +251,35 @@ def _hashed(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64)).view(np.int64)
 
 
+#: Bits of a shingle set's outline.
+OUTLINE = 2048
+
+
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(body, shingles): the distinct hashes of a text's shingles; fewer words are one shingle."""
+    """(body, id, shingles, size, outline): the distinct hashes of a text's shingles; fewer words are one shingle. The outline, in
+    longs, has the bit of each hash modulo ``OUTLINE`` set."""
+
+    def outline(h):
+        bits = np.zeros(OUTLINE, bool)
+        bits[h & (OUTLINE - 1)] = True
+        return np.packbits(bits).view("<i8")
 
     def run(batches):
+        names = ["body", "id", "shingles", "size", "outline"]
         for batch in batches:
             sets = [_hashed(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("body"), pa.array(sets, pa.list_(pa.int64()))], ["body", "shingles"])
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(sets, longs), pa.array([len(h) for h in sets], pa.int32()), pa.array([outline(h) for h in sets], longs)]
+            yield pa.RecordBatch.from_arrays([batch.column("body"), batch.column("id"), *columns], names)
+
+    return docs.select("body", "id", "text").mapInArrow(run, "body string, id long, shingles array<long>, size int, outline array<long>")
+
 
-    return docs.select("body", "text").mapInArrow(run, "body string, shingles array<long>")
+def _may_share(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets can be as similar by their sizes and outlines: a bit that only one has set is a hash, at least, that the other lacks."""
+    lacks = lambda x, y: sum(F.bit_count(F.get(f"{x}.outline", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{y}.outline", F.lit(i))))) for i in range(OUTLINE // 64))
+    shared = F.least(F.col(f"{a}.size") - lacks(a, b), F.col(f"{b}.size") - lacks(b, a))
+    return shared >= similarity * (F.col(f"{a}.size") + F.col(f"{b}.size") - shared)
 
 
 def _frequent(docs: DataFrame, words: int, one_in: int = 16, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -312,6 +332,18 @@ def _meetable(a: str, b: str, similarity: float) -> Column:
     return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (room >= similarity * (x + y) / (1 + similarity) - 1e-9)
 
 
+def _perhaps(rows: DataFrame, ids: DataFrame, words: int = 1 << 19) -> DataFrame:
+    """The rows of which the ``id``, a hash, is one of ``ids``, and few others: those whose bit is set in a map of 64 * ``words`` bits.
+
+    Only words with a bit go to the executors, ``words`` rows at most whatever the number of ids, and the rows stay where they are.
+    """
+    word = F.pmod(F.shiftright("id", 6), F.lit(words)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
+    marks = ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = rows.withColumns({"__at": word, "__own": bit}).join(F.broadcast(marks), F.col("__at") == F.col("__word"))
+    return found.where(F.col("__bits").bitwiseAND(F.col("__own")) != 0).drop("__at", "__own", "__word", "__bits")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, distance: int = 8, parts: int = 3, crowded: int = CROWDED) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document of the smallest doc_id stays.
 
@@ -340,10 +372,17 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs.select(F.least("body_a", "body_b").alias("body_a"), F.greatest("body_a", "body_b").alias("body_b")).distinct())
         met = pairs.select(F.col("body_a").alias("body")).union(pairs.select(F.col("body_b").alias("body"))).distinct()
-        spots = bodies.join(met, "body").select(F.col("low").alias("key"), F.col("body").alias("found"))
-        texts = docs.select(named.alias("key"), body.alias("body"), "text").join(spots, "key").where("body = found").dropDuplicates(["body"])
+        spots = cut_lineage(bodies.join(met, "body").select("id", F.col("low").alias("key"), F.col("body").alias("found")))
+        # Most texts meet no other and are left out where they are read, so they are not shuffled.
+        read = _perhaps(docs.select(named.alias("key"), body.alias("body"), "text").withColumn("id", F.xxhash64("body")), spots)
+        texts = read.join(spots.drop("id"), "key").where("body = found").dropDuplicates(["body"])
         sets = written(_shingle_sets(texts, shingle), "shingle-sets", compression="zstd")
-        x, y = (sets.select(F.col("body").alias(f"body_{c}"), F.col("shingles").alias(c)) for c in "xy")
+        # Most pairs are told apart by their outlines; only the sets of the others meet.
+        x, y = (sets.select(F.col("body").alias(f"body_{c}"), F.struct("size", "outline").alias(c)) for c in "xy")
+        both = pairs.join(x, pairs["body_a"] == x["body_x"]).join(y, pairs["body_b"] == y["body_y"]).where(_may_share("x", "y", similarity))
+        pairs = cut_lineage(both.select("body_a", "body_b"))
+        left = _perhaps(sets, pairs.select(F.explode(F.array("body_a", "body_b")).alias("body")).select(F.xxhash64("body").alias("id")))
+        x, y = (left.select(F.col("body").alias(f"body_{c}"), F.col("shingles").alias(c)) for c in "xy")
         both = pairs.join(x, pairs["body_a"] == x["body_x"]).join(y, pairs["body_b"] == y["body_y"])
         shared = F.size(F.array_intersect("x", "y"))
         return cut_lineage(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("body_a").alias("a"), F.col("body_b").alias("b")))

@@ -125,3 +125,25 @@ def test_block_and_append_edits_are_found(spark):
         kinds[2 * i + 1] = jaccard(text, changed)
     kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * i for i in range(240)} | {k for k, j in kinds.items() if j < 0.8}
+
+
+def test_outlines_and_bit_maps_lose_nothing(spark):
+    """Pairs at 0.8 or more pass by their outlines and unrelated ones do not; every sought id passes the bit map and few others do."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [[word() for _ in range(n)] for n in (1, 5, 40, 300, 1200)]
+    texts += [[*t[:i], word(), *t[i + 1:]] for t in texts for i in (0, len(t) // 2)] + [[]]
+    rows = [(f"b{i}", i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = simhash._shingle_sets(spark.createDataFrame(rows, "body string, id long, text string"), 5)
+    x, y = (sets.select(F.struct("*").alias(c)) for c in "xy")
+    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    near = shared >= 0.8 * (F.col("x.size") + F.col("y.size") - shared)
+    got = x.crossJoin(y).select(near.alias("near"), simhash._may_share("x", "y", 0.8).alias("may"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()
+    assert all(r["may"] for r in got if r["near"]) and sum(r["near"] for r in got) > len(rows)
+    assert not any(r["may"] for r in got if {r["a"], r["b"]} == {3, 4})
+    ids = spark.range(20_000).select(F.xxhash64("id").alias("id"))
+    some = ids.where("id % 50 = 0")
+    passed = simhash._perhaps(ids, some)
+    assert some.exceptAll(passed).count() == 0 and passed.count() < 1.2 * some.count()
