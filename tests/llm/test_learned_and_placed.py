@@ -38,6 +38,18 @@ def test_top_k_odd_vectors(spark, block, queries):
     assert topk.top_k(topk.integer_vectors(df.limit(0)), F.col("id") % 10 == 0).count() == 0
 
 
+def test_top_k_copies_are_not_broadcast(spark):
+    rng = np.random.default_rng(3)
+    m = rng.integers(-600, 600, (400, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "id long, v array<long>")
+    found = topk.top_k(df, F.col("id") % 4 == 0, 3, block=10, queries=8, together=2)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    for q in range(0, 400, 4):
+        best = sorted((-int(s), i) for i, s in enumerate(m @ m[q]) if i != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in best]
+
+
 def test_language_accuracy_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op7_language_id"](spark, sf).collect()
