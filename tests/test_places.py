@@ -54,6 +54,37 @@ def test_many_features_and_annotations_at_one_place(spark):
     assert time.time() - began < 60
 
 
+def test_duplicates_are_merged_once_a_shape(spark, monkeypatch):
+    """40 million pairs of rows, but few distinct properties; before, each pair was merged."""
+    monkeypatch.setattr(an, "COPIES_AT_ONCE", 300)
+    n = 4000
+    props = lambda k, v: F.create_map(F.lit(k), v.cast("string"))
+    feats = spark.range(10 * n).select(F.col("id").alias("feature_id"), g.point(F.lit(1.0), F.lit(1.0)).alias("geom"), props("kind", F.col("id") % 3).alias("properties"))
+    annos = spark.range(1000).select(F.col("id").alias("feature_id"), g.box_polygon(*[F.lit(v) for v in (0.0, 0.0, 2.0, 2.0)]).alias("geom"), props("note", F.when(F.col("id") > 0, "x").otherwise("")).alias("properties"))
+    began = time.time()
+    out = an.annotate(feats, annos, multi="duplicate")
+    seen = out.groupBy(F.col("properties")["kind"].alias("k"), F.col("properties")["note"].alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("feature_id").alias("ids")).collect()
+    kinds = [sum(i % 3 == k for i in range(10 * n)) for k in range(3)]
+    assert {(r.k, r.n): r.rows for r in seen} == {(str(k), v): m * kinds[k] for k in range(3) for v, m in (("x", 999), (None, 1))}
+    assert time.time() - began < 60
+
+
+def test_duplicates_of_odd_features(spark):
+    """A null id, a null map, an empty one, a missing shape, equal rows: each meets what its shape meets, or stays as it is."""
+    here, away = "point(1, 1)", "point(9, 9)"
+    at = {here: g.point(F.lit(1.0), F.lit(1.0)), away: g.point(F.lit(9.0), F.lit(9.0))}
+    rows = [(1, here, {"a": "1"}), (1, here, {"a": "1"}), (None, here, {"a": "2"}), (2, here, None), (3, here, {}), (4, away, None), (5, None, {"a": "5"}), (6, away, {"a": "6"})]
+    df = spark.createDataFrame(rows, "feature_id int, at string, properties map<string,string>")
+    feats = df.withColumn("geom", F.when(F.col("at") == here, at[here]).when(F.col("at") == away, at[away]))
+    notes = spark.createDataFrame([(1, {"a": "x", "b": ""}), (2, {"b": "y"}), (3, {"b": "y"}), (4, None)], "feature_id int, properties map<string,string>")
+    annos = notes.withColumn("geom", g.box_polygon(*[F.lit(v) for v in (0.0, 0.0, 2.0, 2.0)]))
+    got = [(r.feature_id, r.at, r.properties) for r in an.annotate(feats, annos, multi="duplicate").collect()]
+    want = [(i, p, dict(m or {}, **over)) for i, p, m in rows if p == here for over in ({"a": "x"}, {"b": "y"}, {"b": "y"}, {})]
+    want += [r for r in rows if r[1] != here]
+    key = lambda r: (str(r[0]), str(r[1]), str(sorted((r[2] or {}).items())), r[2] is None)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_many_changes_at_one_place(spark):
     """Each row gets the latest change that is later than itself; 100 million pairs of rows."""
     n = 20_000
