@@ -59,6 +59,33 @@ def test_edges_give_the_pairs_of_the_plain_predicates(spark):
     assert edge_join.intersecting_ids(a, b.limit(0), "id", "id").count() == 0
 
 
+def test_triangles_by_corners_equal_the_plain_predicates(spark, monkeypatch):
+    """Touching, equal, degenerate, both ways round, in a cell that is split, with more copies than a row holds."""
+    monkeypatch.setattr(edge_join, "MEMBERS", 2)
+    monkeypatch.setattr(edge_join, "HOT_TRIANGLES", 15)
+    rng = random.Random(4)
+
+    def triangles(n, size):
+        out = []
+        for _ in range(n):
+            x, y = rng.randint(0, 5), rng.randint(0, 5)
+            c = [[x + rng.randint(0, size), y + rng.randint(0, size)] for _ in range(3)]
+            out += [("Polygon", [[*c, c[0]]])] * rng.choice([1, 1, 1, 5])
+        return out
+
+    a, b = frame(spark, triangles(60, 2)).cache(), frame(spark, triangles(60, 5)).cache()
+    for predicate, find, walk in (("intersects", edge_join.intersecting_ids, "exists("), ("within", edge_join.ids_within, "forall(")):
+        plain = {(r.id, r.anno_id) for r in spatial_pairs(a, b, left_id="id", right_id="id", predicate=predicate).select("id", "anno_id").collect()}
+        rows = find(a, b, "id", "id").collect()
+        assert len(rows) == len({(r.l, r.r) for r in rows})
+        assert {(r.l, r.r) for r in rows} == plain and len(plain) > 100
+        turn = F.expr("(geom.rings[0].pts[1].x - geom.rings[0].pts[0].x) * (geom.rings[0].pts[2].y - geom.rings[0].pts[0].y) <> (geom.rings[0].pts[1].y - geom.rings[0].pts[0].y) * (geom.rings[0].pts[2].x - geom.rings[0].pts[0].x)")
+        only = find(a.where(turn), b.where(turn), "id", "id")
+        assert walk not in only._jdf.queryExecution().optimizedPlan().toString()
+        flat = {r.id for df in (a, b) for r in df.where(~turn).collect()}
+        assert flat and only.count() > 50
+
+
 def test_rings_of_many_vertices(spark, folder):
     def shape(x, r, n):
         """A wavy ring, written once."""
