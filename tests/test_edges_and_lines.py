@@ -62,7 +62,7 @@ def test_edges_give_the_pairs_of_the_plain_predicates(spark):
 def test_triangles_by_corners_equal_the_plain_predicates(spark, monkeypatch):
     """Touching, equal, degenerate, both ways round, in a cell that is split, with more copies than a row holds."""
     monkeypatch.setattr(edge_join, "MEMBERS", 2)
-    monkeypatch.setattr(edge_join, "HOT_TRIANGLES", 15)
+    monkeypatch.setattr(edge_join, "HOT_TRIANGLES", 10)
     rng = random.Random(4)
 
     def triangles(n, size):
